@@ -51,3 +51,8 @@ def parabola(x: Column, y: Column, w: Column) -> Column:
 
 def median(c: Column) -> Column:
     return F.median(c)
+
+
+def bind(value: Column, f) -> Column:
+    """f(value) with value worked out once, however often f uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
