@@ -158,7 +158,7 @@ def pin_row_count_check(spark, sf):
 
 @query(
     """with r as (select c_nationkey, c_custkey, sum(l_extendedprice * (1 - l_discount)) as revenue from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey group by all)
-select n_name, c_custkey, round(revenue, 2) as revenue, cast(row_number() over (partition by c_nationkey order by revenue desc, c_custkey) as bigint) as place from r join nation on n_nationkey = c_nationkey
+select n_name, c_custkey, round(revenue, 4) as revenue, cast(row_number() over (partition by c_nationkey order by revenue desc, c_custkey) as bigint) as place from r join nation on n_nationkey = c_nationkey
 qualify row_number() over (partition by c_nationkey order by revenue desc, c_custkey) <= 3"""
 )
 def star_topk(spark, sf):
@@ -169,7 +169,7 @@ def star_topk(spark, sf):
     w = W.partitionBy("c_nationkey").orderBy(F.desc("revenue"), "c_custkey")
     top = r.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3")
     n = A.table(spark, sf, "nation").select("n_nationkey", "n_name")
-    return top.join(n, F.expr("n_nationkey = c_nationkey")).select("n_name", "c_custkey", F.round("revenue", 2).alias("revenue"), "place")
+    return top.join(n, F.expr("n_nationkey = c_nationkey")).select("n_name", "c_custkey", F.round("revenue", 4).alias("revenue"), "place")
 
 
 @query("select a.o_orderkey, count(b.o_orderkey) as earlier, round(coalesce(sum(b.o_totalprice), 0), 2) as spent from orders a left join orders b on a.o_custkey = b.o_custkey and b.o_orderdate < a.o_orderdate group by a.o_orderkey")
