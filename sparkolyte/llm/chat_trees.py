@@ -24,6 +24,7 @@ from . import shared
 
 _CONTROL = r"([\[\]<\\])"
 SALTS = 16
+_COLUMNS = ("tree", "id", "parent", "role", "text", "score")
 
 
 def escape(c: Column) -> Column:
@@ -55,7 +56,8 @@ def _pointers(nodes: DataFrame) -> list[DataFrame]:
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, branch, score, id, depth) of the messages on each tree's best paths, depth 1 at the root."""
-    spark = shared.prepare(messages.sparkSession)
+    shared.prepare(messages.sparkSession)
+    messages = messages.select(*_COLUMNS)
     order = W.partitionBy("tree", "id").orderBy("parent", "role", "text", "score")
     nodes = messages.withColumn("_first", F.row_number().over(order)).where("_first = 1").select(
         "tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
@@ -85,6 +87,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 def format_chats(messages: DataFrame, branches: int = 1) -> DataFrame:
     """tree, branch, score, formatted and loss_spans (array of start, length in bytes): a row per chosen path."""
     shared.prepare(messages.sparkSession)
+    messages = messages.select(*_COLUMNS)
     paths = best_paths(messages, branches)
     first = W.partitionBy("tree", "id").orderBy("parent", "role", "text", "score")
     said = messages.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(
@@ -130,6 +133,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 def conversations_as_messages(rows: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as messages: each answers the one before it by (turn, role, text)."""
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.select("conv_id", "turn", "role", "text")
     return rows.withColumn("id", F.row_number().over(order).cast("long")).select(
         F.col("conv_id").alias("tree"),
         "id",

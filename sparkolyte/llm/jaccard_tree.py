@@ -366,9 +366,7 @@ def near_duplicates(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group of near-duplicates the document with the least id; of rows that share an id, one."""
     found = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("_component"))
-    same = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"])).where(
-        docs["doc_id"].isNull() | (docs["doc_id"] == F.col("_component"))
-    )
-    kept = same.select(*[docs[c] for c in docs.columns])
-    ids = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return ids.unionByName(kept.where("doc_id is null"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    named = rows.where("_id is not null").join(found, F.expr("_id = doc_id")).where("_id = _component")
+    kept = named.select("_row", "_id").dropDuplicates(["_id"]).select("_row.*")
+    return kept.unionByName(rows.where("_id is null").select("_row.*"))

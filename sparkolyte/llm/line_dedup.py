@@ -51,53 +51,67 @@ def _chunks() -> Column:
     return F.transform(F.col("_starts"), lambda s, k: F.array_join(F.slice("_lines", s + 1, after(k) - s), "\n"))
 
 
-def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
-    """docs with text cut, and n_chunks, n_removed, emptied; other columns as they are."""
+def _cut(docs: DataFrame) -> DataFrame:
+    """_row (all columns of docs), _new (the text cut), n_chunks, n_removed, emptied."""
     spark = shared.prepare(docs.sparkSession)
     lowest = F.lit(-(2**63))
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), lowest)).withColumn("_text", F.xxhash64("text"))
-    cut = _with_starts(keyed.where("text is not null").select("_doc", "_text", "text"))
-    light = cut.where("size(_lines) > 1").select("_doc", "_text", F.posexplode(F.transform(_chunks(), lambda c: F.when(c.rlike(r"\S"), F.xxhash64(c)))).alias("k", "h"))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce(F.col("doc_id").cast("long"), lowest).alias("_doc"),
+        F.xxhash64("text").alias("_text"),
+        "text",
+    )
+    texts = keyed.where("text is not null").select("_doc", "_text", "text")
+    hashes = F.transform(_chunks(), lambda c: F.when(c.rlike(r"\S"), F.xxhash64(c)))
+    light = _with_starts(texts).where("size(_lines) > 1").select("_doc", "_text", F.posexplode(hashes).alias("k", "h"))
     light = shared.materialize(light.where("h is not null").distinct(), "chunk_hashes")
     again = light.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     # A document's chunks that meet others by hash; their number is that of its chunks at most.
     asked = light.join(again, "h").groupBy("_doc", "_text").agg(F.collect_list(F.struct("k", "h")).alias("asked"))
     asked = shared.materialize(asked, "asked")
-    texts = (
-        _with_starts(keyed.where("text is not null").select("_doc", "_text", "text").join(asked, ["_doc", "_text"]).dropDuplicates(["_doc", "_text"]))
-        .withColumn("_chunks", _chunks())
-        .select("_doc", "_text", F.inline(F.transform("asked", lambda a: F.struct(a["k"], a["h"], F.get("_chunks", a["k"]).alias("chunk")))))
-    )
-    texts = shared.materialize(texts, "repeated_chunks")
+    met = _with_starts(texts.join(asked, ["_doc", "_text"]).dropDuplicates(["_doc", "_text"]))
+    found = F.transform("asked", lambda a: F.struct(a["k"], a["h"], F.get("_chunks", a["k"]).alias("chunk")))
+    met = met.withColumn("_chunks", _chunks()).select("_doc", "_text", F.inline(found))
+    met = shared.materialize(met, "repeated_chunks")
     first = (
-        texts.groupBy("h", "chunk")
+        met.groupBy("h", "chunk")
         .agg(F.min(F.struct("_doc", "_text", "k")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .drop("n")
     )
     gone = (
-        texts.join(first, ["h", "chunk"])
+        met.join(first, ["h", "chunk"])
         .where(F.struct("_doc", "_text", "k") != F.col("first"))
         .groupBy("_doc", "_text")
         .agg(F.collect_set("k").alias("_gone"))
     )
     gone = shared.materialize(gone, "removed")
-    kept = F.filter(_chunks(), lambda c, k: ~F.array_contains("_gone", k))
-    n_gone = F.coalesce(F.size("_gone"), F.lit(0))
     joined = _with_starts(keyed.join(gone, ["_doc", "_text"], "left"))
-    out = joined.withColumn("_new", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return out.select(
-        *[F.col("_new").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size("_starts").cast("long").alias("n_chunks") if "n_chunks" not in docs.columns else F.lit(None).alias("_n"),
-        n_gone.cast("long").alias("n_removed"),
-        (F.col("_gone").isNotNull() & (F.col("_new") == "")).alias("emptied"),
-    )
+    kept = F.filter(_chunks(), lambda c, k: ~F.array_contains("_gone", k))
+    new = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(
+        "_row",
+        new.alias("_new"),
+        F.coalesce(F.size("_starts"), F.lit(-1)).cast("long").alias("n_chunks"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        "_gone",
+    ).select("_row", "_new", "n_chunks", "n_removed", (F.col("_gone").isNotNull() & (F.col("_new") == "")).alias("emptied"))
+
+
+def _row(docs: DataFrame, own: tuple[str, ...] = ()) -> list[Column]:
+    return [F.col("_new").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in own]
+
+
+def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
+    """docs with text cut, and n_chunks (-1 for null), n_removed, emptied; columns of those names in docs give way."""
+    own = ("n_chunks", "n_removed", "emptied")
+    return _cut(docs).select(*_row(docs, own), *own)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their texts cut and n_chars brought up to date; those left empty go."""
-    cut = drop_repeated_chunks(docs).where("not emptied")
-    return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    columns = [F.length("_new").cast("long").alias(n) if n == "n_chars" else c for n, c in zip(docs.columns, _row(docs), strict=True)]
+    return _cut(docs).where("not emptied").select(*columns)
 
 
 SQL = f"""

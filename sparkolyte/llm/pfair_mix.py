@@ -87,36 +87,47 @@ def _slot(j: Column) -> Column:
     return F.floor(j / F.col("units")).cast("long") * F.col("total") + F.get("slots", F.pmod(j, F.col("units")).cast("int"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPHA, block_docs: int = BLOCK_DOCS, units: int = UNITS) -> DataFrame:
-    """docs with block, epoch, number (of the block in its source's sequence), slot, release and deadline."""
+def _scheduled(docs: DataFrame, weights: DataFrame | None, alpha: float, block_docs: int, units: int) -> DataFrame:
+    """_row (all columns of docs), _doc, and the schedule's columns."""
     shared.prepare(docs.sparkSession)
     plan = shared.materialize(sources(docs.select("source"), weights, alpha, block_docs, units), "sources")
     end = plan.agg(F.max(_slot(F.col("blocks") - 1) + 1).alias("_end"))
-    # One row joined to a row per source; Spark broadcasts it only while it is small.
-    plan = plan.join(F.broadcast(end)).withColumnsRenamed({"source": "_source", "docs": "_docs"})
-    found = docs.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    found = found.withColumn("block", F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.col("blocks")))
+    # One row joined to a row per source; Spark broadcasts the sources only while they are few.
+    plan = plan.join(F.broadcast(end)).withColumnRenamed("source", "_planned")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col("source").alias("_source"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"),
+    )
+    found = rows.join(plan, F.col("_source").eqNullSafe(F.col("_planned")))
+    found = found.withColumn("block", F.pmod(F.conv(F.substring(F.md5("_doc"), 1, 8), 16, 10).cast("long"), F.col("blocks")))
     passes = (F.floor(F.col("_end") / F.col("total")) + 1) * F.col("units")
-    found = found.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(passes / F.col("blocks")).cast("long"))))
-    found = found.withColumn("number", F.col("block") + F.col("epoch") * F.col("blocks"))
+    epochs = F.sequence(F.lit(0).cast("long"), F.floor(passes / F.col("blocks")).cast("long"))
+    found = found.withColumn("epoch", F.explode(epochs)).withColumn("number", F.col("block") + F.col("epoch") * F.col("blocks"))
     found = found.withColumn("slot", _slot(F.col("number"))).where("slot < _end")
-    return found.select(
-        *docs.columns,
-        "block",
-        "epoch",
-        "number",
-        "slot",
-        F.floor(F.col("number") * F.col("total") / F.col("units")).cast("long").alias("release"),
-        F.floor(((F.col("number") + 1) * F.col("total") + F.col("units") - 1) / F.col("units")).cast("long").alias("deadline"),
+    due = F.floor(((F.col("number") + 1) * F.col("total") + F.col("units") - 1) / F.col("units"))
+    return found.withColumn("release", F.floor(F.col("number") * F.col("total") / F.col("units")).cast("long")).withColumn(
+        "deadline", due.cast("long")
     )
 
 
+def mix(
+    docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPHA, block_docs: int = BLOCK_DOCS, units: int = UNITS
+) -> DataFrame:
+    """docs with block, epoch, number (of the block in its source's sequence), slot, release and deadline.
+
+    Columns of those names in docs give way. weights: source, weight.
+    """
+    own = ("block", "epoch", "number", "slot", "release", "deadline")
+    found = _scheduled(docs, weights, alpha, block_docs, units)
+    return found.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in own], *own)
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix's rows in the schedule's order, with the columns of docs."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = mix(docs).repartitionByRange(parts, "slot", "doc_id").sortWithinPartitions("slot", "doc_id")
-    return found.select(*docs.columns)
+    found = _scheduled(docs, None, ALPHA, BLOCK_DOCS, UNITS)
+    return found.repartitionByRange(parts, "slot", "_doc").sortWithinPartitions("slot", "_doc").select("_row.*")
 
 
 SQL = f"""
