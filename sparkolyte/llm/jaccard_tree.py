@@ -272,10 +272,10 @@ def _join_part(part: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([doc[a] for a, _ in pairs], pa.int64()), "v": pa.array([doc[b] for _, b in pairs], pa.int64())})
 
 
-def _parts_to_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _parts_to_links(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """rows: doc_id, cluster, part, label. Joins texts and compares each part in a task."""
     return (
-        docs.join(rows, "doc_id")
+        texts.join(rows.hint("merge"), "doc_id")
         .select("doc_id", "label", "cluster", "part", "text")
         .groupBy("cluster", "part")
         .applyInArrow(_join_part, "u long, v long")
@@ -315,12 +315,14 @@ def near_duplicates(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
         F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int").alias("class"),
     )
     near = shared.materialize(near, "clusters")
+    # Texts move once, and only those of clusters move again.
+    texts = shared.materialize(docs.join(near.select("doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
     size = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     many = size.where(F.col("members") > part_docs)
     small = near.join(size.where(F.col("members") <= part_docs), "cluster").select(
         "doc_id", "cluster", F.lit("").alias("part"), F.col("doc_id").alias("label")
     )
-    links = _parts_to_links(docs, small)
+    links = _parts_to_links(texts, small)
     if not many.isEmpty():
         cells = near.join(many, "cluster").groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("cell"))
         big = near.join(cells, ["cluster", "class"]).withColumn(
@@ -337,7 +339,7 @@ def near_duplicates(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
         pivots = big.groupBy("cluster", spread.alias("pivot")).agg(F.min("doc_id").alias("doc_id"))
         pivots = pivots.join(parts, "cluster").select("doc_id", "cluster", "part")
         rows = big.select("doc_id", "cluster", "part").unionByName(pivots).distinct()
-        first = shared.materialize(_parts_to_links(docs, rows.withColumn("label", F.col("doc_id"))), "first_links")
+        first = shared.materialize(_parts_to_links(texts, rows.withColumn("label", F.col("doc_id"))), "first_links")
         label = shared.components(first).withColumnRenamed("u", "doc_id")
         labelled = big.join(label, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
         labelled = shared.materialize(labelled, "labelled")
@@ -352,7 +354,7 @@ def near_duplicates(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
         # Parts without a remainder have nothing left to compare.
         kept = labelled.join(sent.select("cluster", "part").distinct(), ["cluster", "part"], "left_semi")
         rows = kept.select("doc_id", "cluster", "part", "label").unionByName(sent).distinct()
-        links = links.unionByName(first).unionByName(_parts_to_links(docs, rows))
+        links = links.unionByName(first).unionByName(_parts_to_links(texts, rows))
     links = shared.materialize(links, "links")
     root = shared.components(links)
     classes = classes.join(root, classes["rep"] == root["u"], "left").select(
