@@ -118,3 +118,39 @@ def target_admissibility(df: DataFrame, targets: dict[str, bool], r: str, ident:
     )
     g = g.withColumn("invertible", F.element_at(flags, F.col("target")))
     return g.withColumn("admissible", (F.col("identifiable") >= ident) & F.col("invertible") & (F.col("cv") >= least_cv))
+
+
+def by_type(shares: DataFrame, columns: list[str], how: str = "avg") -> DataFrame:
+    """type, n_features and the columns' mean or median over a type's features."""
+    f = {"avg": F.avg, "median": F.median}[how]
+    kind = F.regexp_replace("feature", r"_f?\d+$", "")
+    return shares.groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("n_features"), *[f(c).alias(c) for c in columns])
+
+
+def strongest(table: DataFrame, column: str, n: int = 10) -> DataFrame:
+    """The n features with the largest absolute value, ties by name."""
+    return table.where(F.col(column).isNotNull()).orderBy(F.abs(column).desc(), "feature").limit(n)
+
+
+def before_and_after(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
+    """feature, before, after, change: what a normalization did to a diagnostic."""
+    d = before.select("feature", F.col(column).alias("before")).join(after.select("feature", F.col(column).alias("after")), "feature")
+    return d.withColumn("change", F.col("after") - F.col("before"))
+
+
+def rescued(pearson_table: DataFrame, spearman_table: DataFrame, keys: list[str], cut: float) -> DataFrame:
+    """pearson_ok, spearman_ok, n: groups that one correlation accepts and the other doesn't."""
+    ok = lambda c: F.coalesce(F.col(c) >= cut, F.lit(False))
+    a = pearson_table.select(*keys, F.col("r").alias("_p"))
+    b = spearman_table.select(*keys, F.col("r").alias("_s"))
+    d = a.join(b, keys)
+    return d.groupBy(ok("_p").alias("pearson_ok"), ok("_s").alias("spearman_ok")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def alignment_verdict(drift: DataFrame, absolute: DataFrame, margin: float = 0.1) -> DataFrame:
+    """One row: the largest absolute drift and cross-sensor alignment, and which of them leads by the margin."""
+    a = drift.agg(F.max(F.abs("alignment")).alias("max_drift"))
+    b = absolute.agg(F.max(F.abs("alignment")).alias("max_absolute"))
+    lead = F.col("max_drift") - F.col("max_absolute")
+    # Two one-row tables.
+    return a.crossJoin(b).withColumn("verdict", F.when(lead > margin, "drift").when(lead < -margin, "absolute").otherwise("undecided"))

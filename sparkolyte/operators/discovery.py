@@ -238,3 +238,137 @@ def grouped_cv(df: DataFrame, predictors: list[str], y: str, group: str, time: s
 
 def condition_config(c: Condition) -> dict:
     return asdict(c)
+
+
+def run_queue(df: DataFrame, features: list[str], y: str, queue: list[Condition], gate=None, batch_gate=None, **kw) -> list[tuple[Condition, dict]]:
+    """Conditions batch by batch (the part of the name before "_"), best first.
+
+    gate(condition, metrics) may stop by returning False; batch_gate(results, rest) may replace the rest of the queue.
+    Without gates all conditions are one job.
+    """
+    if gate is None and batch_gate is None:
+        groups = [queue]
+    else:
+        groups = [[c for c in queue if c.name.split("_")[0] == b] for b in dict.fromkeys(c.name.split("_")[0] for c in queue)]
+    done: list[tuple[Condition, dict]] = []
+    while groups:
+        batch = groups.pop(0)
+        # A few rows: one per condition.
+        rows = {r.condition: r.asDict() for r in summarize(run_conditions(df, features, y, batch, **kw)).collect()}
+        for c in batch:
+            done.append((c, rows.get(c.name, {})))
+            if gate is not None and gate(c, rows.get(c.name, {})) is False:
+                groups = []
+                break
+        if batch_gate is not None and groups:
+            rest = batch_gate(done, [c for g in groups for c in g])
+            if rest is not None:
+                groups = [[c for c in rest if c.name.split("_")[0] == b] for b in dict.fromkeys(c.name.split("_")[0] for c in rest)]
+    return sorted(done, key=lambda x: x[1].get("rmsep") or float("inf"))
+
+
+def target_framings(df: DataFrame, predictors: list[str], keys: list[str], min_train: int = 8, k: int = 2) -> DataFrame:
+    """framing, n, rmsep and log_conc_rmse of four ways to the response at a dose, under forward folds in time.
+
+    current: the response itself; sensitivity: slope and intercept on log dose, predicted per sensor and time;
+    quadratic: three curve coefficients; interaction: predictors times log dose. Doses are recovered by inverting the
+    predicted curve, at the root nearest the training median.
+    """
+    rows = df.select(*[F.col(c).alias(c) for c in keys], "concentration", "response", *predictors).where("concentration > 0 and response is not null")
+    times = rows.select(F.col("timepoint").cast("double").alias("t_test")).distinct()
+    joined = times.join(rows, F.expr("timepoint <= t_test"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, "concentration"], kind="stable")
+        columns = ["framing", "y", "pred", "x", "x_pred"]
+        train = (pdf.timepoint < pdf.t_test).to_numpy()
+        if train.sum() < min_train or train.all():
+            return pd.DataFrame(columns=columns)
+        x = np.log10(pdf.concentration.to_numpy(float))
+        y = pdf.response.to_numpy(float)
+        a, b = _prepare(pdf[predictors].to_numpy(float)[train], pdf[predictors].to_numpy(float)[~train])
+        middle = float(np.median(x[train]))
+        out = []
+
+        def model(design, target):
+            if not (np.ptp(design, axis=0) > 0).any():
+                return None
+            return M.PLS(max(1, min(k, design.shape[1], len(design) - 1))).fit(design, target)
+
+        def curve(degree):
+            group = pdf[train].groupby(keys, sort=True).indices
+            fits, design = [], []
+            for at in group.values():
+                if len(np.unique(x[train][at])) > degree:
+                    fits.append(np.polyfit(x[train][at], y[train][at], degree))
+                    design.append(a[at[0]])
+            if len(fits) < 3:
+                return None
+            m = model(np.array(design), np.array(fits))
+            return None if m is None else np.atleast_2d(m.predict(b))
+
+        def invert(coefs, value):
+            poly = np.array(coefs, float)
+            poly[-1] -= value
+            roots = np.roots(poly)
+            roots = roots[np.abs(np.imag(roots)) < 1e-9].real
+            return float(roots[np.argmin(np.abs(roots - middle))]) if len(roots) else np.nan
+
+        yt, xt = y[~train], x[~train]
+        m = model(np.column_stack([a, x[train]]), y[train])
+        if m is not None:
+            p = m.predict(np.column_stack([b, xt]))
+            slope = m.coef[-1, 0]
+            out += [("current", *v) for v in zip(yt, p, xt, xt + (yt - p) / slope if abs(slope) > 1e-12 else np.full(len(xt), np.nan), strict=True)]
+        m = model(np.column_stack([a, x[train], a * x[train][:, None]]), y[train])
+        if m is not None:
+            p = m.predict(np.column_stack([b, xt, b * xt[:, None]]))
+            n = b.shape[1]
+            slope = m.coef[n, 0] + b @ m.coef[n + 1 :, 0]
+            out += [("interaction", *v) for v in zip(yt, p, xt, np.where(np.abs(slope) > 1e-12, xt + (yt - p) / np.where(slope == 0, 1, slope), np.nan), strict=True)]
+        for name, degree in (("sensitivity", 1), ("quadratic", 2)):
+            coefs = curve(degree)
+            if coefs is not None:
+                p = np.array([np.polyval(c, v) for c, v in zip(coefs, xt, strict=True)])
+                out += [(name, *v) for v in zip(yt, p, xt, [invert(c, v) for c, v in zip(coefs, yt, strict=True)], strict=True)]
+        return pd.DataFrame(out, columns=columns)
+
+    got = joined.groupBy("t_test").applyInPandas(one, "framing string, y double, pred double, x double, x_pred double")
+    e, g = F.col("y") - F.col("pred"), F.col("x") - F.col("x_pred")
+    return got.groupBy("framing").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmsep"), F.sqrt(F.avg(F.when(~F.isnan(g), g * g))).alias("log_conc_rmse")
+    )
+
+
+def dose_curve_cv(df: DataFrame, predictors: list[str], responses: list[str], sensor: str, time: str, k: int = 2, min_train: int = 8) -> DataFrame:
+    """t_test, response, n, sse: whole dose curves predicted at once by a model with several responses."""
+    rows = df.select(F.col(sensor).alias("_s"), F.col(time).cast("double").alias("_t"), *[F.col(f"`{c}`").cast("double").alias(c) for c in [*predictors, *responses]])
+    joined = rows.select(F.col("_t").alias("t_test")).distinct().join(rows, F.expr("_t <= t_test"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_t", "_s"], kind="stable")
+        test = (pdf._t == pdf.t_test).to_numpy()
+        y = pdf[responses].to_numpy(float)
+        whole = np.isfinite(y).all(axis=1)
+        train = ~test & whole
+        columns = ["t_test", "response", "n", "sse"]
+        if train.sum() < min_train:
+            return pd.DataFrame(columns=columns)
+        x = pdf[predictors].to_numpy(float)
+        a, b = _prepare(x[train], x[test])
+        if not (np.ptp(a, axis=0) > 0).any():
+            return pd.DataFrame(columns=columns)
+        p = M.PLS(max(1, min(k, a.shape[1], len(a) - 1))).fit(a, y[train]).predict(b).reshape(test.sum(), -1)
+        error = np.where(np.isfinite(y[test]), (y[test] - p) ** 2, np.nan)
+        return pd.DataFrame([[pdf.t_test.iloc[0], c, int(np.isfinite(error[:, j]).sum()), float(np.nansum(error[:, j]))] for j, c in enumerate(responses)], columns=columns)
+
+    return joined.groupBy("t_test").applyInPandas(one, "t_test double, response string, n long, sse double")
+
+
+def monitor(model: DataFrame, new: DataFrame, reference: DataFrame, by: str = "timepoint", limit: float = 3.0) -> DataFrame:
+    """by, n, mean score, distance and flag of a batch per timepoint against the reference rows."""
+    names = list(model.first().features)
+    scored = recalibrate(model, new).groupBy(by).agg(F.avg("score").alias("mean_score"))
+    both = new.select(by, *names, F.lit(False).alias("_ref")).unionByName(reference.select(F.lit(None).cast(dict(new.dtypes)[by]).alias(by), *names, F.lit(True).alias("_ref")))
+    d = domain.coral_distance(both, names, F.col("_ref"), ~F.col("_ref"), [by])
+    return domain.flag_extrapolation(scored.join(d, by), limit)

@@ -160,3 +160,36 @@ def calibration_slices(predictions: DataFrame, by: str) -> DataFrame:
     )
 
 
+
+
+def effective_min_train_times(n_times: int, wanted: int = 3) -> int:
+    """The wanted number of training times, or one less than there are."""
+    return max(1, min(wanted, n_times - 1))
+
+
+def mean_over_seeds(metrics: DataFrame, keys: list[str], kept: tuple[str, ...] = ("n_folds", "n_test")) -> DataFrame:
+    """Finite metrics averaged over seeds; counts and everything that is no number come from the first seed."""
+    first = F.min("seed").over(W.partitionBy(*keys))
+    d = metrics.withColumn("_first", F.col("seed") == first)
+    aggs = []
+    for n, t in metrics.dtypes:
+        if n in keys or n == "seed":
+            continue
+        if t in ("double", "float") and n not in kept:
+            aggs.append(F.avg(F.when(~F.isnan(n) & (F.abs(F.col(n)) < float("inf")), F.col(n))).alias(n))
+        else:
+            aggs.append(F.max(F.when(F.col("_first"), F.col(n))).alias(n))
+    return d.groupBy(*keys).agg(*aggs)
+
+
+def stratify_by_drift(predictions: DataFrame, drifted: Column) -> DataFrame:
+    """stratum (all, has_drifted, still_flat), n, q2, rmsep, target_std of rows (y, pred, train_mean)."""
+    flag = F.when(drifted, "has_drifted").otherwise("still_flat")
+    d = predictions.withColumn("stratum", F.explode(F.array(F.lit("all"), flag)))
+    r, t = F.col("y") - F.col("pred"), F.col("y") - F.col("train_mean")
+    return d.groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n"),
+        (1 - F.try_divide(F.sum(r * r), F.sum(t * t))).alias("q2"),
+        F.sqrt(F.avg(r * r)).alias("rmsep"),
+        F.stddev_pop("y").alias("target_std"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dose_queries, fit_queries, model_free_queries, review_queries, spectra_queries  # noqa: F401
+from . import dose_queries, fit_queries, model_free_queries, review_queries, spectra_queries, table_queries  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
