@@ -134,15 +134,32 @@ def time_only(df: DataFrame, y: str, group: list[str], time: str = "timepoint",
     return d.select(*group, time, v.alias("y"), "train_mean", pred.alias("pred"))
 
 
-def auc(df: DataFrame, label: Column, score: str, by: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve by average ranks, NULL for a single class.
+#: Ranges of the score that a global ranking is cut into.
+RANGES = 256
+
+
+def running_count(df: DataFrame, by: list[str], order: str, n: str) -> DataFrame:
+    """Adds before: the sum of n over the rows of by with a lower value of order, which is unique within by.
 
-    Equal scores are grouped first, so the one ordered pass is over distinct scores.
+    Approximate quantiles cut the values into ranges; totals of the ranges are summed over a table of at most
+    RANGES rows per group and the rest within each range, so no task orders all rows.
     """
+    cuts = df.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))
+    value = F.col(order)
+    d = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < value))).drop("_cuts")
+    total = d.groupBy(*by, "_range").agg(F.sum(n).alias("_n"))
+    lower = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    total = total.select(*by, "_range", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower"))
+    inside = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(total, [*by, "_range"])
+    return d.withColumn("before", F.col("_lower") + F.col("_inside")).drop("_range", "_inside", "_lower")
+
+
+def auc(df: DataFrame, label: Column, score: str, by: list[str] | None = None) -> DataFrame:
+    """Area under the ROC curve by average ranks, NULL for a single class; equal scores are grouped first."""
     by = by or []
-    g = df.groupBy(*by, score).agg(F.sum(label.cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    g = g.withColumn("_rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    g = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(label.cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    g = running_count(g, by, score, "n").withColumn("_rank", F.col("before") + (F.col("n") + 1) / 2)
     g = g.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("n").alias("t"), F.sum(F.col("pos") * F.col("_rank")).alias("r"))
     n = F.col("t") - F.col("p")
     return g.withColumn("auc", F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * n)).select(*by, F.col("p").alias("n_pos"), n.alias("n_neg"), "auc")
