@@ -41,15 +41,16 @@ def _pointers(nodes: DataFrame) -> list[DataFrame]:
     levels = [level]
     most = level.count().bit_length()
     while len(levels) <= most and not level.where("above is not null").isEmpty():
-        a, b = level.alias("a"), level.alias("b")
-        level = a.join(b, F.expr("a.tree <=> b.tree and a.above = b.id"), "left").select(
+        # Messages that have reached their root wait; the join is the same at every size.
+        a, b = level.where("above is not null").alias("a"), level.hint("merge").alias("b")
+        further = a.join(b, F.expr("a.tree <=> b.tree and a.above = b.id"), "left").select(
             "a.tree",
             "a.id",
             "b.above",
             F.expr("a.total + coalesce(b.total, 0)").alias("total"),
             F.expr("a.depth + coalesce(b.depth, 0)").alias("depth"),
         )
-        level = shared.materialize(level, "pointers")
+        level = shared.materialize(level.where("above is null").unionByName(further), "pointers")
         levels.append(level)
     return levels
 
@@ -79,7 +80,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     paths = best.withColumn("id", F.col("leaf"))
     for level in levels[:-1]:
         up = level.where("above is not null").select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), "above")
-        further = paths.join(up, F.expr("tree <=> _tree and id = _id")).select("tree", "leaf", "branch", "score", F.col("above").alias("id"))
+        further = paths.join(up.hint("merge"), F.expr("tree <=> _tree and id = _id")).select("tree", "leaf", "branch", "score", F.col("above").alias("id"))
         paths = shared.materialize(paths.unionByName(further), "paths")
     return paths.join(rooted.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), "depth"), F.expr("tree <=> _tree and id = _id")).drop("_tree", "_id")
 
