@@ -69,7 +69,7 @@ def _cut(docs: DataFrame) -> DataFrame:
     # A document's chunks that meet others by hash; their number is that of its chunks at most.
     asked = light.join(again, "h").groupBy("_doc", "_text").agg(F.collect_list(F.struct("k", "h")).alias("asked"))
     asked = shared.materialize(asked, "asked")
-    met = _with_starts(texts.join(asked, ["_doc", "_text"]).dropDuplicates(["_doc", "_text"]))
+    met = _with_starts(texts.join(asked.hint("merge"), ["_doc", "_text"]).dropDuplicates(["_doc", "_text"]))
     found = F.transform("asked", lambda a: F.struct(a["k"], a["h"], F.get("_chunks", a["k"]).alias("chunk")))
     met = met.withColumn("_chunks", _chunks()).select("_doc", "_text", F.inline(found))
     met = shared.materialize(met, "repeated_chunks")
@@ -86,7 +86,7 @@ def _cut(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set("k").alias("_gone"))
     )
     gone = shared.materialize(gone, "removed")
-    joined = _with_starts(keyed.join(gone, ["_doc", "_text"], "left"))
+    joined = _with_starts(keyed.join(gone.hint("merge"), ["_doc", "_text"], "left"))
     kept = F.filter(_chunks(), lambda c, k: ~F.array_contains("_gone", k))
     new = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
