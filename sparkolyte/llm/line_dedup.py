@@ -22,33 +22,33 @@ MULTIPLIER = 1_000_003
 MODULUS = 2_147_483_647
 
 
-def _with_starts(docs: DataFrame) -> DataFrame:
-    """Adds _lines and _starts: where chunks start, from 0."""
-    hashed = F.transform(F.col("_lines"), lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-    rolled = F.transform(
-        F.col("_hashes"),
-        lambda h, i: F.pmod(F.when(i > 0, F.get("_hashes", i - 1)).otherwise(F.lit(0)) * MULTIPLIER + h, F.lit(MODULUS)),
-    )
-    n = F.size("_lines")
-
-    def starts(i: Column) -> Column:
-        """Whether line i - 1 is a minimum that leaves two lines at either end."""
-        here = F.get("_rolled", i - 1)
-        return (i == 0) | (i >= 2) & (i <= n - 2) & (here < F.get("_rolled", i - 2)) & (here < F.get("_rolled", i))
-
-    return (
-        docs.withColumn("_lines", F.split("text", "\n", -1))
-        .withColumn("_hashes", hashed)
-        .withColumn("_rolled", rolled)
-        .withColumn("_starts", F.filter(F.sequence(F.lit(0), n - 1), starts))
-        .drop("_hashes", "_rolled")
-    )
+def _bind(value: Column, f) -> Column:
+    """f(value) with value worked out once, however often f uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def chunks(text: Column) -> Column:
+    """The text's chunks; joined by line feeds they give the text. NULL for NULL."""
+
+    def from_lines(lines: Column) -> Column:
+        n = F.size(lines)
+        hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
+        roll = lambda h: F.transform(
+            h, lambda x, i: F.pmod(F.when(i > 0, F.get(h, i - 1)).otherwise(F.lit(0)) * MULTIPLIER + x, F.lit(MODULUS))
+        )
 
+        def starts(r: Column) -> Column:
+            """Line 0, and each line after a minimum that leaves two lines at either end."""
+            low = lambda i: (F.get(r, i - 1) < F.get(r, i - 2)) & (F.get(r, i - 1) < F.get(r, i))
+            return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (i >= 2) & (i <= n - 2) & low(i))
 
-def _chunks() -> Column:
-    """The chunks of _lines as an array of texts."""
-    after = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_lines"))
-    return F.transform(F.col("_starts"), lambda s, k: F.array_join(F.slice("_lines", s + 1, after(k) - s), "\n"))
+        def cut(at: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(at, k + 1), n)
+            return F.transform(at, lambda s, k: F.array_join(F.slice(lines, s + 1, end(k) - s), "\n"))
+
+        return _bind(_bind(_bind(hashes, roll), starts), cut)
+
+    return F.when(text.isNotNull(), _bind(F.split(text, "\n", -1), from_lines))
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -62,16 +62,16 @@ def _cut(docs: DataFrame) -> DataFrame:
         "text",
     )
     texts = keyed.where("text is not null").select("_doc", "_text", "text")
-    hashes = F.transform(_chunks(), lambda c: F.when(c.rlike(r"\S"), F.xxhash64(c)))
-    light = _with_starts(texts).where("size(_lines) > 1").select("_doc", "_text", F.posexplode(hashes).alias("k", "h"))
+    hashes = F.transform(chunks(F.col("text")), lambda c: F.when(c.rlike(r"\S"), F.xxhash64(c)))
+    light = texts.where(F.contains("text", F.lit("\n"))).select("_doc", "_text", F.posexplode(hashes).alias("k", "h"))
     light = shared.materialize(light.where("h is not null").distinct(), "chunk_hashes")
     again = light.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     # A document's chunks that meet others by hash; their number is that of its chunks at most.
     asked = light.join(again, "h").groupBy("_doc", "_text").agg(F.collect_list(F.struct("k", "h")).alias("asked"))
     asked = shared.materialize(asked, "asked")
-    met = _with_starts(texts.join(asked.hint("merge"), ["_doc", "_text"]).dropDuplicates(["_doc", "_text"]))
-    found = F.transform("asked", lambda a: F.struct(a["k"], a["h"], F.get("_chunks", a["k"]).alias("chunk")))
-    met = met.withColumn("_chunks", _chunks()).select("_doc", "_text", F.inline(found))
+    met = texts.join(asked.hint("merge"), ["_doc", "_text"]).dropDuplicates(["_doc", "_text"])
+    pick = lambda all_: F.transform("asked", lambda a: F.struct(a["k"], a["h"], F.get(all_, a["k"]).alias("chunk")))
+    met = met.select("_doc", "_text", F.inline(_bind(chunks(F.col("text")), pick)))
     met = shared.materialize(met, "repeated_chunks")
     first = (
         met.groupBy("h", "chunk")
@@ -86,16 +86,22 @@ def _cut(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set("k").alias("_gone"))
     )
     gone = shared.materialize(gone, "removed")
-    joined = _with_starts(keyed.join(gone.hint("merge"), ["_doc", "_text"], "left"))
-    kept = F.filter(_chunks(), lambda c, k: ~F.array_contains("_gone", k))
-    new = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(
+    joined = keyed.join(gone.hint("merge"), ["_doc", "_text"], "left")
+
+    def result(all_: Column) -> Column:
+        kept = F.filter(all_, lambda c, k: ~F.array_contains("_gone", k))
+        new = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+        return F.struct(new.alias("text"), F.size(all_).alias("n"))
+
+    out = joined.select("_row", "_gone", _bind(F.coalesce(chunks(F.col("text")), F.array().cast("array<string>")), result).alias("_out"))
+    left = F.when(F.col("_gone").isNotNull(), F.col("_out.text"))
+    return out.select(
         "_row",
-        new.alias("_new"),
-        F.coalesce(F.size("_starts"), F.lit(-1)).cast("long").alias("n_chunks"),
+        F.col("_out.text").alias("_new"),
+        F.when(F.col("_out.n") > 0, F.col("_out.n")).otherwise(-1).cast("long").alias("n_chunks"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        "_gone",
-    ).select("_row", "_new", "n_chunks", "n_removed", (F.col("_gone").isNotNull() & (F.col("_new") == "")).alias("emptied"))
+        F.coalesce(left == "", F.lit(False)).alias("emptied"),
+    )
 
 
 def _row(docs: DataFrame, own: tuple[str, ...] = ()) -> list[Column]:
