@@ -355,7 +355,11 @@ def near_duplicates(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
         kept = labelled.join(sent.select("cluster", "part").distinct(), ["cluster", "part"], "left_semi")
         rows = kept.select("doc_id", "cluster", "part", "label").unionByName(sent).distinct()
         links = links.unionByName(first).unionByName(_parts_to_links(texts, rows))
-    links = shared.materialize(links, "links")
+    # Rows that share a doc_id are one document, so their classes are linked through it.
+    held = full.select("doc_id", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).where("doc_id is not null")
+    several = held.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("doc_id")
+    shared_ids = held.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    links = shared.materialize(links.unionByName(shared_ids), "links")
     root = shared.components(links)
     classes = classes.join(root, classes["rep"] == root["u"], "left").select(
         "fp1", "fp2", "n_shingles", F.least("rep", F.coalesce("root", "rep")).alias("component_id")

@@ -31,6 +31,8 @@ def documents(spark, seed=0, n=60):
     rows = []
     for i, t in enumerate(texts(seed, n)):
         rows.append((i * 3 % 1000, t, "en" if i % 2 else None, f"s{i % 4}" if i % 5 else None, len(t) if t is not None else None, "h", i, "s", 1, "t", "b"))
+    # One id with two texts, the second of them another id's as well.
+    rows += [(rows[20][0], rows[40][1], "en", "s1", len(rows[40][1] or ""), "h", 0, "s", 1, "t", "b")]
     rows += [rows[3], rows[3], (None, "no id here", "en", "s1", 10, "h", 0, "s", 1, "t", "b")]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
