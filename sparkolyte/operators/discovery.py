@@ -80,11 +80,14 @@ def evaluate_fold(c: Condition, x, y, t, test, w) -> dict | None:
     except ValueError:
         return None
     p = m.predict(b[:, kept])
-    return {"k": best[0], "kept": kept, "pred": p, "sse": float(((y[test] - p) ** 2).sum()), "tss": float(((y[test] - y[train].mean()) ** 2).sum()), "n_test": int(test.sum())}
+    return {"k": best[0], "kept": kept, "model": m, "pred": p, "sse": float(((y[test] - p) ** 2).sum()), "tss": float(((y[test] - y[train].mean()) ** 2).sum()), "n_test": int(test.sum())}
 
 
 def run_conditions(df: DataFrame, features: list[str], y: str, conditions: list[Condition], sensor: str = "sensor", time: str = "timepoint", weight: str | None = None, min_train_times: int = 3) -> DataFrame:
-    """condition, channel, t_test, k, n_features, selected, sse, n_test, tss: a row per condition and fold."""
+    """A row per condition and fold: condition, channel, t_test, k, n_features, selected, sse, n_test, tss, and the fold's
+    model as coef and intercept on its scaled features, so that one fold is read by a filter on its keys.
+    """
+    names = ["condition", "channel", "t_test", "k", "n_features", "selected", "sse", "n_test", "tss", "coef", "intercept"]
     spark = df.sparkSession
     folds = forward_folds(df, sensor, time, min_train_times)
     rows = df.select(
@@ -105,13 +108,14 @@ def run_conditions(df: DataFrame, features: list[str], y: str, conditions: list[
         x, target, t = pdf[features].to_numpy(float), pdf._y.to_numpy(float), pdf._t.to_numpy(float)
         got = evaluate_fold(c, x, target, t, t == float(pdf.t_test.iloc[0]), pdf._w.to_numpy(float))
         if got is None:
-            return pd.DataFrame(columns=["condition", "channel", "t_test", "k", "n_features", "selected", "sse", "n_test", "tss"])
+            return pd.DataFrame(columns=names)
         kept = [features[i] for i in got["kept"]]
         row = [c.name, pdf.channel.iloc[0], pdf.t_test.iloc[0], got["k"], len(kept), kept, got["sse"], got["n_test"], got["tss"]]
-        return pd.DataFrame([row], columns=["condition", "channel", "t_test", "k", "n_features", "selected", "sse", "n_test", "tss"])
+        row += got["model"].linear()
+        return pd.DataFrame([row], columns=names)
 
     types = {f.name: f.dataType.simpleString() for f in folds.schema.fields}
-    schema = f"condition string, channel {types['channel']}, t_test {types['t_test']}, k int, n_features int, selected array<string>, sse double, n_test long, tss double"
+    schema = f"condition string, channel {types['channel']}, t_test {types['t_test']}, k int, n_features int, selected array<string>, sse double, n_test long, tss double, coef array<double>, intercept double"
     return joined.groupBy("condition", "channel", "t_test").applyInPandas(one, schema)
 
 
