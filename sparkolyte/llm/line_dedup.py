@@ -4,7 +4,7 @@ A text's lines get hashes; a rolling hash over each line and the one before it h
 chunks end. A boundary depends on the lines around it alone, so text put in or cut out moves only the boundaries
 beside it; minima are never neighbours and the ends of a text are kept free, so a chunk has two lines at least,
 three on average, unless the text is a single line. Chunks that meet by hash are compared byte for byte; of equal
-multi-line chunks that hold anything but white space, the first by (doc_id, text, place) stays and the others go.
+multi-line chunks that hold anything but white space, the first by (doc_id, hash of the text, place) stays and the others go.
 
 Null texts stay null; single lines stay. Rows that repeat a doc_id with the same text are cut alike; a null doc_id
 counts as the least. A text of which nothing is left becomes empty and has emptied = true. An empty table gives
