@@ -179,3 +179,30 @@ def test_mixing_edge_cases(spark):
     assert P.mix(empty(spark)).count() == 0 and P.mixed(empty(spark)).count() == 0
     bad = spark.createDataFrame([("s1", None), ("s2", -1.0), ("s3", 1.0)], "source string, weight double")
     assert {r.source for r in P.mix(docs, bad).collect()} == {"s3"}
+
+
+def test_targets_hold_with_thousands_of_sources(spark):
+    weights = {"hot": 134_600.0, "rare": 2.7, **{f"s{i}": 63.1 for i in range(3000)}}
+    docs = spark.createDataFrame([("hot",)] * 64 + [(s,) for s in weights], "source string")
+    given = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    plan = P.sources(docs, given).collect()
+    assert len(plan) == len(weights)
+    for r in plan:
+        assert abs(r.units / r.total / (weights[r.source] / sum(weights.values())) - 1) <= P.TOLERANCE
+
+
+def test_a_very_rare_source_is_passed_once(spark):
+    docs = spark.createDataFrame([(i, "rare" if i < 3 else "ab"[i % 2]) for i in range(2000)], "doc_id long, source string")
+    given = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("rare", 1e-4)], "source string, weight double")
+    rows = P.mix(docs, given).select("doc_id", "source", "number", "slot", "release", "deadline").distinct().collect()
+    assert sorted(r.doc_id for r in rows if r.source == "rare") == [0, 1, 2]
+    assert {r.doc_id for r in rows} == set(range(2000))
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+    blocks = {r.slot: r.source for r in rows}
+    assert sorted(blocks) == list(range(len(blocks)))
+    for s, w in (("a", 0.5), ("b", 0.5), ("rare", 1e-4)):
+        done = 0
+        for t in range(len(blocks)):
+            done += blocks[t] == s
+            # Less than a block, and the tolerance of the share.
+            assert abs(done - (t + 1) * w / 1.0001) < 1 + (t + 1) * w * P.TOLERANCE
