@@ -6,6 +6,11 @@ beside it; minima are never neighbours and the ends of a text are kept free, so
 three on average, unless the text is a single line. Chunks that meet by hash are compared byte for byte; of equal
 multi-line chunks that hold anything but white space, the first by (doc_id, hash of the text, place) stays and the others go.
 
+A passage between unique lines may hold no whole chunk, so chunks miss short ones (drop_repeated_chunks, which the SQL
+defines). deduplicated() takes pairs of neighbouring lines instead: a line goes when a pair that it is in, not all
+white space, stood earlier. So of every run of two lines or more that stood before, all lines go, whatever stands
+around it, and each line that goes has an equal one, earlier, that stays.
+
 Null texts stay null; single lines stay. Rows that repeat a doc_id with the same text are cut alike; a null doc_id
 counts as the least. A text of which nothing is left becomes empty and has emptied = true. An empty table gives
 no rows.
@@ -51,8 +56,16 @@ def chunks(text: Column) -> Column:
     return F.when(text.isNotNull(), _bind(F.split(text, "\n", -1), from_lines))
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """_row (all columns of docs), _new (the text cut), n_chunks, n_removed, emptied."""
+def pairs(text: Column) -> Column:
+    """Each two neighbouring lines of the text, joined by a line feed. NULL for NULL."""
+    two = lambda lines: F.transform(
+        F.slice(lines, F.lit(1), F.size(lines) - 1), lambda x, i: F.concat(x, F.lit("\n"), F.get(lines, i + 1))
+    )
+    return F.when(text.isNotNull(), _bind(F.split(text, "\n", -1), two))
+
+
+def _cut(docs: DataFrame, by=chunks) -> DataFrame:
+    """_row (all columns of docs), _new (the text cut), n_chunks, n_removed, emptied. by: chunks or pairs."""
     spark = shared.prepare(docs.sparkSession)
     lowest = F.lit(-(2**63))
     keyed = docs.select(
@@ -62,7 +75,7 @@ def _cut(docs: DataFrame) -> DataFrame:
         "text",
     )
     texts = keyed.where("text is not null").select("_doc", "_text", "text")
-    hashes = F.transform(chunks(F.col("text")), lambda c: F.when(c.rlike(r"\S"), F.xxhash64(c)))
+    hashes = F.transform(by(F.col("text")), lambda c: F.when(c.rlike(r"\S"), F.xxhash64(c)))
     light = texts.where(F.contains("text", F.lit("\n"))).select("_doc", "_text", F.posexplode(hashes).alias("k", "h"))
     light = shared.materialize(light.where("h is not null").distinct(), "chunk_hashes")
     again = light.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
@@ -71,7 +84,7 @@ def _cut(docs: DataFrame) -> DataFrame:
     asked = shared.materialize(asked, "asked")
     met = texts.join(asked.hint("merge"), ["_doc", "_text"]).dropDuplicates(["_doc", "_text"])
     pick = lambda all_: F.transform("asked", lambda a: F.struct(a["k"], a["h"], F.get(all_, a["k"]).alias("chunk")))
-    met = met.select("_doc", "_text", F.inline(_bind(chunks(F.col("text")), pick)))
+    met = met.select("_doc", "_text", F.inline(_bind(by(F.col("text")), pick)))
     met = shared.materialize(met, "repeated_chunks")
     first = (
         met.groupBy("h", "chunk")
@@ -89,11 +102,15 @@ def _cut(docs: DataFrame) -> DataFrame:
     joined = keyed.join(gone.hint("merge"), ["_doc", "_text"], "left")
 
     def result(all_: Column) -> Column:
-        kept = F.filter(all_, lambda c, k: ~F.array_contains("_gone", k))
+        gone = lambda k: F.array_contains("_gone", k)
+        kept = F.filter(all_, lambda c, k: ~(gone(k) if by is chunks else gone(k) | gone(k - 1)))
         new = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+        if by is pairs:
+            new = F.when(F.col("_gone").isNotNull() & ~new.rlike(r"\S"), "").otherwise(new)
         return F.struct(new.alias("text"), F.size(all_).alias("n"))
 
-    out = joined.select("_row", "_gone", _bind(F.coalesce(chunks(F.col("text")), F.array().cast("array<string>")), result).alias("_out"))
+    whole = chunks(F.col("text")) if by is chunks else F.split("text", "\n", -1)
+    out = joined.select("_row", "_gone", _bind(F.coalesce(whole, F.array().cast("array<string>")), result).alias("_out"))
     left = F.when(F.col("_gone").isNotNull(), F.col("_out.text"))
     return out.select(
         "_row",
@@ -115,9 +132,9 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents with their texts cut and n_chars brought up to date; those left empty go."""
+    """The documents without the lines of repeated runs and n_chars brought up to date; those left empty go."""
     columns = [F.length("_new").cast("long").alias(n) if n == "n_chars" else c for n, c in zip(docs.columns, _row(docs), strict=True)]
-    return _cut(docs).where("not emptied").select(*columns)
+    return _cut(docs, pairs).where("not emptied").select(*columns)
 
 
 SQL = f"""

@@ -77,6 +77,39 @@ def test_line_dedup_keeps_columns(spark):
     assert L.deduplicated(empty(spark)).count() == 0 and L.drop_repeated_chunks(empty(spark)).count() == 0
 
 
+def brute_runs(rows):
+    seen, out = {}, {}
+    for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        if text is None:
+            out[doc, text] = None
+            continue
+        lines, gone = text.split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            if re.search(r"\S", "".join(pair)) and seen.setdefault(pair, (doc, text, i)) != (doc, text, i):
+                gone |= {i, i + 1}
+        left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out[doc, text] = text if not gone else left if re.search(r"\S", left) else ""
+    return out
+
+
+def test_runs_by_brute_force(spark):
+    docs = documents(spark)
+    want = brute_runs([(r.doc_id, r.text) for r in docs.collect()])
+    after = L.deduplicated(docs.withColumn("was", F.col("text"))).collect()
+    assert after and all(r.text == want[r.doc_id, r.was] for r in after)
+    left = {(r.doc_id, r.was) for r in after}
+    assert all(k in left or t == "" for k, t in want.items())
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6])
+def test_short_repeated_passages_go(spark, n):
+    passage = [f"repeated line {n} {i * i}" for i in range(n)]
+    rows = [(d, "\n".join([f"own {d} a", f"own {d} b", *passage, f"own {d} c"])) for d in range(12)]
+    got = {r.doc_id: r.text for r in L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[d] == f"own {d} a\nown {d} b\nown {d} c" for d in range(1, 12))
+
+
 # ---- reply trees
 
 
