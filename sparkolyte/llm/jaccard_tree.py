@@ -6,8 +6,15 @@ values miss a pair at similarity 0.75 with a chance of about 1e-12. Inside a clu
 bitmaps: a node holds the OR of its documents' bitmaps, their size range and their largest count of bitmap
 collisions. Both sides of the tree are descended together; a pair of nodes is dropped if its largest possible
 overlap is too small, its sizes can't match, or all its documents are already linked with each other. What
-remains is compared exactly, set against set. Large clusters are cut into parts that share pivot documents; what
-the parts leave outside the cluster's main component is then compared with every part.
+remains is compared exactly, set against set.
+
+A cluster is dealt into parts of about PART_DOCS documents and PART_SHINGLES shingles, one or more, documents with a
+band in common into the same part where they fit. Clusters of several parts are dealt a second time by another band,
+which links large families whole. What is left to find there joins documents of different components. A shingle
+that one component alone has in its cluster can't be common to such a pair, so with those shingles put first, then
+the rarer ones, a linked pair shares one of the first n - ceil(3n / 4) + 1 of both sets. Documents meet by these
+shingles, the private ones left out, so documents that share no more than a common passage are sent nowhere. Rare
+shingles are put into parts together; one that very many documents have is cut into blocks that meet two by two.
 
 Nulls and texts without words have an empty set and no link. Rows that repeat a doc_id count as that document.
 A null doc_id keeps its n_shingles; its component_id is the least doc_id of its component, or null.
@@ -27,9 +34,9 @@ from .textbytes import FOLDED, WORD, SpanHash, find_words, mix, text_chunks
 
 SHINGLE = 5
 BANDS, ROWS = 72, 4
-#: Documents that one task compares at most, besides pivots and remainders.
-PART_DOCS = 2048
-PIVOTS = 32
+#: Documents and shingles that are compared at once, on average.
+PART_DOCS = 512
+PART_SHINGLES = 1 << 21
 LEAF = 8
 _rng = np.random.default_rng(5)
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -262,27 +269,157 @@ class SignatureTree:
 
 
 def _join_part(part: pa.Table) -> pa.Table:
-    doc = part.column("doc_id").to_pylist()
-    labels = part.column("label").to_pylist()
-    sets: list[np.ndarray] = []
+    doc, labels, sets = [], [], []
+    ids, label = part.column("doc_id").to_pylist(), part.column("label").to_pylist()
+    at = 0
     for chunk in part.column("text").chunks:
-        for _, _, data, offsets in text_chunks(chunk):
-            sets += shingle_sets(data, offsets)
-    pairs = SignatureTree(sets).links(labels) if len(sets) > 1 else []
+        for lo, hi, data, offsets in text_chunks(chunk):
+            for k, s in zip(range(at + lo, at + hi), shingle_sets(data, offsets), strict=True):
+                if len(s):
+                    doc.append(ids[k])
+                    labels.append(label[k])
+                    sets.append(s)
+        at += len(chunk)
+    pairs = SignatureTree(sets).links(labels) if len(set(labels)) > 1 else []
     return pa.table({"u": pa.array([doc[a] for a, _ in pairs], pa.int64()), "v": pa.array([doc[b] for _, b in pairs], pa.int64())})
 
 
 def _parts_to_links(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows: doc_id, cluster, part, label. Joins texts and compares each part in a task."""
+    """rows: doc_id, label and the columns of a part. Joins texts and compares each part in a task."""
+    part = [c for c in rows.columns if c not in ("doc_id", "label")]
     return (
         texts.join(rows.hint("merge"), "doc_id")
-        .select("doc_id", "label", "cluster", "part", "text")
-        .groupBy("cluster", "part")
+        .select("doc_id", "label", "text", *part)
+        .groupBy(*part)
         .applyInArrow(_join_part, "u long, v long")
     )
 
 
-def near_duplicates(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle of each text (doc_id, cluster, label, text); row tells apart the texts of one doc_id."""
+    for batch in batches:
+        keys = [batch.column(k) for k in range(3)]
+        for lo, _, data, offsets in text_chunks(batch.column(3)):
+            sets = shingle_sets(data, offsets)
+            n = np.array([len(s) for s in sets])
+            pick = pa.array(np.repeat(np.arange(lo, lo + len(sets)), n))
+            row = [int(mix(s.sum(keepdims=True))[0]) if len(s) else 0 for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(k.take(pick) for k in keys),
+                    pa.array(np.repeat(np.array(row, np.uint64).view(np.int64), n)),
+                    pa.array(np.repeat(n, n), pa.int64()),
+                    pa.array(np.concatenate(sets).view(np.int64)),
+                ],
+                ["doc_id", "cluster", "label", "row", "n", "token"],
+            )
+
+
+def _dealt(members: DataFrame, band: int, part_docs: int, part_shingles: int) -> DataFrame:
+    """members (doc_id, cluster, n, keys, parts, label) with their part: those with the same band together.
+
+    A band that too many have is dealt out by doc_id; the others share as many parts as the cluster needs.
+    """
+    key = F.xxhash64(F.substring("keys", 8 * band + 1, 8))
+    members = members.select("doc_id", "cluster", "label", "n", "parts", key.alias("key"))
+    load = F.greatest(F.count(F.lit(1)) / F.lit(part_docs), F.sum("n") / F.lit(part_shingles))
+    hot = members.where("parts > 1").groupBy("cluster", "key").agg(F.ceil(load).alias("blocks")).where("blocks > 1")
+    dealt = shared.spread(members, hot, ["cluster", "key"], "doc_id", "left")
+    return dealt.select(
+        "doc_id",
+        "label",
+        "cluster",
+        F.when(F.col("blocks").isNotNull(), F.col("key")).alias("hot"),
+        F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(band)), F.col("blocks")))
+        .otherwise(F.pmod("key", "parts"))
+        .alias("part"),
+    )
+
+
+def first_shingles(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, cluster, label, n and token: the shingles by which documents of different labels have to meet.
+
+    Of each text the first n - ceil(3n / 4) + 1 shingles, those first that only one label of the cluster has, then
+    the rarer ones; those of one label left out. Two linked texts of different labels have one of these in common.
+    """
+    rows = texts.join(members.select("doc_id", "cluster", "label").hint("merge"), "doc_id")
+    tokens = rows.select("doc_id", "cluster", "label", "text").mapInArrow(
+        _tokens, "doc_id long, cluster long, label long, row long, n long, token long"
+    )
+    tokens = shared.materialize(tokens, "shingles")
+    met = (
+        tokens.groupBy("cluster", "token")
+        .agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .where("low < high")
+        .select("cluster", "token", "df")
+    )
+    met = shared.spread(tokens, met, ["cluster", "token"], "doc_id")
+    listed = met.groupBy("doc_id", "cluster", "label", "row", "n").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("met"))
+    # Private shingles come first, so those that are met get what is left of the prefix.
+    left = F.size("met") - F.floor((3 * F.col("n") + 3) / 4) + 1
+    first = F.slice("met", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
+    return listed.select("doc_id", "cluster", "label", "n", F.explode(first).alias("t")).select(
+        "doc_id", "cluster", "label", "n", F.col("t.token").alias("token")
+    )
+
+
+def meeting_parts(first: DataFrame, part_docs: int, part_shingles: int) -> DataFrame:
+    """first_shingles' documents in parts (doc_id, label, cluster, hot, part, other): all that share one meet in one."""
+    load = F.greatest(F.count(F.lit(1)) / F.lit(part_docs), F.sum("n") / F.lit(part_shingles))
+    groups = (
+        first.groupBy("cluster", "token")
+        .agg(load.alias("load"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .where("low < high")
+        .select("cluster", "token", "load", F.ceil(2 * F.col("load")).alias("blocks"))
+    )
+    groups = shared.materialize(groups, "shingle_groups")
+    parts = groups.where("load <= 1").groupBy("cluster").agg(F.ceil(F.sum("load")).alias("parts"))
+    rare = shared.spread(groups.where("load <= 1"), parts, ["cluster"], "token").select(
+        "cluster", "token", F.lit(None).cast("long").alias("hot"), F.pmod(F.xxhash64("token"), "parts").alias("part"), F.lit(1).alias("blocks")
+    )
+    often = groups.where("load > 1").select("cluster", "token", F.col("token").alias("hot"), F.lit(0).cast("long").alias("part"), "blocks")
+    met = shared.spread(first, rare.unionByName(often), ["cluster", "token"], "doc_id")
+    own = F.pmod(F.xxhash64("doc_id"), "blocks")
+    other = F.when(F.col("hot").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != own)
+    )
+    met = met.withColumn("block", F.explode(other))
+    low, high = F.least(own, "block"), F.greatest(own, "block")
+    return met.select(
+        "doc_id",
+        "label",
+        "cluster",
+        "hot",
+        F.when(F.col("hot").isNull(), F.col("part")).otherwise(low).alias("part"),
+        F.when(F.col("hot").isNull(), F.lit(0).cast("long")).otherwise(high).alias("other"),
+    ).distinct()
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with the least doc_id that links join them with as their label."""
+    found = shared.components(links).select(F.col("u").alias("doc_id"), "root")
+    return members.drop("label").join(found, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
+
+
+def _links(texts: DataFrame, members: DataFrame, part_docs: int, part_shingles: int) -> DataFrame:
+    """Pairs (u, v) that span all links inside the clusters. members: doc_id, cluster, n, keys."""
+    load = F.greatest(F.count(F.lit(1)) / F.lit(part_docs), F.sum("n") / F.lit(part_shingles))
+    size = members.groupBy("cluster").agg(F.ceil(load).alias("parts")).where("parts > 1")
+    members = shared.spread(members, size, ["cluster"], "doc_id", "left").select(
+        "doc_id", "cluster", "n", "keys", F.coalesce("parts", F.lit(1).cast("long")).alias("parts"), F.col("doc_id").alias("label")
+    )
+    members = shared.materialize(members, "members")
+    links = shared.materialize(_parts_to_links(texts, _dealt(members, 0, part_docs, part_shingles)), "links_0")
+    # A cluster of one part is done.
+    members = members.where("parts > 1")
+    again = _dealt(_labelled(members, links), 1, part_docs, part_shingles)
+    links = links.unionByName(shared.materialize(_parts_to_links(texts, again), "links_1"))
+    first = shared.materialize(first_shingles(texts, _labelled(members, links)), "first_shingles")
+    met = shared.materialize(meeting_parts(first, part_docs, part_shingles), "meeting_parts")
+    return links.unionByName(shared.materialize(_parts_to_links(texts, met), "links_2"))
+
+
+def near_duplicates(docs: DataFrame, part_docs: int = PART_DOCS, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     spark = shared.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -290,15 +427,12 @@ def near_duplicates(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
         docs.mapInArrow(_describe, "doc_id long, n_shingles long, fp1 long, fp2 long, keys binary"), "sets"
     )
     full = described.where("n_shingles > 0")
-    classes = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    fingerprint = ["fp1", "fp2", "n_shingles"]
+    classes = full.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = shared.materialize(classes, "classes")
-    reps = (
-        full.select("doc_id", "n_shingles", "fp1", "fp2", "keys")
-        .join(classes, ["fp1", "fp2", "n_shingles"])
-        .where("doc_id = rep")
-        .dropDuplicates(["fp1", "fp2", "n_shingles"])
-        .select("doc_id", "n_shingles", "keys")
-    )
+    # By doc_id too, so that copies of one text don't meet in one task.
+    reps = full.join(classes.select(*fingerprint, F.col("rep").alias("doc_id")), ["doc_id", *fingerprint], "left_semi")
+    reps = reps.select("doc_id", "n_shingles", "keys")
     buckets = max(1, classes.count() * BANDS // 2_000_000 + 1) * 4
     edges = (
         reps.select("doc_id", "keys")
@@ -307,66 +441,27 @@ def near_duplicates(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
         .applyInArrow(_band_edges, "u long, v long")
     )
     near = shared.components(edges)
-    near = near.unionByName(near.select(F.col("root").alias("u"), "root").distinct())
-    sized = classes.groupBy(F.col("rep").alias("u")).agg(F.max("n_shingles").alias("n"))
-    near = near.join(sized, "u").select(
-        F.col("u").alias("doc_id"),
-        F.col("root").alias("cluster"),
-        F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int").alias("class"),
+    near = near.unionByName(near.select(F.col("root").alias("u"), "root").distinct()).select(
+        F.col("u").alias("doc_id"), F.col("root").alias("cluster")
     )
+    # Of the texts that share a doc_id the longest tells the bands and the size; all are compared.
+    near = near.join(reps, "doc_id").groupBy("doc_id", "cluster").agg(F.max(F.struct("n_shingles", "keys")).alias("w"))
+    near = near.select("doc_id", "cluster", F.col("w.n_shingles").alias("n"), "w.keys")
     near = shared.materialize(near, "clusters")
     # Texts move once, and only those of clusters move again.
     texts = shared.materialize(docs.join(near.select("doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
-    size = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    many = size.where(F.col("members") > part_docs)
-    small = near.join(size.where(F.col("members") <= part_docs), "cluster").select(
-        "doc_id", "cluster", F.lit("").alias("part"), F.col("doc_id").alias("label")
-    )
-    links = _parts_to_links(texts, small)
-    if not many.isEmpty():
-        cells = near.join(many, "cluster").groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("cell"))
-        big = near.join(cells, ["cluster", "class"]).withColumn(
-            "part",
-            F.concat_ws(
-                ".",
-                F.col("class").cast("string"),
-                F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("cell") / part_docs)).cast("string"),
-            ),
-        )
-        big = shared.materialize(big.select("doc_id", "cluster", "class", "part"), "parts")
-        parts = big.select("cluster", "class", "part").distinct()
-        spread = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PIVOTS))
-        pivots = big.groupBy("cluster", spread.alias("pivot")).agg(F.min("doc_id").alias("doc_id"))
-        pivots = pivots.join(parts, "cluster").select("doc_id", "cluster", "part")
-        rows = big.select("doc_id", "cluster", "part").unionByName(pivots).distinct()
-        first = shared.materialize(_parts_to_links(texts, rows.withColumn("label", F.col("doc_id"))), "first_links")
-        label = shared.components(first).withColumnRenamed("u", "doc_id")
-        labelled = big.join(label, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
-        labelled = shared.materialize(labelled, "labelled")
-        main = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = main.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        rest = labelled.join(main, "cluster").where("label != main").select("doc_id", "cluster", "class", "label")
-        sent = rest.alias("r").join(
-            parts.alias("p"),
-            F.expr("r.cluster = p.cluster and p.class between r.class - 1 and r.class + 1"),
-        )
-        sent = sent.select("r.doc_id", "r.cluster", "p.part", "r.label")
-        # Parts without a remainder have nothing left to compare.
-        kept = labelled.join(sent.select("cluster", "part").distinct(), ["cluster", "part"], "left_semi")
-        rows = kept.select("doc_id", "cluster", "part", "label").unionByName(sent).distinct()
-        links = links.unionByName(first).unionByName(_parts_to_links(texts, rows))
+    links = _links(texts, near, part_docs, part_shingles)
     # Rows that share a doc_id are one document, so their classes are linked through it.
-    held = full.select("doc_id", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).where("doc_id is not null")
-    several = held.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("doc_id")
-    shared_ids = held.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
-    links = shared.materialize(links.unionByName(shared_ids), "links")
-    root = shared.components(links)
-    classes = classes.join(root, classes["rep"] == root["u"], "left").select(
-        "fp1", "fp2", "n_shingles", F.least("rep", F.coalesce("root", "rep")).alias("component_id")
-    )
-    return described.join(classes, ["fp1", "fp2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    several = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp1").alias("a"), F.max("fp1").alias("b")).where("a != b")
+    held = full.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", *fingerprint).distinct()
+    shared_ids = held.join(classes, fingerprint).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    root = shared.components(links.unionByName(shared_ids))
+    copied = classes.where("copies > 1")
+    copied = copied.join(root, copied["rep"] == root["u"], "left").select(*fingerprint, F.coalesce("root", "rep").alias("of_class"))
+    found = shared.spread(described.drop("keys"), copied, fingerprint, "doc_id", "left")
+    found = found.join(root.withColumnRenamed("u", "doc_id"), "doc_id", "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("of_class", "root", "doc_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

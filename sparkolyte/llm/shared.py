@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts vary from a few bytes to many megabytes, so batches stay short.
 BATCH_ROWS = 512
+#: Tasks that the rows of one key are dealt to where a key may hold many.
+SALTS = 16
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -27,13 +29,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster's session names no folder that driver and executors share."""
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, if unset, one of our own."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
+    if root is None and current.isDefined():
+        root = current.get()
     if root is None:
-        root = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="sparkolyte-")
+        if not sc.master.startswith("local"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="sparkolyte-")
     if not current.isDefined():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -53,33 +63,55 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize wrote and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups (a row per key), the rows of one key dealt to SALTS tasks by a hash of the column by."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(groups.withColumn("_salt", salts), [*keys, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u long, v long) as (u, root), root the smallest id reachable.
 
     Alternates large-star and small-star rounds (Kiveris et al. 2014), so work per round is linear in the
-    edges and no node's neighbours are gathered in one row. Self loops and null ends are ignored.
+    edges and no node's neighbours are gathered in one row. A node's edges meet its new label only where that
+    differs from the node, and are salted there, so a hub's edges lie in several tasks. Self loops and null ends
+    are ignored.
     """
-    e = (
+    kept = (
         edges.where("u is not null and v is not null and u != v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
-        .checkpoint()
     )
+    e = materialize(kept, "edges")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.unionByName(low.withColumnRenamed("m", "v")).distinct().checkpoint()
+        moved = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
+        large = spread(both.where("v > u"), moved, ["u"], "v", "left")
+        large = materialize(large.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct(), "large_star")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top"))
+        several = low.where("m < top").select("u", "m")
+        small = spread(large, several, ["u"], "v").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, e = e, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(last)
+        discard(large)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select("u", F.col("v").alias("root"))

@@ -184,6 +184,58 @@ def test_components_by_brute_force(spark, part):
     assert sorted(got, key=str) == sorted(brute_components(rows), key=str)
 
 
+def with_passage(n, own=60):
+    """Documents of n, half of each a passage that all share, none linked; with the last two a copy is near."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"o{i}x{j}" for j in range(own))) for i in range(n)]
+    return [*rows, (n, rows[-1][1] + " tail"), (n + 1, "head " + rows[-2][1])]
+
+
+@pytest.mark.parametrize("n", [60, 120])
+def test_a_shared_passage_sends_nothing_twice(spark, n):
+    docs = spark.createDataFrame(with_passage(n), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(docs, 8).collect()}
+    assert got == {**{i: i for i in range(n)}, n: n - 1, n + 1: n - 2}
+    members = docs.select("doc_id", F.lit(0).cast("long").alias("cluster"), F.col("doc_id").alias("label"))
+    first = J.first_shingles(docs, members)
+    # Only the four documents of the two linked pairs go on to meet others.
+    assert {r.doc_id for r in first.select("doc_id").collect()} <= {n - 2, n - 1, n, n + 1}
+    assert J.meeting_parts(first, 8, 10**6).count() <= 4 * 15
+
+
+def test_parts_are_bounded(spark):
+    rows = with_passage(200)
+    keys = {d: J.band_keys(J.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]).tobytes() for d, t in rows}
+    members = spark.createDataFrame([(d, 0, 112, bytearray(keys[d]), 13, d) for d, _ in rows], "doc_id long, cluster long, n long, keys binary, parts long, label long")
+    for band in (0, 1):
+        dealt = J._dealt(members, band, 16, 10**6)
+        assert dealt.count() == len(rows)
+        assert max(r["count"] for r in dealt.groupBy("cluster", "hot", "part").count().collect()) <= 48
+    # A shingle that all documents need is met in blocks, two by two.
+    first = spark.createDataFrame([(d, 0, d, 100, 7) for d, _ in rows], "doc_id long, cluster long, label long, n long, token long")
+    met = J.meeting_parts(first, 16, 10**6)
+    parts = defaultdict(set)
+    for r in met.collect():
+        parts[r.hot, r.part, r.other].add(r.doc_id)
+    assert max(map(len, parts.values())) <= 32
+    together = {(a, b) for p in parts.values() for a in p for b in p if a < b}
+    assert len(together) == len(rows) * (len(rows) - 1) // 2
+
+
+def test_families_close_to_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for family in range(6):
+        for i in range(20):
+            words = [f"c{j}" for j in range(100)] + [f"f{family}y{j}" for j in range(22 + family)]
+            for _ in range(int(rng.integers(0, 3))):
+                words[int(rng.integers(0, len(words)))] = f"e{rng.integers(0, 999)}"
+            rows.append((family * 100 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in J.near_duplicates(docs, 10).collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+
+
 def test_tree_finds_every_link():
     sets = [np.unique(np.random.default_rng(s // 3).integers(0, 1 << 60, 40 + s // 3).astype(np.uint64)) for s in range(90)]
     pairs = J.SignatureTree(sets).links(list(range(90)))
