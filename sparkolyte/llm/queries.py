@@ -27,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_repeated_chunks(table(spark, sf_dir, "documents"))
+    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

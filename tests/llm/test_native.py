@@ -26,70 +26,56 @@ def test_equals_sql(spark, name):
 # ---- line dedup
 
 
-def chunks(text):
-    lines = text.split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    r = [((h[i - 1] if i else 0) * L.MULTIPLIER + h[i]) % L.MODULUS for i in range(len(h))]
-    starts = [0] + [i + 1 for i in range(1, len(r) - 2) if r[i] < r[i - 1] and r[i] < r[i + 1]]
-    return ["\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
-
-
-def brute_dedup(rows):
+def brute_runs(rows):
     seen, out = {}, {}
     for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         if text is None:
             out[doc, text] = None
             continue
-        kept = []
-        cut = chunks(text)
-        for k, c in enumerate(cut):
-            if len(text.split("\n")) > 1 and re.search(r"\S", c) and seen.setdefault(c, (doc, text, k)) != (doc, text, k):
-                continue
-            kept.append(c)
-        out[doc, text] = "\n".join(kept) if len(kept) < len(cut) else text
+        lines, gone = text.split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            if re.search(r"\S", "".join(pair)) and seen.setdefault(pair, (doc, text, i)) != (doc, text, i):
+                gone |= {i, i + 1}
+        left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out[doc, text] = text if not gone else left if re.search(r"\S", left) else ""
     return out
 
 
 def test_line_dedup_by_brute_force(spark):
     docs = documents(spark)
     before = [(r.doc_id, r.text) for r in docs.collect()]
-    want = brute_dedup(before)
-    after = L.drop_repeated_chunks(docs.withColumn("was", F.col("text"))).collect()
+    want = brute_runs(before)
+    after = L.drop_repeated_lines(docs.withColumn("was", F.col("text"))).collect()
     assert Counter((r.doc_id, r.was) for r in after) == Counter(before)
     for r in after:
         assert r.text == want[r.doc_id, r.was], r.doc_id
-        assert r.emptied == (r.text == "" and r.was != "")
+        assert r.n_lines == (-1 if r.was is None else r.was.count("\n") + 1)
+        assert r.emptied == (r.text == "" and r.n_removed > 0)
     assert sum(r.n_removed for r in after) > 5
 
 
-def test_chunks_resist_shifts():
-    text = "\n".join(f"line {i * i} of it" for i in range(80))
-    a, b = chunks(text), chunks("new first line\n" + text)
-    assert len(set(a) & set(b)) >= len(a) - 2
-    assert all(c.count("\n") for c in a)
-
-
 def test_line_dedup_keeps_columns(spark):
     docs = documents(spark)
     out = L.deduplicated(docs)
     assert out.columns == docs.columns
     assert out.where("text is not null and n_chars != length(text)").count() == 0
-    assert L.deduplicated(empty(spark)).count() == 0 and L.drop_repeated_chunks(empty(spark)).count() == 0
+    assert L.deduplicated(empty(spark)).count() == 0 and L.drop_repeated_lines(empty(spark)).count() == 0
 
 
-def brute_runs(rows):
-    seen, out = {}, {}
-    for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        if text is None:
-            out[doc, text] = None
-            continue
-        lines, gone = text.split("\n"), set()
-        for i, pair in enumerate(zip(lines, lines[1:])):
-            if re.search(r"\S", "".join(pair)) and seen.setdefault(pair, (doc, text, i)) != (doc, text, i):
-                gone |= {i, i + 1}
-        left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-        out[doc, text] = text if not gone else left if re.search(r"\S", left) else ""
-    return out
+def test_no_line_is_lost(spark):
+    docs = documents(spark)
+    lines = lambda rows: {x for r in rows for x in (r.text or "").split("\n") if x.strip()}
+    assert lines(docs.collect()) == lines(L.drop_repeated_lines(docs).collect())
+
+
+def test_equal_hashes_are_compared_by_bytes(spark, monkeypatch):
+    same = lambda *c: F.lit(7).cast("long") if c == ("pair",) else hashed(*c)
+    hashed = F.xxhash64
+    rows = [(d, f"a{d % 3}\nb\nc{d}\nd{d % 2}\ne") for d in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(L.F, "xxhash64", lambda *c: hashed(*c) % 3 if not isinstance(c[0], str) else same(*c))
+    got = {r.doc_id: r.text for r in L.drop_repeated_lines(docs).collect()}
+    assert got == {d: t for (d, _), t in brute_runs(rows).items()}
 
 
 def test_runs_by_brute_force(spark):
