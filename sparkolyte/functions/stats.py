@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -24,29 +26,70 @@ def pearson(x: Column, y: Column, least: int = 2) -> Column:
     return F.when((F.count(x) >= least) & (F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12), r)
 
 
-def weighted_line(x: Column, y: Column, w: Column) -> tuple[Column, Column]:
-    """Slope and intercept of weighted least squares, from sums."""
-    sw, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
-    sxx, sxy = F.sum(w * x * x), F.sum(w * x * y)
-    slope = F.try_divide(sw * sxy - sx * sy, sw * sxx - sx * sx)
-    return slope, F.try_divide(sy - slope * sx, sw)
+def centred(df: DataFrame, keys: list[str], w: Column, **columns: Column) -> DataFrame:
+    """Adds for each name _m_<name>, the column's weighted mean within keys, and _c_<name>, its distance from it.
 
+    Sums of such distances lose no digits to the means, however far apart the weights are.
+    """
+    here = W.partitionBy(*keys)
+    means = {f"_m_{n}": F.try_divide(F.sum(w * c).over(here), F.sum(w).over(here)) for n, c in columns.items()}
+    return df.withColumns(means).withColumns({f"_c_{n}": c - F.col(f"_m_{n}") for n, c in columns.items()})
 
-def parabola(x: Column, y: Column, w: Column) -> Column:
-    """The quadratic coefficient of weighted least squares, by Cramer's rule on the normal equations."""
-    s = [F.sum(w * F.pow(x, F.lit(k))) for k in range(5)]
-    t = [F.sum(w * F.pow(x, F.lit(k)) * y) for k in range(3)]
 
-    def det(a: list[list[Column]]) -> Column:
-        return (
-            a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1])
-            - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0])
-            + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0])
-        )
+def weighted_line(w: Column) -> tuple[Column, Column]:
+    """Slope and intercept of weighted least squares of y on x, over rows of centred(..., x=, y=)."""
+    x, y = F.col("_c_x"), F.col("_c_y")
+    slope = F.try_divide(F.sum(w * x * y), F.sum(w * x * x))
+    return slope, F.max("_m_y") - slope * F.max("_m_x")
 
-    left = [[s[0], s[1], s[2]], [s[1], s[2], s[3]], [s[2], s[3], s[4]]]
-    right = [[s[0], s[1], t[0]], [s[1], s[2], t[1]], [s[2], s[3], t[2]]]
-    return F.try_divide(det(right), det(left))
+
+def parabola(w: Column) -> Column:
+    """The quadratic coefficient of weighted least squares, over rows of centred(..., x=, y=).
+
+    x and y are centred, so the normal equations are two: those of the slope and of the square less its projections.
+    """
+    x, y = F.col("_c_x"), F.col("_c_y")
+    s0, s2, s3, s4 = F.sum(w), F.sum(w * x * x), F.sum(w * x * x * x), F.sum(w * x * x * x * x)
+    t1, t2 = F.sum(w * x * y), F.sum(w * x * x * y)
+    return F.try_divide(t2 - F.try_divide(s3 * t1, s2), s4 - F.try_divide(s3 * s3, s2) - F.try_divide(s2 * s2, s0))
+
+
+def _hat(window: int, poly: int) -> np.ndarray:
+    """Row k gives the value at place k of a least-squares polynomial through a window's values."""
+    basis = np.vander(np.arange(window) - window // 2, min(poly, window - 1) + 1, increasing=True).astype(float)
+    return basis @ np.linalg.pinv(basis)
+
+
+def savgol(values: Column, window: int, poly: int, least: int = 3) -> Column:
+    """Least-squares polynomial smoothing of an array; its ends take the polynomials of the first and last window.
+
+    The window is made odd downwards and no longer than the array; below `least` values the array stays as it is.
+    """
+    widths = [n for n in range(3, window + 1, 2) if n >= least]
+    if not widths:
+        return values
+
+    def smooth(y: Column) -> Column:
+        out = F.when(F.size(y) < widths[0], y)
+        for width in widths:
+            rows = F.array(*[F.array(*[F.lit(float(h)) for h in row]) for row in _hat(width, poly)])
+
+            fits = F.size(y) >= width if width == widths[-1] else F.size(y) < width + 2
+            out = out.when(fits, F.transform(y, _place(y, width, rows)))
+        return out
+
+    return bind(values, smooth)
+
+
+def _place(y: Column, width: int, rows: Column):
+    """The smoothed value at place i of y."""
+
+    def value(_: Column, i: Column) -> Column:
+        start = F.least(F.greatest(i - width // 2, F.lit(0)), F.size(y) - width)
+        parts = F.zip_with(F.get(rows, i - start), F.slice(y, start + 1, F.lit(width)), lambda h, x: h * x)
+        return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+
+    return value
 
 
 def median(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import parabola, pearson, weighted_line
+from ..functions.stats import centred, parabola, pearson, weighted_line
 
 KEY = ["device", "channel", "timepoint"]
 
@@ -68,8 +68,9 @@ def sensitivity(df: DataFrame, keys: list[str] = KEY, weight: str | None = None,
     d = finite_doses(df).withColumn("_x", F.log10("concentration"))
     d = sigma_weights(d, weight, keys) if weight else d.withColumn("_w", F.lit(1.0))
     w = F.pow("_w", F.lit(4.0))
-    x, y = F.col("_x"), F.col("response")
-    slope, intercept = weighted_line(x, y, w)
+    x, y = F.col("_x"), F.col("response").cast("double")
+    d = centred(d, keys, w, x=x, y=y)
+    slope, intercept = weighted_line(w)
     n = F.countDistinct("concentration")
     return (
         d.groupBy(*keys)
@@ -77,7 +78,7 @@ def sensitivity(df: DataFrame, keys: list[str] = KEY, weight: str | None = None,
             n.alias("n_conc"),
             slope.alias("slope"),
             intercept.alias("intercept"),
-            F.when(n >= 4, parabola(x, y, w)).alias("curvature"),
+            F.when(n >= 4, parabola(w)).alias("curvature"),
             pearson(x, y, 3).alias("dose_response_r"),
         )
         .where(F.col("n_conc") >= min_conc)
@@ -92,7 +93,9 @@ def power_law(df: DataFrame, keys: list[str] = KEY, weight: str | None = None) -
         d = d.withColumn("_w", F.when((raw > 0) & (raw < float("inf")), raw).otherwise(0.0))
     else:
         d = d.withColumn("_w", F.lit(1.0))
-    slope, intercept = weighted_line(F.ln("concentration"), F.ln("response"), F.col("_w") * F.col("_w"))
+    w = F.col("_w") * F.col("_w")
+    d = centred(d, keys, w, x=F.ln("concentration"), y=F.ln("response"))
+    slope, intercept = weighted_line(w)
     return (
         d.groupBy(*keys)
         .agg(F.countDistinct("concentration").alias("n_conc"), slope.alias("exponent"), F.exp(intercept).alias("amplitude"))

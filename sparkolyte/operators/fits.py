@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numerics as N
+from ..functions.stats import savgol
 
 
 def curve_fit(df: DataFrame, keys: list[str], how: str, weight: str | None = None) -> DataFrame:
@@ -44,7 +45,7 @@ def _arrays(f):
 
 
 def smoothed(values: Column, window: int = 11, poly: int = 2) -> Column:
-    return _arrays(lambda y: N.savgol(y, window, poly))(values)
+    return savgol(values, window, poly)
 
 
 def aligned_background(voltage: Column, bg_voltage: Column, bg_current: Column) -> Column:
@@ -61,18 +62,6 @@ def background_features(voltage: Column, current: Column) -> Column:
     return run(voltage, current)
 
 
-def smooth_local_n(log_f: Column, log_mag: Column) -> Column:
-    """Minus the gradient of log magnitude, smoothed over 7 points at most when there are 5."""
-
-    def one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        if len(x) < 2:
-            return np.full(len(x), np.nan)
-        y = N.savgol(y, min(7, len(y) if len(y) % 2 else len(y) - 1), 2) if len(y) >= 5 else y
-        return -np.gradient(y, x)
-
-    return _arrays(one)(log_f, log_mag)
-
-
 def current_at(voltage: Column, current: Column, target: float = 0.7) -> Column:
     """The rising half's current at a voltage, clamped at its ends."""
 

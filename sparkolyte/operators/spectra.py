@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import bind, clean
+from ..functions.stats import bind, clean, savgol
 
 # Frequency sub-bands in Hz, half-open.
 BANDS = {"LF": (10.0, 300.0), "MF": (300.0, 3000.0), "HF": (3000.0, 100000.0)}
@@ -130,10 +130,15 @@ def with_features(df: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     )
 
 
-def local_n(df: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """Adds local_n: minus the gradient of log10 magnitude over log10 frequency, second order inside, one-sided at the ends."""
+def local_n(df: DataFrame, band: tuple[float, float] = BAND, smooth: bool = False) -> DataFrame:
+    """Adds local_n: minus the gradient of log10 magnitude over log10 frequency, second order inside, one-sided at the ends.
+
+    smooth: over 7 points at most, from 5 on, before the gradient.
+    """
     d = in_band(df, band)
-    points = F.transform("pts", lambda p: F.struct(F.log10(p["f"]).alias("x"), F.log10(_mag(p)).alias("y")))
+    level = F.transform("pts", lambda p: F.log10(_mag(p)))
+    level = savgol(level, 7, 2, 5) if smooth else level
+    points = F.zip_with("pts", level, lambda p, y: F.struct(F.log10(p["f"]).alias("x"), y.alias("y")))
 
     def gradient(q: Column) -> Column:
         n = F.size(q)
@@ -167,18 +172,30 @@ def _mean(a: Column) -> Column:
 
 
 def _between(lo: float, hi: float):
-    return lambda z: (z["feats"]["f"] >= lo) & (z["feats"]["f"] < hi)
+    return lambda p: (p["f"] >= lo) & (p["f"] < hi)
 
 
-def band_means(df: DataFrame, band=BAND) -> DataFrame:
+def band_means(df: DataFrame, band=BAND, smooth: bool = False) -> DataFrame:
     """Mean ideality_C and local_n in each sub-band, NULL where it is empty."""
-    d = local_n(with_features(df, band), band)
+    d = local_n(df, band, smooth)
+    points = F.zip_with("pts", "local_n", lambda p, n: F.struct(p["f"].alias("f"), point_features(p)["ideality_C"].alias("c"), n.alias("n")))
+    start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("c"), F.lit(0.0).alias("n"))
+
+    def means(z: Column) -> Column:
+        out = []
+        for name, (lo, hi) in BANDS.items():
+            inside = F.filter(z, _between(lo, hi))
+            add = lambda s, p: F.struct((s["k"] + 1).alias("k"), (s["c"] + p["c"]).alias("c"), (s["n"] + p["n"]).alias("n"))
+            one = lambda s: F.struct(F.try_divide(s["c"], s["k"]).alias("c"), F.try_divide(s["n"], s["k"]).alias("n"))
+            out.append(F.aggregate(inside, start, add, one).alias(name))
+        return F.struct(*out)
+
+    d = d.withColumn("_means", bind(points, means))
     cols = {}
-    for name, (lo, hi) in BANDS.items():
-        inside = F.filter(F.arrays_zip("feats", "local_n"), _between(lo, hi))
-        cols[f"ideality_C_band_{name}"] = _mean(F.transform(inside, lambda z: z["feats"]["ideality_C"]))
-        cols[f"n_band_{name}"] = _mean(F.transform(inside, lambda z: z["local_n"]))
-    return d.withColumns(cols).drop("pts", "feats", "local_n")
+    for name in BANDS:
+        cols[f"ideality_C_band_{name}"] = F.col(f"_means.{name}.c")
+        cols[f"n_band_{name}"] = F.col(f"_means.{name}.n")
+    return d.withColumns(cols).drop("pts", "local_n", "_means")
 
 
 def crossover(df: DataFrame, level: float = 0.5, band=BAND) -> DataFrame:

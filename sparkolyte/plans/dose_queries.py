@@ -158,8 +158,10 @@ WSUMS = """w as (select *, log10(concentration) as x, greatest(coalesce(case whe
 
 
 @query(
-    f"""with {SNR_SQL}, {WSUMS}, s as (select {K}, count(distinct concentration) as n_conc, sum(w) as sw, sum(w * x) as sx, sum(w * response) as sy, sum(w * x * x) as sxx, sum(w * x * response) as sxy from w group by all)
-select {K}, n_conc, round((sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0), 3) as slope from s where n_conc >= 3"""
+    f"""with {SNR_SQL}, {WSUMS}, m as (select *, x - sum(w * x) over k / sum(w) over k as cx, response - sum(w * response) over k / sum(w) over k as cy
+    from w window k as (partition by device, channel, timepoint))
+select {K}, count(distinct concentration) as n_conc, round(sum(w * cx * cy) / nullif(sum(w * cx * cx), 0), 3) as slope
+from m group by all having count(distinct concentration) >= 3"""
 )
 def dose_slope_weighted(spark, sf):
     d = D.sensitivity(_with_snr(spark, sf), weight="snr")
@@ -167,8 +169,8 @@ def dose_slope_weighted(spark, sf):
 
 
 @query(
-    f"""with {A.OBS_SQL}, w as (select *, log10(concentration) as x from obs),
- s as (select {K}, count(distinct concentration) as n, count(*)::double as a, sum(x) as b, sum(x**2) as c, sum(x**3) as d, sum(x**4) as e, sum(response) as p, sum(x*response) as q, sum(x**2*response) as r from w group by all)
+    f"""with {A.OBS_SQL}, w as (select *, log10(concentration) - avg(log10(concentration)) over k as x, response - avg(response) over k as y from obs where response is not null window k as (partition by device, channel, timepoint)),
+ s as (select {K}, count(distinct concentration) as n, count(*)::double as a, sum(x) as b, sum(x**2) as c, sum(x**3) as d, sum(x**4) as e, sum(y) as p, sum(x*y) as q, sum(x**2*y) as r from w group by all)
 select {K}, case when n >= 4 then round((a*(c*r-q*d) - b*(b*r-q*c) + p*(b*d-c*c)) / nullif(a*(c*e-d*d) - b*(b*e-d*c) + c*(b*d-c*c), 0), 3) end as curvature from s where n >= 3"""
 )
 def dose_curvature(spark, sf):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.stats import _hat
+from ..functions.stats import rounded as r6
 from ..operators import discovery as R
 from ..operators import evaluation as E
 from ..operators import fits as T
@@ -13,6 +15,7 @@ from ..operators import waveforms as V
 from ..sources import adapters as A
 from .dose_queries import _with_snr
 from .registry import query
+from .spectra_queries import BAND, GRADIENT, INB
 
 K3 = ["device", "channel", "timepoint"]
 
@@ -27,34 +30,79 @@ def hill_fit(spark, sf):
     return T.curve_fit(_with_snr(spark, sf), K3, "hill", "snr")
 
 
-@query()
+def _hat_sql(window: int) -> str:
+    """Rows (r, k, w): the weight of the window's value k in the smoothed value at its place r."""
+    rows = ", ".join(f"({r}, {k}, {w!r}::double)" for r, row in enumerate(_hat(window, 2).tolist()) for k, w in enumerate(row))
+    return f"hat as (select * from (values {rows}) h(r, k, w))"
+
+
+def _smooth_sql(table: str, keys: str, value: str, window: int) -> str:
+    """Smoothed values of table, whose rows have keys, their place i and their number n, by weights of window."""
+    half = window // 2
+    place = f"case when a.i < {half} then a.i when a.i >= a.n - {half} then {window} - (a.n - a.i) else {half} end"
+    start = f"least(greatest(a.i - {half}, 0), a.n - {window})"
+    return f"""smooth as (select a.{keys}, a.i, sum(hat.w * b.{value}) as y from {table} a join hat on hat.r = {place}
+    join {table} b on b.{keys} = a.{keys} and b.i = {start} + hat.k group by a.{keys}, a.i)"""
+
+
+# Samples of each sweep: those between the first lowest and the first highest voltage, both included.
+SWEEP_SQL = (
+    A.CYCLES_SQL
+    + """,
+ends as (select vec_id, min_by(i, (v, i)) as lo, min_by(i, (-v, i)) as hi from cyc group by vec_id),
+swept as (select cyc.*, i between least(lo, hi) and greatest(lo, hi) as own, hi as turn from cyc join ends using (vec_id))"""
+)
+
+
+@query(f"with {A.CYCLES_SQL}, w as (select *, 64 as n from c0), {_hat_sql(11)}, {_smooth_sql('w', 'vec_id', 'cur', 11)} select vec_id, i as pos, round(y, 6) as smooth from smooth")
 def savgol_smooth(spark, sf):
-    return A.cycles(spark, sf).select("vec_id", T.smoothed(F.col("current")).alias("smooth"))
+    d = A.cycles(spark, sf).select("vec_id", F.posexplode(T.smoothed(F.col("current"))).alias("pos", "smooth"))
+    return d.select("vec_id", F.col("pos").cast("long").alias("pos"), r6(F.col("smooth")).alias("smooth"))
 
 
-@query()
+@query(
+    f"""with {SWEEP_SQL}, b as (select vec_id, own, v * 0.98::double as bv, bg, lead(v * 0.98::double) over w as bv2, lead(bg) over w as bg2 from swept window w as (partition by vec_id, own order by v)),
+ edge as (select vec_id, own, min_by(bg, bv) as low, max_by(bg, bv) as high, min(bv) as lo, max(bv) as hi from b group by all)
+select s.vec_id, s.i as pos, round(case when s.v <= lo then low when s.v >= hi then high else b.bg + (b.bg2 - b.bg) * (s.v - b.bv) / (b.bv2 - b.bv) end, 6) as aligned
+from swept s join edge using (vec_id, own) left join b on b.vec_id = s.vec_id and b.own = s.own and b.bv <= s.v and s.v < b.bv2"""
+)
 def background_align(spark, sf):
     c = A.cycles(spark, sf)
     shifted = F.transform("voltage", lambda v: v * 0.98)
-    return c.select("vec_id", T.aligned_background(F.col("voltage"), shifted, F.col("background")).alias("aligned"))
-
-
-@query()
+    d = c.select("vec_id", F.posexplode(T.aligned_background(F.col("voltage"), shifted, F.col("background"))).alias("pos", "aligned"))
+    return d.select("vec_id", F.col("pos").cast("long").alias("pos"), r6(F.col("aligned")).alias("aligned"))
+
+
+@query(
+    f"""with {SWEEP_SQL}, up as (select vec_id, i, v, bg, lag(v) over w as v0, lag(bg) over w as bg0 from swept where i <= turn and v between 0.4 and 1.0 window w as (partition by vec_id order by i)),
+ back as (select vec_id, v as bv, bg, lead(v) over w as bv2, lead(bg) over w as bg2 from swept where i >= turn window w as (partition by vec_id order by i desc)),
+ gap as (select up.vec_id, avg(abs(up.bg - (back.bg + (back.bg2 - back.bg) * (up.v - back.bv) / (back.bv2 - back.bv)))) / 2 as cap
+   from up join back on up.vec_id = back.vec_id and back.bv <= up.v and up.v < back.bv2 group by all),
+ area as (select vec_id, sum((v - v0) * (bg + bg0) / 2) as charge from up group by all)
+select s.vec_id, round(s.bg, 6) as bg_switch, round(charge, 6) as bg_charge, round(cap, 6) as bg_cap
+from swept s join area using (vec_id) join gap using (vec_id) where s.i = s.turn"""
+)
 def background_features(spark, sf):
-    return A.cycles(spark, sf).select("vec_id", T.background_features(F.col("voltage"), F.col("background")).alias("b")).select("vec_id", "b.*")
+    d = A.cycles(spark, sf).select("vec_id", T.background_features(F.col("voltage"), F.col("background")).alias("b")).select("vec_id", "b.*")
+    return d.select("vec_id", *[r6(F.col(c)).alias(c) for c in ("bg_switch", "bg_charge", "bg_cap")])
 
 
-@query()
+@query(
+    f"""with {INB}, w as (select vec_id, f, log10(f) as x1, log10(sqrt(zr * zr + zi * zi)) as y0, row_number() over k - 1 as i, count(*) over (partition by vec_id) as n from b window k as (partition by vec_id order by f)),
+ {_hat_sql(7)}, {_smooth_sql('w', 'vec_id', 'y0', 7)}, y as (select w.vec_id, w.i, w.f, w.x1, smooth.y as y1 from w join smooth on smooth.vec_id = w.vec_id and smooth.i = w.i), {GRADIENT}
+select vec_id, i as pos, round(local_n, 6) as local_n from n"""
+)
 def eis_local_n_smooth(spark, sf):
-    d = S.in_band(A.spectra(spark, sf), (2.0, 2e5))
-    x = F.transform("pts", lambda p: F.log10(p["f"]))
-    y = F.transform("pts", lambda p: F.log10(F.sqrt(p["zr"] * p["zr"] + p["zi"] * p["zi"])))
-    return d.select("vec_id", T.smooth_local_n(x, y).alias("local_n"))
+    d = S.local_n(A.spectra(spark, sf), BAND, smooth=True).select("vec_id", F.posexplode("local_n").alias("pos", "local_n"))
+    return d.select("vec_id", F.col("pos").cast("long").alias("pos"), r6(F.col("local_n")).alias("local_n"))
 
 
-@query()
+@query(
+    f"""with {SWEEP_SQL}, s as (select vec_id, v, cur, lead(v) over w as v2, lead(cur) over w as cur2 from swept where own window w as (partition by vec_id order by i))
+select vec_id, round(cur + (cur2 - cur) * (0.7::double - v) / (v2 - v), 6) as i_target from s where v <= 0.7 and 0.7 < v2"""
+)
 def current_at_target(spark, sf):
-    return A.cycles(spark, sf).select("vec_id", T.current_at(F.col("voltage"), F.col("current")).alias("i_target"))
+    return A.cycles(spark, sf).select("vec_id", r6(T.current_at(F.col("voltage"), F.col("current"))).alias("i_target"))
 
 
 @query()

@@ -82,10 +82,10 @@ def eis_point_features(spark, sf):
     return d.select("vec_id", i, r6(p("R_s"), 4).alias("R_s"), r6(p("R_p"), 3).alias("R_p"), r6(p("C_s") * 1e9, 3).alias("C_s_nF"), r6(p("C_p") * 1e9, 3).alias("C_p_nF"), r6(p("ideality_C")).alias("ideality_C"), r6(p("tau") * 1e6, 3).alias("tau_us"))
 
 
-GRAD = INB + """, y as (select vec_id, i, f, log10(f) as x1, log10(sqrt(zr * zr + zi * zi)) as y1 from b),
- z as (select *, lag(x1) over w as x0, lead(x1) over w as x2, lag(y1) over w as y0, lead(y1) over w as y2 from y window w as (partition by vec_id order by f)),
+GRADIENT = """z as (select *, lag(x1) over w as x0, lead(x1) over w as x2, lag(y1) over w as y0, lead(y1) over w as y2 from y window w as (partition by vec_id order by f)),
  n as (select vec_id, i, f, -case when x0 is null then (y2 - y1) / (x2 - x1) when x2 is null then (y1 - y0) / (x1 - x0)
    else ((x1-x0)**2 * y2 + ((x2-x1)**2 - (x1-x0)**2) * y1 - (x2-x1)**2 * y0) / ((x1-x0) * (x2-x1) * (x2-x0)) end as local_n from z)"""
+GRAD = INB + ", y as (select vec_id, i, f, log10(f) as x1, log10(sqrt(zr * zr + zi * zi)) as y1 from b), " + GRADIENT
 
 
 @query(f"with {GRAD} select vec_id, i - min(i) over (partition by vec_id) as pos, round(local_n, 6) as local_n from n")

@@ -39,8 +39,8 @@ def write_json(spark: SparkSession, path: str, value: dict) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    rows = spark.read.option("wholetext", True).text(path).collect()
-    return json.loads(rows[0][0])
+    # One file, one row.
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 @dataclass
