@@ -93,8 +93,8 @@ def extract(spark: SparkSession, root: str, config: AnalysisConfig | None = None
     grid = S.reference_grid(good, ["devicetype"], ["device", "date", "channel"], config.band, config.mono_tol)
     on = S.in_band(good, config.band).withColumn("_f", F.transform("pts", lambda p: p["f"])).join(F.broadcast(grid), "devicetype")
     on = on.where(S.on_grid(F.col("_f"), F.col("grid"))).select(*KEY, "devicetype", "timepoint", "freq", "z_real", "z_imag")
-    full = S.phase_and_onset(S.tau_ratio(S.crossover(S.band_means(S.integrals(on, config.band), band=config.band), band=config.band), config.band))
-    full = S.local_n(S.with_features(full, config.band), config.band)
+    full = S.phase_and_onset(S.tau_ratio(S.crossover(S.band_means(S.integrals(on, config.band), config.band, smooth=True), band=config.band), config.band))
+    full = S.local_n(S.with_features(full, config.band), config.band, smooth=True)
     size = n_grid or (full.agg(F.max(F.size("feats"))).first()[0] or 0)
     scalars = [c for c in full.columns if c not in {*KEY, "devicetype", "timepoint", "freq", "z_real", "z_imag", "pts", "feats", "local_n"}]
     wide = [F.get("feats", F.lit(i))[n].alias(f"{n}_f{i:02d}") for n in ("R_s", "R_p", "C_s", "C_p", "ideality_C", "tau") for i in range(size)]
@@ -137,7 +137,7 @@ def invivo(spark: SparkSession, root: str, config: AnalysisConfig | None = None)
     last = eis.groupBy(*KEY).agg(F.max("rep").alias("last"))
     joined = live.select(*KEY, "timepoint", F.col("rep").alias("time_index"), "voltage", "current").join(last, KEY).withColumn("rep", F.least("time_index", "last"))
     joined = joined.join(eis.select(*KEY, "rep", "freq", "z_real", "z_imag"), [*KEY, "rep"]).join(base, KEY)
-    features = S.phase_and_onset(S.tau_ratio(S.crossover(S.band_means(S.integrals(joined, config.band), band=config.band), band=config.band), config.band))
+    features = S.phase_and_onset(S.tau_ratio(S.crossover(S.band_means(S.integrals(joined, config.band), config.band, smooth=True), band=config.band), config.band))
     schema = f"{features.drop('voltage', 'current', 'bg', 'freq', 'z_real', 'z_imag', 'last', 'rep')._jdf.schema().toDDL()}, NormIpeak DOUBLE, mean_Ibg DOUBLE, bg_switch DOUBLE, bg_charge DOUBLE, bg_cap DOUBLE"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -94,7 +94,7 @@ def replicate_reliability(spark: SparkSession, root: str, config: AnalysisConfig
     config = config or AnalysisConfig()
     files = raw.signal_sessions(raw.session_files(spark, root))
     eis, _ = raw.tables(raw.read_blocks(spark, root, files=files))
-    d = S.phase_and_onset(S.tau_ratio(S.crossover(S.band_means(S.integrals(eis, config.band), band=config.band), band=config.band), config.band))
+    d = S.phase_and_onset(S.tau_ratio(S.crossover(S.band_means(S.integrals(eis, config.band), config.band, smooth=True), band=config.band), config.band))
     names = [c for c in d.columns if c not in {*eis.columns}]
     long = d.unpivot([*KEY, "rep"], [F.col(n) for n in names], "feature", "value")
     return G.measurement_reliability(long, KEY, by=["feature"])

@@ -329,15 +329,84 @@ def test_every_id_is_packed_once(spark):
     assert B.pack(empty(spark), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
-def test_neighbours_share_words(spark):
-    rows = [(i, " ".join(f"{'ab'[i % 2]}{(i * 7 + j * j) % 40}" for j in range(60))) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    sequences = defaultdict(set)
-    for r in B.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect():
-        if r.length > 30:
-            sequences[r.sequence_id].add(r.doc_id % 2)
-    mixed = sum(len(s) > 1 for s in sequences.values())
-    assert mixed <= 2 and len(sequences) > 3
+def brute_sequences(texts, sizes):
+    """Windows by exact frequencies, the formula of BM25 word by word, and the greedy rule."""
+    bags = [Counter(re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))) for t in texts]
+    df = Counter(w for b in bags for w in b)
+    n, mean = len(texts), max(1.0, sum(sum(b.values()) for b in bags) / len(texts))
+
+    def score(seed, d):
+        length, total = sum(bags[d].values()), 0.0
+        for w in bags[seed]:
+            if tf := bags[d][w]:
+                idf = max(0.0, np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)))
+                total += idf * tf * (B.K1 + 1) / (tf + B.K1 * (1 - B.B + B.B * length / mean))
+        return total
+
+    left, out = [s % B.WINDOW for s in sizes], []
+    for seed in sorted(range(n), key=lambda d: (-left[d], d)):
+        if not left[seed]:
+            continue
+        window, space, left[seed] = [seed], B.WINDOW - left[seed], 0
+        by = sorted(range(n), key=lambda d: (-round(score(seed, d), 4), d))
+        asked = []
+        while space and any(left):
+            asked = [d for d in asked if left[d]] or [d for d in by if left[d]][: B.NEIGHBOURS]
+            d = next((d for d in asked if left[d] <= space), asked[0])
+            take = min(space, left[d])
+            left[d] -= take
+            space -= take
+            window.append(d)
+        out.append(window)
+    return out
+
+
+@pytest.mark.parametrize("dense", [0, 3, 10**6])
+def test_windows_by_brute_force(monkeypatch, dense):
+    monkeypatch.setattr(B, "DENSE", dense)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{'abc'[i % 3]}{int(x)}" for x in rng.zipf(1.4, int(rng.integers(20, 90))) % 200) for i in range(70)]
+    texts += [texts[0], texts[0], texts[5] + " more", "", "one"]
+    joined = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    found = B.term_counts(joined, offsets)
+    exact = Counter(found[1].tolist())
+    statistics = B.Statistics(np.zeros((3, 1 << B.SKETCH_BITS)), len(texts), int(found[3].sum()))
+    monkeypatch.setattr(statistics, "frequency", lambda w: np.array([exact[x] for x in w.tolist()], np.float32))
+    shard = B.Shard(statistics)
+    shard.add(*found)
+    shard.doc = list(range(len(texts)))
+    sizes = [len(t.split()) * 9 + 1 for t in texts]
+    shard.ids = [np.zeros(k, np.uint16) for k in sizes]
+    got = [[d for d, _, _ in w] for w in shard.pack()]
+    want = brute_sequences(texts, sizes)
+    whole = [w for w in got if len(w) > 1][: len(want) - 1]
+    assert whole == [w for w in want if len(w) > 1][: len(whole)] and len(whole) > 10
+
+
+def test_sketch_never_falls_short(spark):
+    docs = documents(spark)
+    statistics = B.corpus_statistics(docs)
+    exact = Counter(w for r in docs.collect() for w in set(re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower())))
+    for w, n in list(exact.items())[:500]:
+        data = np.frombuffer(w, np.uint8)
+        h = B.term_counts(data, np.array([0, len(data)]))[1]
+        assert n <= statistics.frequency(h)[0] <= n + 5
+    assert statistics.docs == docs.count()
+
+
+def test_copies_meet_in_a_shard(spark):
+    """Pairs of near copies, far apart in the input, over shards a twentieth of it."""
+    rng = np.random.default_rng(3)
+    base = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 120) % 3000) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(1000 + i, t + f" tail{i}") for i, t in enumerate(base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    together = defaultdict(set)
+    for r in B.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), shard_docs=15).collect():
+        together[r.sequence_id >> 32].add(r.doc_id)
+        together[r.doc_id].add(r.sequence_id)
+    near = sum(any(abs(a - b) < 20 for a in together[i] for b in together[1000 + i]) for i in range(150))
+    assert near > 100
 
 
 # ---- fingerprints
