@@ -8,13 +8,14 @@ collisions. Both sides of the tree are descended together; a pair of nodes is dr
 overlap is too small, its sizes can't match, or all its documents are already linked with each other. What
 remains is compared exactly, set against set.
 
-A cluster is dealt into parts of about PART_DOCS documents and PART_SHINGLES shingles, one or more, documents with a
-band in common into the same part where they fit. Clusters of several parts are dealt a second time by another band,
-which links large families whole. What is left to find there joins documents of different components. A shingle
+A cluster is dealt into parts of about PART_DOCS documents and PART_SHINGLES shingles. Where it needs several, a part
+holds documents of the same pivot, the most central one of those that share a band with them, and that pivot too, so
+families of copies are linked nearly whole. What is left to find joins documents of different components. A shingle
 that one component alone has in its cluster can't be common to such a pair, so with those shingles put first, then
 the rarer ones, a linked pair shares one of the first n - ceil(3n / 4) + 1 of both sets. Documents meet by these
 shingles, the private ones left out, so documents that share no more than a common passage are sent nowhere. Rare
-shingles are put into parts together; one that very many documents have is cut into blocks that meet two by two.
+shingles are put into parts together. Documents with a shingle that more than a part's load have are dealt into
+blocks, to all of which those outside the cluster's largest component go, in chunks.
 
 Nulls and texts without words have an empty set and no link. Rows that repeat a doc_id count as that document.
 A null doc_id keeps its n_shingles; its component_id is the least doc_id of its component, or null.
@@ -37,6 +38,8 @@ BANDS, ROWS = 72, 4
 #: Documents and shingles that are compared at once, on average.
 PART_DOCS = 512
 PART_SHINGLES = 1 << 21
+#: Bands that pivots are chosen by.
+STAR_BANDS = 16
 LEAF = 8
 _rng = np.random.default_rng(5)
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -315,25 +318,51 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _dealt(members: DataFrame, band: int, part_docs: int, part_shingles: int) -> DataFrame:
-    """members (doc_id, cluster, n, keys, parts, label) with their part: those with the same band together.
+def _pivots(members: DataFrame) -> DataFrame:
+    """doc_id, cluster, pivot: of the documents that share one of STAR_BANDS bands with it, the most central one.
 
-    A band that too many have is dealt out by doc_id; the others share as many parts as the cluster needs.
+    Central is what shares bands with many. The middle of a family of copies is the pivot of nearly all of it.
     """
-    key = F.xxhash64(F.substring("keys", 8 * band + 1, 8))
-    members = members.select("doc_id", "cluster", "label", "n", "parts", key.alias("key"))
+    bands = F.array(*[F.xxhash64(F.lit(b), F.substring("keys", 8 * b + 1, 8)) for b in range(STAR_BANDS)])
+    rows = members.select("doc_id", "cluster", F.explode(bands).alias("key"))
+    groups = rows.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    central = shared.spread(rows, groups, ["cluster", "key"], "doc_id").groupBy("doc_id", "cluster").agg(F.sum("held").alias("central"))
+    central = shared.materialize(central, "central")
+    top = rows.join(central, ["doc_id", "cluster"]).groupBy("cluster", "key").agg(F.max(F.struct("central", "doc_id")).alias("top"))
+    found = shared.spread(rows, top, ["cluster", "key"], "doc_id").groupBy("doc_id", "cluster").agg(F.max("top").alias("top"))
+    return found.select("doc_id", "cluster", F.col("top.doc_id").alias("pivot"))
+
+
+def star_parts(members: DataFrame, part_docs: int, part_shingles: int) -> DataFrame:
+    """members (doc_id, cluster, n, keys, parts) in parts (doc_id, label, cluster, hot, part).
+
+    A cluster that needs one part is one. Otherwise documents of one pivot lie in one part, or in several if they are
+    too many, and the pivot with them in each.
+    """
+    whole = members.where("parts = 1").select(
+        "doc_id", F.col("doc_id").alias("label"), "cluster", F.lit(None).cast("long").alias("hot"), F.lit(0).cast("long").alias("part")
+    )
+    several = members.where("parts > 1")
+    led = shared.materialize(
+        several.join(_pivots(several).drop("cluster"), "doc_id", "left").select(
+            "doc_id", "cluster", "n", "parts", F.coalesce("pivot", "doc_id").alias("pivot")
+        ),
+        "pivots",
+    )
     load = F.greatest(F.count(F.lit(1)) / F.lit(part_docs), F.sum("n") / F.lit(part_shingles))
-    hot = members.where("parts > 1").groupBy("cluster", "key").agg(F.ceil(load).alias("blocks")).where("blocks > 1")
-    dealt = shared.spread(members, hot, ["cluster", "key"], "doc_id", "left")
-    return dealt.select(
+    hot = led.groupBy("cluster", "pivot").agg(F.ceil(load).alias("blocks")).where("blocks > 1")
+    hot = shared.spread(led, hot, ["cluster", "pivot"], "doc_id", "left")
+    dealt = hot.select(
         "doc_id",
-        "label",
         "cluster",
-        F.when(F.col("blocks").isNotNull(), F.col("key")).alias("hot"),
-        F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(band)), F.col("blocks")))
-        .otherwise(F.pmod("key", "parts"))
-        .alias("part"),
+        "pivot",
+        F.when(F.col("blocks") > 1, F.col("pivot")).alias("hot"),
+        F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), "blocks")).otherwise(F.pmod(F.xxhash64("pivot"), "parts")).alias("part"),
+    )
+    with_pivots = dealt.select("doc_id", "cluster", "hot", "part").unionByName(
+        dealt.select(F.col("pivot").alias("doc_id"), "cluster", "hot", "part")
     )
+    return whole.unionByName(with_pivots.distinct().withColumn("label", F.col("doc_id")))
 
 
 def first_shingles(texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -364,41 +393,41 @@ def first_shingles(texts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def meeting_parts(first: DataFrame, part_docs: int, part_shingles: int) -> DataFrame:
-    """first_shingles' documents in parts (doc_id, label, cluster, hot, part, other): all that share one meet in one."""
+    """first_shingles' documents in parts (doc_id, label, cluster, often, part, other): those that share one meet in one.
+
+    Shingles that a part's load of documents have at most are put into parts together. Documents of those that more
+    have are dealt into blocks; every one but those of the cluster's largest component then goes to all blocks, in
+    chunks of a part's load, since a link that is still to be found has one of them at least.
+    """
     load = F.greatest(F.count(F.lit(1)) / F.lit(part_docs), F.sum("n") / F.lit(part_shingles))
     groups = (
         first.groupBy("cluster", "token")
         .agg(load.alias("load"), F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low < high")
-        .select("cluster", "token", "load", F.ceil(2 * F.col("load")).alias("blocks"))
+        .select("cluster", "token", "load")
     )
     groups = shared.materialize(groups, "shingle_groups")
-    parts = groups.where("load <= 1").groupBy("cluster").agg(F.ceil(F.sum("load")).alias("parts"))
-    rare = shared.spread(groups.where("load <= 1"), parts, ["cluster"], "token").select(
-        "cluster", "token", F.lit(None).cast("long").alias("hot"), F.pmod(F.xxhash64("token"), "parts").alias("part"), F.lit(1).alias("blocks")
+    met = shared.materialize(shared.spread(first, groups, ["cluster", "token"], "doc_id"), "met")
+    bins = groups.where("load <= 1").groupBy("cluster").agg(F.ceil(F.sum("load")).alias("bins"))
+    rare = shared.spread(met.where("load <= 1"), bins, ["cluster"], "doc_id").select(
+        "doc_id", "label", "cluster", F.lit(False).alias("often"), F.pmod(F.xxhash64("token"), "bins").alias("part"), F.lit(0).cast("long").alias("other")
     )
-    often = groups.where("load > 1").select("cluster", "token", F.col("token").alias("hot"), F.lit(0).cast("long").alias("part"), "blocks")
-    met = shared.spread(first, rare.unionByName(often), ["cluster", "token"], "doc_id")
-    own = F.pmod(F.xxhash64("doc_id"), "blocks")
-    other = F.when(F.col("hot").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != own)
-    )
-    met = met.withColumn("block", F.explode(other))
-    low, high = F.least(own, "block"), F.greatest(own, "block")
-    return met.select(
-        "doc_id",
-        "label",
+    often = shared.materialize(met.where("load > 1").select("doc_id", "label", "cluster", "n").distinct(), "often")
+    size = often.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"), load.alias("load"))
+    largest = size.groupBy("cluster").agg(F.max(F.struct("k", "label", "load")).alias("main"), F.sum("load").alias("all"))
+    plan = largest.select(
         "cluster",
-        "hot",
-        F.when(F.col("hot").isNull(), F.col("part")).otherwise(low).alias("part"),
-        F.when(F.col("hot").isNull(), F.lit(0).cast("long")).otherwise(high).alias("other"),
-    ).distinct()
-
-
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with the least doc_id that links join them with as their label."""
-    found = shared.components(links).select(F.col("u").alias("doc_id"), "root")
-    return members.drop("label").join(found, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
+        F.col("main.label").alias("main"),
+        F.ceil("all").alias("blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("main.load"))).alias("chunks"),
+    )
+    often = shared.spread(often, plan, ["cluster"], "doc_id")
+    own, chunk = F.pmod(F.xxhash64("doc_id"), "blocks"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "chunks")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    keys = ["doc_id", "label", "cluster", F.lit(True).alias("often")]
+    dealt = often.select(*keys, own.alias("part"), F.explode(upto("chunks")).alias("other"))
+    sent = often.where("label != main").select(*keys, F.explode(upto("blocks")).alias("part"), chunk.alias("other"))
+    return rare.unionByName(dealt).unionByName(sent).distinct()
 
 
 def _links(texts: DataFrame, members: DataFrame, part_docs: int, part_shingles: int) -> DataFrame:
@@ -406,17 +435,17 @@ def _links(texts: DataFrame, members: DataFrame, part_docs: int, part_shingles:
     load = F.greatest(F.count(F.lit(1)) / F.lit(part_docs), F.sum("n") / F.lit(part_shingles))
     size = members.groupBy("cluster").agg(F.ceil(load).alias("parts")).where("parts > 1")
     members = shared.spread(members, size, ["cluster"], "doc_id", "left").select(
-        "doc_id", "cluster", "n", "keys", F.coalesce("parts", F.lit(1).cast("long")).alias("parts"), F.col("doc_id").alias("label")
+        "doc_id", "cluster", "n", "keys", F.coalesce("parts", F.lit(1).cast("long")).alias("parts")
     )
     members = shared.materialize(members, "members")
-    links = shared.materialize(_parts_to_links(texts, _dealt(members, 0, part_docs, part_shingles)), "links_0")
+    links = shared.materialize(_parts_to_links(texts, star_parts(members, part_docs, part_shingles)), "links")
     # A cluster of one part is done.
-    members = members.where("parts > 1")
-    again = _dealt(_labelled(members, links), 1, part_docs, part_shingles)
-    links = links.unionByName(shared.materialize(_parts_to_links(texts, again), "links_1"))
-    first = shared.materialize(first_shingles(texts, _labelled(members, links)), "first_shingles")
+    label = shared.components(links).select(F.col("u").alias("doc_id"), F.col("root").alias("label"))
+    open_ = members.where("parts > 1").select("doc_id", "cluster").join(label, "doc_id", "left")
+    open_ = open_.withColumn("label", F.coalesce("label", "doc_id"))
+    first = shared.materialize(first_shingles(texts, open_), "first_shingles")
     met = shared.materialize(meeting_parts(first, part_docs, part_shingles), "meeting_parts")
-    return links.unionByName(shared.materialize(_parts_to_links(texts, met), "links_2"))
+    return links.unionByName(shared.materialize(_parts_to_links(texts, met), "last_links"))
 
 
 def near_duplicates(docs: DataFrame, part_docs: int = PART_DOCS, part_shingles: int = PART_SHINGLES) -> DataFrame:

@@ -206,20 +206,44 @@ def test_a_shared_passage_sends_nothing_twice(spark, n):
 def test_parts_are_bounded(spark):
     rows = with_passage(200)
     keys = {d: J.band_keys(J.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]).tobytes() for d, t in rows}
-    members = spark.createDataFrame([(d, 0, 112, bytearray(keys[d]), 13, d) for d, _ in rows], "doc_id long, cluster long, n long, keys binary, parts long, label long")
-    for band in (0, 1):
-        dealt = J._dealt(members, band, 16, 10**6)
-        assert dealt.count() == len(rows)
-        assert max(r["count"] for r in dealt.groupBy("cluster", "hot", "part").count().collect()) <= 48
-    # A shingle that all documents need is met in blocks, two by two.
-    first = spark.createDataFrame([(d, 0, d, 100, 7) for d, _ in rows], "doc_id long, cluster long, label long, n long, token long")
-    met = J.meeting_parts(first, 16, 10**6)
-    parts = defaultdict(set)
-    for r in met.collect():
-        parts[r.hot, r.part, r.other].add(r.doc_id)
-    assert max(map(len, parts.values())) <= 32
-    together = {(a, b) for p in parts.values() for a in p for b in p if a < b}
-    assert len(together) == len(rows) * (len(rows) - 1) // 2
+    members = spark.createDataFrame([(d, 0, 112, bytearray(keys[d]), 13) for d, _ in rows], "doc_id long, cluster long, n long, keys binary, parts long")
+    dealt = J.star_parts(members, 16, 10**6)
+    assert {r.doc_id for r in dealt.collect()} == {d for d, _ in rows} and dealt.count() <= 3 * len(rows)
+    assert max(r["count"] for r in dealt.groupBy("cluster", "hot", "part").count().collect()) <= 64
+    # A shingle that all documents need: those outside the largest component meet everyone, chunk by chunk.
+    for labels in (200, 20, 2):
+        first = spark.createDataFrame([(d, 0, d % labels, 100, 7) for d, _ in rows], "doc_id long, cluster long, label long, n long, token long")
+        parts = defaultdict(set)
+        for r in J.meeting_parts(first, 16, 10**6).collect():
+            parts[r.often, r.part, r.other].add(r.doc_id)
+        assert max(map(len, parts.values())) <= 3 * 16
+        together = {(a, b) for p in parts.values() for a in p for b in p if a < b}
+        assert together >= {(a, b) for a, _ in rows for b, _ in rows if a < b and a % labels != b % labels}
+
+
+def star(n):
+    """A document and n copies with edits of their own, linked with it and not with each other."""
+    base = [f"b{i}" for i in range(240)]
+    rows = [(500, " ".join(base))]
+    for i in range(n):
+        w = list(base)
+        for k in range(5):
+            w[(i * 7 + 48 * k) % 240] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("n", [60, 120])
+def test_stars_are_linked_by_their_middle(spark, n):
+    rows = star(n)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in J.near_duplicates(docs, 8).collect()} == {0}
+    keys = {d: J.band_keys(J.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]).tobytes() for d, t in rows}
+    members = spark.createDataFrame([(d, 0, 236, bytearray(keys[d]), -(-n // 8)) for d, _ in rows], "doc_id long, cluster long, n long, keys binary, parts long")
+    dealt = J.star_parts(members, 8, 10**6)
+    # Growing in proportion: once each, and the middle once a part.
+    assert dealt.count() <= 1.5 * n
+    assert max(r["count"] for r in dealt.groupBy("cluster", "hot", "part").count().collect()) <= 32
 
 
 def test_families_close_to_the_threshold(spark):
