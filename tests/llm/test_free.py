@@ -283,33 +283,158 @@ def pad(t):
     return t + b"\0" * (-len(t) % 64 or (0 if t else 64))
 
 
-@pytest.mark.parametrize("payload", [b"", b"a", b"x" * 64, bytes(range(256)) * 40, b"\xff" * 9000])
+@pytest.mark.parametrize("payload", [b"", b"a", b"x" * 64, bytes(range(256)) * 40, b"\xff" * 9000, bytes(np.random.default_rng(1).integers(0, 256, 70_000, dtype=np.uint8))])
 def test_media_round_trip(payload):
     media = V.write_avi(pad(payload), len(payload))
     frames, size, own = V.read_avi(media)
-    assert frames.tobytes()[:size] == pad(payload) and own == len(payload)
+    assert b"".join(f.tobytes() for f in frames)[:size] == pad(payload) and own == len(payload)
     assert struct.unpack("<I", media[4:8])[0] == len(media) - 8
 
 
-def test_other_huffman_tables_decode():
-    frames = np.random.default_rng(0).integers(0, 256, (2, 4, 64), dtype=np.uint8)
-    files = V.jpeg_frames(frames)
-    rows, columns, lengths, symbols, data = V.read_jpeg(files[1])
-    fast = V.decode_frames(files)
-    slow = V._scan_differences(data, lengths, symbols, rows * columns)
-    assert np.array_equal(fast, frames)
-    d = slow.reshape(rows, columns).astype(int)
-    d[0, 0] += 128
-    d[:, 0] = np.cumsum(d[:, 0])
-    assert np.array_equal(np.cumsum(d, axis=1), frames[1])
+def test_frames_are_entropy_coded():
+    text = " ".join(t or "" for t in texts(2)).encode()
+    assert len(V.write_avi(pad(text), len(text))) < 1.02 * len(text)
+    assert len(V.write_avi(b"a" * 64_000, 64_000)) < 20_000
+
+
+def plain_decode(frame):
+    """A lossless frame bit by bit."""
+    (table,) = frame.tables.values()
+    codes = {(size, code): s for s, (code, size) in V._codes(*table).items()}
+    bits = "".join(f"{b:08b}" for b in frame.data.replace(b"\xff\x00", b"\xff"))
+    at, out = 0, []
+    for i in range(frame.rows * frame.columns):
+        size = code = 0
+        while (size, code) not in codes:
+            size, code, at = size + 1, code << 1 | int(bits[at]), at + 1
+        s = codes[size, code]
+        v = int(bits[at : at + s] or "0", 2)
+        at += s
+        d = v if not s or v >> (s - 1) else v - (1 << s) + 1
+        out.append(d + (out[i - 1] if i % frame.columns else out[i - frame.columns] if i else 128))
+    return np.array(out).reshape(frame.rows, frame.columns)
+
+
+def test_lossless_frames_by_brute_force():
+    rng = np.random.default_rng(0)
+    sizes = [(2, 4, 64), (1, 16, 64), (3, 5, 7), (1, 1, 1)]
+    files = [f for shape in sizes for f in V.jpeg_frames(rng.integers(0, 256, shape, dtype=np.uint8) >> int(rng.integers(0, 7)))]
+    parsed = [V.read_jpeg(f) for f in files]
+    for got, frame in zip(V.lossless_samples(parsed), parsed, strict=True):
+        assert np.array_equal(got, plain_decode(frame))
+
+
+def baseline_file(planes, factors, tables):
+    """A baseline JPEG of planes whose sizes are whole units, quantised by 2; the standard's tables, in the file or left out."""
+    dct = lambda b: V._COSINE @ (b.astype(float) - 128) @ V._COSINE.T
+    codes = {k: V._codes(*t) for k, t in V.STANDARD.items()}
+    bits = []
+
+    def put(value, size):
+        bits.extend(int(x) for x in f"{value:0{size}b}" if size)
+
+    def number(v):
+        n = abs(v).bit_length()
+        put(v if v >= 0 else v + (1 << n) - 1, n)
+
+    before = [0] * len(planes)
+    down, across = planes[0].shape[0] // 8 // factors[0][1], planes[0].shape[1] // 8 // factors[0][0]
+    for y in range(down):
+        for x in range(across):
+            for c, (plane, (h, v)) in enumerate(zip(planes, factors, strict=True)):
+                for by in range(v):
+                    for bx in range(h):
+                        r, q = (y * v + by) * 8, (x * h + bx) * 8
+                        z = np.rint(dct(plane[r : r + 8, q : q + 8]) / 2).astype(int).ravel()[V.ZIGZAG].tolist()
+                        t = min(c, 1)
+                        d, before[c] = z[0] - before[c], z[0]
+                        put(*codes[0, t][abs(d).bit_length()])
+                        number(d)
+                        run = 0
+                        for i in range(1, 64):
+                            if not any(z[i:]):
+                                put(*codes[1, t][0])
+                                break
+                            if not z[i]:
+                                run += 1
+                                continue
+                            while run > 15:
+                                put(*codes[1, t][0xF0])
+                                run -= 16
+                            put(*codes[1, t][run << 4 | abs(z[i]).bit_length()])
+                            number(z[i])
+                            run = 0
+    bits += [1] * (-len(bits) % 8)
+    data = np.packbits(np.array(bits, np.uint8)).tobytes().replace(b"\xff", b"\xff\x00")
+    part = lambda m, body: b"\xff" + bytes([m]) + struct.pack(">H", len(body) + 2) + body
+    out = b"\xff\xd8" + part(0xE0, b"AVI1") + part(0xDB, b"\0" + bytes([2] * 64))
+    if tables:
+        out += b"".join(part(0xC4, bytes([k[0] << 4 | k[1], *t[0], *t[1]])) for k, t in V.STANDARD.items())
+    frame = struct.pack(">BHHB", 8, *planes[0].shape, len(planes)) + b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(factors))
+    scan = bytes([len(planes)]) + b"".join(bytes([c + 1, 17 * min(c, 1)]) for c in range(len(planes))) + b"\0\x3f\0"
+    return out + part(0xC0, frame) + part(0xDA, scan) + data + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("tables", [True, False])
+@pytest.mark.parametrize("factors", [[(1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)]])
+def test_baseline_frames_of_other_writers(factors, tables):
+    rng = np.random.default_rng(3)
+    smooth = lambda r, c: np.clip(np.add.outer(np.arange(r) * 3, np.arange(c) * 2) + rng.integers(0, 40, (r, c)), 0, 255)
+    planes = [smooth(32, 48), *[smooth(32 // factors[0][1], 48 // factors[0][0]) for _ in factors[1:]]]
+    file = baseline_file(planes, factors, tables)
+    got = V.baseline_luma(V.read_jpeg(file))
+    assert got.shape == (32, 48) and np.abs(got.astype(int) - planes[0]).max() <= 6
+    chunk = lambda n, b: n + struct.pack("<I", len(b)) + b + b"\0" * (len(b) & 1)
+    movi = chunk(b"LIST", b"movi" + chunk(b"01wb", b"sound") + chunk(b"LIST", b"rec " + chunk(b"00dc", file)) + chunk(b"00dc", file))
+    avih = chunk(b"LIST", b"hdrl" + chunk(b"avih", struct.pack("<14I", 100_000, *[0] * 13)))
+    (row,) = V.read_files([chunk(b"RIFF", b"AVI " + avih + movi)])
+    assert row[-1] is None and row[6] == 2 and row[8][0]["end_ms"] == 200 and row[1] == 2 * 32 * 48
+
+
+def test_broken_files_give_rows(spark):
+    good = V.write_avi(b"ab" * 2000, 3990)
+    no_index = good[: good.index(b"idx1")]
+    broken = [good[:k] for k in (0, 3, 20, 300, 700, len(good) // 2)] + [b"no file", b"RIFF\0\0\0\0AVI ", None]
+    flipped = good.replace(b"\xff\xc3", b"\xff\xc2", 1)
+    files = [good, no_index, flipped, *broken]
+    docs = spark.createDataFrame([(i, None if f is None else bytearray(f)) for i, f in enumerate(files)], "doc_id long, media binary")
+    got = {r.doc_id: r for r in V.read_media(docs).collect()}
+    assert got[0].error is None and got[0].n_bytes == 3990 and got[1].payload_sha256 == got[0].payload_sha256
+    assert all(got[i].error and got[i].n_bytes is None and got[i].clips is None for i in range(2, len(files)))
+    for f in [f for f in files[2:] if f is not None]:
+        with pytest.raises(ValueError):
+            V.read_avi(f)
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        f = bytearray(good)
+        for at in rng.integers(0, len(f), 3):
+            f[at] = int(rng.integers(0, 256))
+        assert len(V.read_files([bytes(f)])) == 1
 
 
 def test_shots_are_cut():
     dark, light = np.zeros((10, 16)), np.zeros((10, 16))
     dark[:, 0], light[:, 15] = 1, 1
     assert V.shots(np.concatenate([dark, light])) == [0, 10]
-    with pytest.raises(ValueError):
-        V.read_avi(b"no such file at all")
+
+
+def brute_feature(payload):
+    """Frames by rows of 64, grey histograms, shots and the query's feature string."""
+    rows = min(16, len(payload) // 64)
+    step = rows * 64
+    frames = [payload[i : i + step].ljust(step, b"\0") for i in range(0, len(payload), step)]
+    hist = [[sum(b >> 4 == g for b in f) / step for g in range(16)] for f in frames]
+    starts, seen = [0], []
+    for t in range(1, len(hist)):
+        d = sum(abs(a - b) for a, b in zip(hist[t], hist[t - 1], strict=True)) / 2
+        spread = float(np.std(seen)) if len(seen) > 1 else 0.0
+        if d > max(0.1, (float(np.mean(seen)) if seen else 0.0) + 2.5 * spread):
+            starts, seen = [*starts, t], []
+        else:
+            seen.append(d)
+    ends = [*(s - 1 for s in starts[1:]), len(frames) - 1]
+    mean = [sum(h[g] for h in hist) / len(hist) for g in range(16)]
+    return f"frames={len(frames)};clips=" + ",".join(f"{a}-{b}" for a, b in zip(starts, ends, strict=True)), mean
 
 
 def test_media_query(spark):
@@ -318,6 +443,9 @@ def test_media_query(spark):
         p = pad((r.text or "").encode())
         g = got[r.doc_id]
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len((r.text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        head, mean = brute_feature(p)
+        assert g.feature.rsplit(";", 1)[0] == head
+        assert np.allclose([int(x) / 1000 for x in g.feature.rsplit(";", 1)[1].split(",")], mean, atol=6e-4)
     docs = documents(spark)
     read = V.read_media(V.store_media(docs))
     assert read.count() == docs.count() and V.clip_rows(read).count() >= docs.count()
