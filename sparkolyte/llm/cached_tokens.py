@@ -186,7 +186,7 @@ def encode_column(column: pa.Array, path: str, kind: str, end_id: int):
     coder = tokenizer(path, kind)
     for _, _, data, offsets in text_chunks(column):
         ids, at = coder.encode(data, offsets)
-        ids = np.insert(ids, at[1:], end_id)
+        ids = np.insert(ids if end_id <= np.iinfo(ids.dtype).max else ids.astype(np.uint32), at[1:], end_id)
         at = at + np.arange(len(at))
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             yield ids[a:b]

@@ -106,6 +106,41 @@ def test_store_round_trip(spark):
     assert store.locate(unknown).count() == 0
 
 
+def test_keyed_access_reads_buckets_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET_KEYS", 8)
+    monkeypatch.setattr(S, "INDEX_FILE", 2)
+    docs = documents(spark)
+    encode = ids_of("word_bpe_49k.json", 1)
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want, seen, start = {}, Counter(), 0
+    for doc, text in rows:
+        want[doc, seen[doc]] = (start, encode(text))
+        seen[doc] += 1
+        start += len(want[doc, seen[doc] - 1][1])
+    store = S.write_store(docs, shared.scratch_path(spark, "t"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
+    assert store.buckets > 4
+    keys = [(None, 0), rows[7][0:1] + (0,), (rows[30][0], 0), (10**12, 0), (rows[30][0], 99)]
+    found = store.get(keys)
+    got = {(r.key, r.ord): (r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in found.collect()}
+    assert got == {k: want[k] for k in keys if k in want}
+    # Other parts' files and other buckets' aren't listed for the scan.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "part" in plan.split("PartitionFilters: [", 1)[1][:200]
+    assert store.get([]).count() == 0 and store.get([(10**12, 0)]).count() == 0
+
+
+def test_wide_ids_and_narrow_ones(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    for dtype, end in (("<u4", 1), (None, 69_999), ("<u4", 69_999)):
+        store = S.write_store(docs, shared.scratch_path(spark, "t"), path, "word", end, dtype)
+        got = {r.key: np.frombuffer(r.ids, "<u4").tolist() for r in store.get([(1, 0), (2, 0)]).collect()}
+        assert store.dtype == "<u4" and got[2] == [end] and got[1] == ids_of("word_bpe_49k.json", end)("some words")
+    for dtype in ("<u2", "<i8"):
+        with pytest.raises(ValueError):
+            S.write_store(docs, shared.scratch_path(spark, "t"), path, "word", 69_999, dtype)
+
+
 def test_store_of_nothing(spark):
     store = S.write_store(empty(spark), shared.scratch_path(spark, "t"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
     assert S.read_documents(empty(spark), store).count() == 0
