@@ -5,11 +5,12 @@ words, then by a learned layer. Gated attention (Ilse et al. 2018) weighs the pa
 classifier on the weighted passage are learned together from document labels alone. Scoring uses every passage of
 every text.
 
-The model is fitted on the driver from at most SAMPLE labelled documents of each class, drawn by a hash, and at most
-TRAIN_PASSAGES passages of each, spread evenly; examples are weighted back to the classes' shares among all labels.
-Inputs of a score are texts alone. Null and empty texts are one passage without words. Labels that are null are left
-out, and of several labels of one document the mean counts, 1 from one half on. Without labels of both classes the
-score is the share of label 1 (0.5 without any). Rows that repeat are scored each for itself.
+The model is fitted on the driver from at most SAMPLE labelled documents of each class, drawn by a hash, with all
+their passages; where these come to more than SAMPLE_PASSAGES, later documents of the draw are left out that don't fit.
+Examples are weighted back to the classes' shares among all labels. Inputs of a score are texts alone. Null and empty
+texts are one passage without words. Labels that are null are left out, and of several labels of one document the mean
+counts, 1 from one half on; of rows that share a labelled doc_id the text with the least hash is learned from. Without
+labels of both classes the score is the share of label 1 (0.5 without any). Rows that repeat are scored each for itself.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from .textbytes import EXACT, WORD, SpanHash, find_words, text_chunks
 
 PASSAGE_WORDS = 64
 HASHED = 128
+#: Labelled documents of each class, and passages of all, that the model is fitted on at most.
 SAMPLE = 1500
-TRAIN_PASSAGES = 24
+SAMPLE_PASSAGES = 250_000
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 24, 12, 14, 64, 0.01, 1e-4
 THRESHOLD = 0.3
 _CLASSES = np.full(256, 5, np.int64)
@@ -56,13 +58,12 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     within = np.arange(len(row)) - first[row]
     passage = base[row] + within // PASSAGE_WORDS
     owner = np.repeat(np.arange(rows), number)
-    # Bytes belong to the passage of the last word that began before them.
-    mark = np.zeros(len(data), np.int64)
-    opens = within % PASSAGE_WORDS == 0
-    heads = np.where(within[opens] == 0, offsets[row[opens]], start[opens])
-    step = np.diff(np.concatenate(([0], passage[opens])))
-    np.add.at(mark, heads, step)
-    place = np.cumsum(mark)
+    # Bytes belong to the passage of the last word that began before them, in its own row.
+    heads = offsets[owner].copy()
+    later = np.flatnonzero(within % PASSAGE_WORDS == 0)
+    later = later[within[later] > 0]
+    heads[passage[later]] = start[later]
+    place = np.repeat(np.arange(n), np.diff(np.append(heads, len(data))))
     kinds = np.bincount(place * _KINDS + _CLASSES[data], minlength=n * _KINDS).reshape(n, _KINDS).astype(np.float32)
     size = np.maximum(1, kinds.sum(axis=1))
     words = np.bincount(passage, minlength=n).astype(np.float32)
@@ -176,13 +177,11 @@ def fit(bags: list[np.ndarray], y: np.ndarray, share: float, seed: int = 2) -> M
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for _, _, data, offsets in text_chunks(batch.column(2)):
+        for _, _, data, offsets in text_chunks(batch.column(3)):
             x, owner = passages(data, offsets)
             first = np.searchsorted(owner, np.arange(len(offsets)))
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                pick = np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_PASSAGES)).astype(int))
-                out.append(x[pick].astype(np.float16).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "y", "bag"])
+            out += [x[a:b].astype(np.float16).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "y", "draw", "bag"])
 
 
 def _score(model: Model):
@@ -198,7 +197,9 @@ def _score(model: Model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, passages_at_most: int = SAMPLE_PASSAGES
+) -> Model:
     """Fit on a bounded sample of docs (doc_id, text) with labels (doc_id, label)."""
     shared.prepare(docs.sparkSession)
     known = (
@@ -209,20 +210,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     share = known.agg(F.avg("y")).first()[0]
     if share is None:
         return Model(0.5)
-    draw = F.xxhash64("doc_id", F.lit(17))
-    picked = known.where("y = 0").orderBy(draw, "doc_id").limit(sample)
-    picked = picked.unionByName(known.where("y = 1").orderBy(draw, "doc_id").limit(sample))
-    # At most 2 * sample ids.
-    rows = (
+    known = known.withColumn("draw", F.xxhash64("doc_id", F.lit(17)))
+    picked = known.where("y = 0").orderBy("draw", "doc_id").limit(sample)
+    picked = picked.unionByName(known.where("y = 1").orderBy("draw", "doc_id").limit(sample))
+    # At most 2 * sample ids, and a text of each.
+    one = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "y", "text")
-        .mapInArrow(_bags, "doc_id long, y int, bag binary")
-        .collect()
+        .groupBy("doc_id", "y", "draw")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     )
-    rows.sort(key=lambda r: (r.doc_id, r.bag))
-    bags = [np.frombuffer(r.bag, np.float16).reshape(-1, WIDTH) for r in rows]
-    return fit(bags, np.array([r.y for r in rows], float), float(share))
+    bags = shared.materialize(one.mapInArrow(_bags, "doc_id long, y int, draw long, bag binary"), "bags")
+    width = 2 * WIDTH
+    sizes = bags.select("doc_id", "draw", F.expr(f"length(bag) div {width}").alias("n")).collect()
+    chosen, held = [], 0
+    for r in sorted(sizes, key=lambda r: (r.draw, r.doc_id)):
+        if held + r.n <= passages_at_most:
+            chosen.append(r.doc_id)
+            held += r.n
+    if len(chosen) < len(sizes):
+        bags = bags.where(F.col("doc_id").isin(chosen))
+    rows = sorted(bags.collect(), key=lambda r: r.doc_id)
+    if not rows:
+        return Model(float(share))
+    found = [np.frombuffer(r.bag, np.float16).reshape(-1, WIDTH) for r in rows]
+    return fit(found, np.array([r.y for r in rows], float), float(share))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
