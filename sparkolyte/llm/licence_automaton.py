@@ -1,17 +1,21 @@
 """Licence scan by matching statistics against a generalised suffix automaton of licence words.
 
 Documents are streamed through the automaton word by word; at each word it knows the longest run of words ending
-there that any template has. Runs that reach a phrase's state are its places. Long matches are chained, in order
-in the document and in the template, into spans; a template whose covered share reaches COVER gives its label.
-The automaton's transitions are tables, so that all runs of a batch advance together.
+there that any template has. Runs that reach a phrase's state are its places. Templates are the paragraphs of the
+licences in licence_texts, so any part of a licence that holds one is found. Long matches are chained, in order in the
+document and in the template, into spans, each place where a paragraph stands giving one; where the covered share of
+the paragraph reaches COVER its licence's label is given. SPDX identifiers are phrases that give labels too. The
+automaton's transitions are tables, so that all runs of a batch advance together.
 
-Null and empty texts have no words, no labels and score 0. The score is the largest covered share of any template,
+Null and empty texts have no words, no labels and score 0. The score is the largest covered share of any paragraph,
 1 for a whole phrase. Rows that repeat a doc_id are scanned each for itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,60 +23,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .licence_texts import SPDX, TEXTS
 from .textbytes import FOLDED, SpanHash, find_words, text_chunks
 
+
+def words_of(text: str) -> list[str]:
+    return re.findall("[0-9a-z]+", text.lower())
+
+
 # Phrases that are looked for whole, with their labels.
 PHRASES = (
     ("under the mit license", "mit"),
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-# Opening sentences of public licence texts, with their labels.
-TEMPLATES = (
-    (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-        "documentation files the software to deal in the software without restriction",
-        "mit",
-    ),
-    (
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
-        "with the license you may obtain a copy of the license at",
-        "apache-2",
-    ),
-    (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that "
-        "the following conditions are met",
-        "bsd",
-    ),
-    (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-        "public license as published by the free software foundation",
-        "gpl",
-    ),
-    (
-        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser "
-        "general public license as published by the free software foundation",
-        "lgpl",
-    ),
-    (
-        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was "
-        "not distributed with this file you can obtain one at",
-        "mpl-2",
-    ),
-    (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
-        "granted provided that the above copyright notice and this permission notice appear in all copies",
-        "isc",
-    ),
-    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    (
-        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish "
-        "use compile sell or distribute this software",
-        "unlicense",
-    ),
-)
-#: Words of a match that counts for a span, and the share of a template that gives its label.
+#: Phrases of the method's own, which count as no places, and paragraphs with their labels.
+IDENTIFIERS = tuple((" ".join(words_of(f"SPDX-License-Identifier: {name}")), label) for name, label in SPDX)
+TEMPLATES = tuple((" ".join(words_of(p)), label) for label, paragraphs in TEXTS for p in paragraphs)
+#: Words of a match that counts for a span, and the share of a paragraph that gives its label.
 LONG = 5
 COVER = 0.6
 #: Words that may lie between two chained matches.
@@ -127,9 +95,10 @@ class SuffixAutomaton:
             if link[s] >= 0:
                 ends[link[s]] |= ends[s]
         n = len(go)
-        self.next = np.zeros((n, vocabulary), np.int32)
+        kind = np.int16 if n < 1 << 15 else np.int32
+        self.next = np.zeros((n, vocabulary), kind)
         self.direct = np.zeros((n, vocabulary), bool)
-        self.fall = np.zeros((n, vocabulary), np.int32)
+        self.fall = np.zeros((n, vocabulary), kind)
         for s in order:
             if s:
                 up = link[s]
@@ -146,9 +115,33 @@ class SuffixAutomaton:
         return s
 
 
+def best_chain(found: list[tuple[int, int, int, int]]) -> tuple[int, list[tuple[int, int]]]:
+    """Words covered and parts of the chain that covers most; found: (start, end) in the text, (start, end) in the template."""
+    gain, before, over = [], [], []
+    for i, (a, b, p, q) in enumerate(found):
+        most, link, lost = q - p, -1, 0
+        for j in range(i - 1, -1, -1):
+            _, b2, _, q2 = found[j]
+            if a - b2 > GAP:
+                break
+            twice = max(0, b2 - a, q2 - p)
+            if twice < q - p and b2 < b and q2 < q and gain[j] + q - p - twice > most:
+                most, link, lost = gain[j] + q - p - twice, j, twice
+        gain.append(most)
+        before.append(link)
+        over.append(lost)
+    i = max(range(len(found)), key=gain.__getitem__)
+    best, chain = gain[i], []
+    while i >= 0:
+        chain.append((found[i][0] + over[i], found[i][1]))
+        i = before[i]
+    return best, chain[::-1]
+
+
 class Scanner:
-    def __init__(self, phrases=PHRASES, templates=TEMPLATES):
-        self.phrases = [(p.split(), label) for p, label in phrases]
+    def __init__(self, phrases=PHRASES, templates=TEMPLATES, identifiers=IDENTIFIERS):
+        self.base = len(phrases)
+        self.phrases = [(p.split(), label) for p, label in (*phrases, *identifiers)]
         self.sequences = [p for p, _ in self.phrases] + [t.split() for t, _ in templates]
         self.labels = [label for _, label in self.phrases] + [label for _, label in templates]
         words = sorted({w for s in self.sequences for w in s})
@@ -200,27 +193,25 @@ class Scanner:
             longest[begin[:k] + step] = m[:k]
         return state, longest
 
-    def spans(self, matches: list[tuple[int, int, int]]) -> dict[int, tuple[int, list[tuple[int, int]]]]:
-        """matches: (last word, longest, state) in order. For each template the words covered and the spans."""
+    def spans(self, matches: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """matches: (last word, longest, state) in order. Template, words covered and the parts of each chain.
+
+        Chains of one template don't overlap; the one that covers most comes first, then those beside it.
+        """
         by: dict[int, list[tuple[int, int, int, int]]] = {}
         for at, size, state in matches:
             for number, end in self.automaton.ends[state]:
                 by.setdefault(number, []).append((at - size + 1, at + 1, end - size, end))
-        out = {}
         for number, found in by.items():
-            best: list[tuple[int, list[tuple[int, int]]]] = []
-            for i, (a, b, p, q) in enumerate(found):
-                gain, chain = q - p, [(a, b)]
-                for j in range(i - 1, -1, -1):
-                    _, b2, _, q2 = found[j]
-                    if a - b2 > GAP:
-                        break
-                    over = max(0, b2 - a, q2 - p)
-                    if over < q - p and b2 < b and q2 < q and best[j][0] + q - p - over > gain:
-                        gain, chain = best[j][0] + q - p - over, [*best[j][1], (a + over, b)]
-                best.append((gain, chain))
-            out[number] = max(best, key=lambda x: x[0])
-        return out
+            cut = [0, *(i for i in range(1, len(found)) if found[i][0] - found[i - 1][1] > GAP), len(found)]
+            stack = [found[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            while stack:
+                some = stack.pop()
+                gain, chain = best_chain(some)
+                yield number, gain, chain
+                before = [m for m in some if m[1] <= chain[0][0]]
+                after = [m for m in some if m[0] >= chain[-1][1]]
+                stack += [part for part in (before, after) if part]
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
         start, end, row = find_words(data, offsets, _IS_WORD)
@@ -246,12 +237,12 @@ class Scanner:
             matches.setdefault(r, []).append((i - int(base[r]), int(longest[i]), int(state[i])))
         out = []
         for r in range(rows):
-            found = places.get(r, [])
+            found = [(a, k) for a, k in places.get(r, []) if k < self.base]
             starts = [a for a, _ in found]
             own = {self.phrases[k][1] for _, k in found}
-            score = 1.0 if found else 0.0
-            labels, covered = set(own), []
-            for number, (words, chain) in self.spans(matches.get(r, [])).items():
+            labels, covered = {self.phrases[k][1] for _, k in places.get(r, [])}, []
+            score = 1.0 if labels else 0.0
+            for number, words, chain in self.spans(matches.get(r, [])):
                 share = min(1.0, words / len(self.sequences[number]))
                 score = max(score, share)
                 if share >= COVER and number >= len(self.phrases):
@@ -289,8 +280,14 @@ SCHEMA = (
 )
 
 
+@lru_cache(1)
+def _scanner() -> Scanner:
+    """This worker's automaton."""
+    return Scanner()
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner()
+    scanner = _scanner()
     for batch in batches:
         rows: list[tuple] = []
         for _, _, data, offsets in text_chunks(batch.column(1)):

@@ -47,6 +47,61 @@ def test_classifier_on_held_out_documents(spark):
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in one for b in zero])
     assert auc > 0.95 and np.mean([r.predicted == r.quality for r in got]) > 0.9
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows.collect())
+    docs = shared.table(spark, "/root/testdata/sf0.01", "documents")
+    long = {r.doc_id for r in docs.where("size(split(text, ' ')) > 1000").select("doc_id").collect()}
+    of_long = [r.predicted == r.quality for r in got if r.doc_id in long]
+    assert len(of_long) > 5 and np.mean(of_long) > 0.85
+
+
+def plain_score(model, text):
+    """The score of one text, passage by passage in plain Python."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    scores, hidden = [], []
+    cuts = list(range(0, len(words), Q.PASSAGE_WORDS)) or [0]
+    at = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode())]
+    for n, k in enumerate(cuts):
+        some = words[k : k + Q.PASSAGE_WORDS]
+        begin = 0 if n == 0 else at[k]
+        end = at[cuts[n + 1]] if n + 1 < len(cuts) else len(text.encode())
+        raw = text.encode()[begin:end]
+        shares = [sum(Q._CLASSES[b] == c for b in raw) / max(1, len(raw)) for c in range(8)]
+        lengths = [len(w) for w in some]
+        stats = [len(some) / Q.PASSAGE_WORDS, len(set(some)) / max(1, len(some))]
+        stats += [(np.mean(lengths) if some else 0) / 10, (np.std(lengths) if some else 0) / 10, np.mean([x == 1 for x in lengths]) if some else 0, float(shares[1] > 0.3)]
+        bag = np.zeros(Q.HASHED)
+        for w in some:
+            data = np.frombuffer(w, np.uint8)
+            bag[int(Q.SpanHash(data, Q.EXACT)(np.array([0]), np.array([len(w)]))[0]) >> 57] += 1
+        x = np.array([4 * s for s in shares] + stats + (bag / max(1, np.linalg.norm(bag))).tolist())
+        w = model.weights
+        h = np.tanh(x @ w["encode"] + w["encode0"])
+        scores.append(float((np.tanh(h @ w["tanh"]) / (1 + np.exp(-(h @ w["gate"])))) @ w["attend"]))
+        hidden.append(h)
+    a = np.exp(np.array(scores) - max(scores))
+    z = (a / a.sum()) @ np.array(hidden)
+    return 1 / (1 + np.exp(-(z @ model.weights["out"] + model.weights["out0"][0])))
+
+
+def test_scores_by_brute_force(spark):
+    docs = documents(spark)
+    model = Q.train(docs, spark.createDataFrame([(i, i // 3 % 2) for i in range(0, 150, 3)], "doc_id long, quality int"))
+    for r in Q.score(docs.where("doc_id < 60"), model).join(docs, "doc_id").collect():
+        if r.doc_id != docs.first().doc_id and r.text is not None and "\x1c" not in r.text:
+            same = [x.text for x in docs.where(F.col("doc_id") == r.doc_id).collect()]
+            assert any(abs(r.score - plain_score(model, t or "")) < 1e-3 for t in same), r.doc_id
+
+
+def test_sample_is_bounded_in_documents_and_passages(spark, monkeypatch):
+    rows = [(i % 50, f"{'good' if i % 2 else 'bad'} " * (40 + 200 * (i % 3))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    held = []
+    fit = Q.fit
+    monkeypatch.setattr(Q, "fit", lambda bags, y, share: held.append(sum(map(len, bags))) or fit(bags, y, share))
+    Q.train(docs, labels)
+    Q.train(docs, labels, passages_at_most=60)
+    Q.train(docs, labels, sample=5)
+    assert held[0] > 100 and 40 < held[1] <= 60 and held[2] <= 70
 
 
 def test_gradients_are_right():
@@ -651,10 +706,62 @@ def test_templates_are_chained(spark):
     text, label = A.TEMPLATES[0]
     w = text.split()
     broken = " ".join(["Intro", *w[:12], "something", "else", *w[12:], "end"])
-    docs = spark.createDataFrame([(1, broken), (2, " ".join(w[:6])), (3, "plain words of no licence")], "doc_id long, text string")
-    got = {r.doc_id: r for r in A.scan_licences(docs).collect()}
+    rows = [(1, broken), (2, " ".join(w[:6])), (3, "plain words of no licence"), (4, f"{text} x y {text} z {broken}"), (5, "// SPDX-License-Identifier: BSD-3-Clause\n")]
+    got = {r.doc_id: r for r in A.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].labels == label and got[1].n_base == 0 and got[1].spans[0].first == 1 and got[1].score == 1
     assert got[2].labels == "" and 0 < got[2].score < 0.6 and got[3].score == 0
+    assert [s.first for s in got[4].spans] == [0, len(w) + 2, 2 * len(w) + 4]
+    assert got[5].labels == "bsd-3" and got[5].base_labels == "" and got[5].n_base == 0 and got[5].score == 1
+
+
+@pytest.mark.parametrize("share,found", [(1.0, True), (0.75, True), (0.3, False)])
+def test_parts_of_every_paragraph(share, found):
+    """A paragraph's first or last words, edited here and there, among words of no licence."""
+    scanner, rng = A.Scanner(), np.random.default_rng(5)
+    for text, label in A.TEMPLATES:
+        w = text.split()
+        n = max(A.LONG, round(share * len(w)))
+        some = list(w[:n] if rng.random() < 0.5 else w[-n:])
+        if found and n > 30:
+            some[n // 2] = "changed"
+        doc = " ".join(["zq"] * 5 + some + ["qz"] * 5).upper().encode()
+        ((_, n_base, _, _, _, labels, score, spans),) = scanner.scan(np.frombuffer(doc, np.uint8), np.array([0, len(doc)]))
+        if found:
+            assert label in labels.split(",") and score >= 0.6 and any(s["label"] == label for s in spans), (label, text)
+        elif len(w) > 20:
+            # No paragraph but one that has the same words is given.
+            assert all(any(" ".join(some) in t for t, x in A.TEMPLATES if x == y) or score >= 0.6 for y in filter(None, labels.split(",")))
+
+
+def brute_chain(found):
+    """The most words that a chain covers, by trying all chains."""
+
+    def best(last, left):
+        most = 0
+        for k, (a, b, p, q) in enumerate(left):
+            if last is None:
+                most = max(most, q - p + best((b, q), left[k + 1 :]))
+            else:
+                twice = max(0, last[0] - a, last[1] - p)
+                if a - last[0] <= A.GAP and twice < q - p and last[0] < b and last[1] < q:
+                    most = max(most, q - p - twice + best((b, q), left[k + 1 :]))
+        return most
+
+    return best(None, found)
+
+
+def test_chains_by_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        found, at = [], 0
+        for _ in range(int(rng.integers(1, 8))):
+            at += int(rng.integers(1, 14))
+            size, p = int(rng.integers(5, 12)), int(rng.integers(0, 40))
+            found.append((at, at + size, p, p + size))
+        found.sort(key=lambda m: m[1])
+        gain, chain = A.best_chain(found)
+        assert gain == brute_chain(found)
+        assert all(x[1] <= y[0] or x[1] <= y[1] for x, y in zip(chain, chain[1:], strict=False))
 
 
 def test_matching_statistics_by_brute_force():
