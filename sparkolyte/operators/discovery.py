@@ -1,159 +1,443 @@
 """Model evaluation under forward-chained folds, freezing and recalibration.
 
-Folds are rows: each fold's training and test rows meet by a join on time, and one task fits one (condition, fold).
-Nothing of the matrix is collected to the driver; a task holds one fold's rows.
+Rows meet the test times that come after theirs by an equal join on time, once for all channels: channels that share
+training rows share the fits, and one task fits the plain conditions of a test time together, a costly one by itself.
+Where a channel's own rows are left out of its training (the universal track) a task is one channel's fold. Nothing of
+the matrix is collected to the driver; a task holds the rows up to its test time.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import domain
 from . import models as M
-from .evaluation import forward_folds, pooled
+from .evaluation import effective_min_train_times, mean_over_seeds, pooled
+from .normalize import to_log
+
+# Outer folds and inner validation rows of each track.
+TRACKS = {"channel": ("forward", "channel"), "global": ("forward", "all"), "universal": ("others", "all"), "random": ("random", "random")}
+#: Selectors whose result depends on a seed, and conditions that are dear enough for tasks of their own.
+SEEDED = ("mi", "cars", "icc+cars")
+LOG_FLOOR = 1e-12
 
 
 @dataclass(frozen=True)
 class Condition:
-    """One row of an experiment."""
+    """One row of an experiment. selector: none, vip, sr, smc, mi, icc, cars or icc+cars."""
 
     name: str
     architecture: str = "linear"
+    track: str = "global"
     selector: str = "none"
+    k_grid: tuple[int, ...] = (2,)
     thresholds: tuple[float, ...] = ()
-    k_grid: tuple[int, ...] = (1, 2, 3)
-    weighted: bool = False
-    log: bool = False
-    seed: int = 0
+    weighted_by: str | None = None
+    transform: str = "linear"
+
+    def __post_init__(self) -> None:
+        if self.track not in TRACKS:
+            raise ValueError(f"unknown track {self.track!r}")
+        if self.weighted_by not in (None, "concentration", "repeatability_snr"):
+            raise ValueError(f"unknown weights {self.weighted_by!r}")
+        if self.transform == "log" and self.architecture == "log":
+            raise ValueError("the log transform and the log architecture would both take logarithms")
+
+    @property
+    def has_threshold(self) -> bool:
+        return self.selector in ("vip", "sr", "smc", "mi", "icc", "icc+cars")
+
+    @property
+    def batch(self) -> int:
+        """The number before the point in names like baselines_1.2_x, else 0."""
+        found = re.match(r"[^_]*_(\d+)", self.name)
+        return int(found[1]) if found else 0
+
+
+# The baseline experiment. Name, architecture, track, selector, components tried, thresholds tried,
+# weights, transform.
+QUEUE = (
+    ("baselines_1.1_linearPLSR", "linear", "global", "none", (2,), (), None, "linear"),
+    ("baselines_1.2_linearPLSR", "linear", "global", "none", (2, 3), (), None, "linear"),
+    ("baselines_1.3_linearPLSR_log", "linear", "global", "none", (2, 3), (), None, "log"),
+    ("baselines_1.4_weightedPLSR", "weighted", "global", "none", (2, 3), (), "concentration", "linear"),
+    ("baselines_1.4_weightedPLSR_log", "weighted", "global", "none", (2, 3), (), "concentration", "log"),
+    ("baselines_1.5_orthogonalPLSR", "orthogonal", "global", "none", (2, 3), (), None, "linear"),
+    ("baselines_1.6_nonlinearPLSR", "nonlinear", "global", "none", (2, 3), (), None, "linear"),
+    ("baselines_1.7_snrWeightedPLSR", "weighted", "global", "none", (2, 3), (), "repeatability_snr", "linear"),
+    ("channelspecific_2.1_linearPLSR", "linear", "channel", "none", (2, 3), (), None, "linear"),
+    ("pNproblem_3.1_SR", "linear", "global", "sr", (2, 3), (0.5, 1.0), None, "linear"),
+    ("pNproblem_3.1_VIP", "linear", "global", "vip", (2, 3), (0.5, 1.0), None, "linear"),
+    ("pNproblem_3.1_sMC", "linear", "global", "smc", (2, 3), (2.0, 6.0), None, "linear"),
+    ("pNproblem_3.2_CARS", "linear", "global", "cars", (2, 3), (), None, "linear"),
+    ("newchannels_4.1_CARS", "linear", "universal", "cars", (2, 3), (), None, "linear"),
+)
 
 
 def baseline_queue() -> list[Condition]:
-    """Fourteen conditions: architectures, selectors, weights and the log model."""
-    plain = [Condition(f"b1_{a}", a) for a in ("linear", "orthogonal", "nonlinear")]
-    chosen = [Condition(f"b2_linear_{s}", "linear", s) for s in ("vip", "sr", "smc", "mi", "cars")]
-    cuts = [Condition("b3_linear_vip_grid", "linear", "vip", (0.8, 1.0, 1.2)), Condition("b3_linear_sr_grid", "linear", "sr", (0.5, 1.0, 2.0))]
-    weighted = [Condition("b4_weighted", "weighted", weighted=True), Condition("b4_weighted_vip", "weighted", "vip", weighted=True)]
-    return [*plain, *chosen, *cuts, *weighted, Condition("b5_log", "log", log=True), Condition("b5_log_vip", "log", "vip", log=True)]
+    return [Condition(*row) for row in QUEUE]
+
+
+@dataclass
+class Rows:
+    """The rows of one task as arrays; t is the time, or in random folds the fold."""
+
+    x: np.ndarray
+    y: np.ndarray
+    t: np.ndarray
+    sensor: np.ndarray
+    time: np.ndarray
+    conc: np.ndarray
+    snr: np.ndarray
 
+    def take(self, at: np.ndarray) -> Rows:
+        return Rows(*(getattr(self, f)[at] for f in ("x", "y", "t", "sensor", "time", "conc", "snr")))
 
-def _fit(c: Condition, x, y, k, threshold, w):
-    kept = M.select(c.selector, x, np.log(y) if c.log else y, threshold, max(c.k_grid), c.seed)
-    model = M.build(c.architecture, min(k, len(kept)))
-    return kept, model.fit(x[:, kept], y, w if c.weighted else None)
+
+def sample_weights(c: Condition, rows: Rows) -> np.ndarray | None:
+    """1 / dose from one on, or the repeatability with infinite ones at the largest finite one; None without weights."""
+    if c.weighted_by == "concentration":
+        return 1 / np.maximum(np.nan_to_num(rows.conc, nan=1.0), 1.0)
+    if c.weighted_by == "repeatability_snr":
+        finite = np.isfinite(rows.snr)
+        w = np.maximum(np.where(finite, rows.snr, rows.snr[finite].max() if finite.any() else 1.0), 0)
+        return w if w.sum() > 0 else None
+    return None
 
 
 def _prepare(train: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
     """Training medians for missing values, then z-scores."""
-    median = np.nanmedian(np.where(np.isfinite(train).any(axis=0), train, 0.0), axis=0)
+    median = np.nanmedian(np.where(np.isfinite(train).any(axis=0), np.where(np.isfinite(train), train, np.nan), 0.0), axis=0)
     filled = [np.where(np.isfinite(x), x, median) for x in (train, *others)]
     return M.zscore(*filled)
 
 
-def evaluate_fold(c: Condition, x, y, t, test, w) -> dict | None:
-    """Choose k and threshold on the last training time, refit on all training rows, score the test rows."""
-    train = ~test
-    if c.log and (y[train] <= 0).any():
-        return None
-    times = np.unique(t[train])
-    grid = [(k, h) for h in (c.thresholds or (None,)) for k in c.k_grid]
-    best = grid[0]
-    if len(times) >= 2 and len(grid) > 1:
-        val = train & (t == times[-1])
-        early = train & (t < times[-1])
-        a, b = _prepare(x[early], x[val])
-        errors = []
-        for k, h in grid:
+def _select(c: Condition, threshold: float | None, x: np.ndarray, rows: Rows, k: int, seed: int, cars: dict) -> np.ndarray:
+    if c.selector.startswith("icc"):
+        kept = M.temporal_select(x, rows.sensor, rows.time, threshold)
+        return kept[M.cars(x[:, kept], rows.y, seed=seed, **cars)] if c.selector == "icc+cars" else kept
+    if c.selector == "cars":
+        return M.cars(x, rows.y, seed=seed, **cars)
+    return M.select(c.selector, x, rows.y, threshold, k, seed)
+
+
+def _fitted(c: Condition, k: int, x: np.ndarray, rows: Rows) -> M.PLS:
+    y = np.log(np.maximum(rows.y, LOG_FLOOR)) if c.transform == "log" else rows.y
+    return M.build(c.architecture, k).fit(x, y, sample_weights(c, rows) if c.architecture == "weighted" else None)
+
+
+def _predicted(c: Condition, model: M.PLS, x: np.ndarray) -> np.ndarray:
+    p = np.ravel(model.predict(x))
+    # Far beyond any response, and short of overflow.
+    return np.exp(np.clip(p, -50, 50)) if c.transform == "log" else p
+
+
+def _inner_split(c: Condition, train: Rows, fold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which training rows fit and which validate: the last time, or in random folds a quarter."""
+    if c.track == "random":
+        order = np.random.default_rng(int(fold)).permutation(len(train.y))
+        cut = max(1, round(0.75 * len(order)))
+        return np.sort(order[:cut]), np.sort(order[cut:])
+    last = train.t.max() if len(train.t) else np.nan
+    return np.flatnonzero(train.t < last), np.flatnonzero(train.t == last)
+
+
+def evaluate_folds(c: Condition, train: Rows, test: Rows, seed: int, cars: dict, fold: float = 0.0) -> list[dict]:
+    """Results of each fold of the test rows' channels (of all test rows together in random folds).
+
+    Threshold and number of components are those with the least error on the inner validation rows, in the order they
+    are given; they are fitted again on all training rows. Folds that can't be fitted are left out.
+    """
+    inner, outer = _inner_split(c, train, fold)
+    if not len(inner) or not len(outer):
+        return []
+    early, late = train.take(inner), train.take(outer)
+    a, b = _prepare(early.x, late.x)
+    errors: dict[tuple, np.ndarray] = {}
+    for threshold in (c.thresholds if c.has_threshold and c.thresholds else (None,)):
+        try:
+            kept = _select(c, threshold, a, early, max(c.k_grid), seed, cars)
+        except (ValueError, np.linalg.LinAlgError):
+            continue
+        for k in c.k_grid:
+            k = min(k, len(early.y) - 1, len(kept))
+            if k < 1 or len(early.y) < 2 * k:
+                continue
             try:
-                kept, m = _fit(c, a, y[early], k, h, w[early])
-                errors.append(float(np.mean((y[val] - m.predict(b[:, kept])) ** 2)))
-            except ValueError:
-                errors.append(np.inf)
-        best = grid[int(np.argmin(errors))]
-    a, b = _prepare(x[train], x[test])
-    try:
-        kept, m = _fit(c, a, y[train], *best, w[train])
-    except ValueError:
-        return None
-    p = m.predict(b[:, kept])
-    return {"k": best[0], "kept": kept, "model": m, "pred": p, "sse": float(((y[test] - p) ** 2).sum()), "tss": float(((y[test] - y[train].mean()) ** 2).sum()), "n_test": int(test.sum())}
-
-
-def run_conditions(df: DataFrame, features: list[str], y: str, conditions: list[Condition], sensor: str = "sensor", time: str = "timepoint", weight: str | None = None, min_train_times: int = 3) -> DataFrame:
-    """A row per condition and fold: condition, channel, t_test, k, n_features, selected, sse, n_test, tss, and the fold's
-    model as coef and intercept on its scaled features, so that one fold is read by a filter on its keys.
+                errors.setdefault((threshold, k), (late.y - _predicted(c, _fitted(c, k, a[:, kept], early), b[:, kept])) ** 2)
+            except (ValueError, np.linalg.LinAlgError):
+                continue
+    ta, tb = _prepare(train.x, test.x)
+    fits: dict[tuple, tuple | None] = {}
+    out = []
+    for channel in ([None] if c.track == "random" else dict.fromkeys(test.sensor.tolist())):
+        mine = np.ones(len(test.y), bool) if channel is None else test.sensor == channel
+        judged = late.sensor == channel if TRACKS[c.track][1] == "channel" else np.ones(len(late.y), bool)
+        if not errors or not judged.any():
+            continue
+        best = min(errors, key=lambda g: errors[g][judged].mean())
+        threshold, k = best
+        if best not in fits:
+            fits[best] = None
+            if len(train.y) >= 2 * k:
+                try:
+                    kept = _select(c, threshold, ta, train, k, seed, cars)
+                    fits[best] = kept, _fitted(c, min(k, len(train.y) - 1, len(kept)), ta[:, kept], train)
+                except (ValueError, np.linalg.LinAlgError):
+                    pass
+        if fits[best] is None:
+            continue
+        kept, model = fits[best]
+        y, p = test.y[mine], _predicted(c, model, tb[mine][:, kept])
+        coef, intercept = model.linear()
+        out.append(
+            {
+                "condition": c.name,
+                "track": c.track,
+                "seed": seed,
+                "channel": channel,
+                "k": model.k_used,
+                "threshold": threshold,
+                "kept": kept,
+                "sse": float(((y - p) ** 2).sum()),
+                "n_test": len(y),
+                "tss": float(((y - train.y.mean()) ** 2).sum()),
+                "coef": coef,
+                "intercept": intercept,
+                "pred": [{"concentration": u, "y": v, "pred": q} for u, v, q in zip(test.conc[mine].tolist(), y.tolist(), p.tolist(), strict=True)],
+            }
+        )
+    return out
+
+
+_FOLD = (
+    "k int, threshold double, n_features int, selected array<string>, sse double, n_test long, tss double, "
+    "coef array<double>, intercept double, predictions array<struct<concentration:double,y:double,pred:double>>"
+)
+
+
+def run_conditions(
+    df: DataFrame,
+    features: list[str],
+    y: str,
+    conditions: list[Condition],
+    sensor: str = "sensor",
+    time: str = "timepoint",
+    conc: str = "concentration",
+    snr: str = "repeatability_snr",
+    min_train_times: int = 3,
+    cap_min_train_times: bool = True,
+    seeds: tuple[int, ...] = (0,),
+    n_splits: int = 5,
+    fold_seed: int = 0,
+    cars: dict | None = None,
+) -> DataFrame:
+    """A row per condition, seed and fold: condition, track, seed, channel, t_test, k, threshold, n_features, selected, sse,
+    n_test, tss, the fold's model as coef and intercept on its scaled features, and its predictions.
+
+    Conditions without a seeded selector run for the first seed alone. Doses and repeatabilities that df lacks weigh 1.
+    The random track's folds have channel null and the fold's number as t_test.
     """
-    names = ["condition", "channel", "t_test", "k", "n_features", "selected", "sse", "n_test", "tss", "coef", "intercept"]
-    spark = df.sparkSession
-    folds = forward_folds(df, sensor, time, min_train_times)
+    column = lambda name: (F.col(name) if name in df.columns else F.lit(None)).cast("double")
+    kind = dict(df.dtypes)[sensor]
     rows = df.select(
         F.col(sensor).alias("_sensor"),
         F.col(time).cast("double").alias("_t"),
         F.col(y).cast("double").alias("_y"),
-        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"),
+        column(conc).alias("_conc"),
+        column(snr).alias("_snr"),
         *[F.col(c).cast("double").alias(c) for c in features],
-    ).where("_y is not null")
-    listed = spark.createDataFrame([(c.name,) for c in conditions], "condition string")
-    # Test rows are the fold's own channel at its time; training rows are everyone's earlier ones.
-    joined = folds.join(rows, F.expr("_t < t_test or (_t = t_test and _sensor = channel)")).crossJoin(F.broadcast(listed))
-    by_name = {c.name: c for c in conditions}
+    ).where("_y is not null and not isnan(_y)")
+    if any(c.transform == "log" for c in conditions) and not rows.where("_y <= 0").isEmpty():
+        raise ValueError("the log transform needs a target above zero throughout")
+    times = rows.select("_t").distinct()
+    if cap_min_train_times:
+        min_train_times = effective_min_train_times(times.count(), min_train_times)
+    # One row per time: the test times from it on that have enough times before them.
+    ranked = times.withColumn("_n", F.row_number().over(W.orderBy("_t")) - 1)
+    later = F.collect_list(F.when(F.col("_n") >= min_train_times, F.col("_t"))).over(W.orderBy("_t").rowsBetween(0, W.unboundedFollowing))
+    ranked = ranked.withColumn("_later", later).select("_t", F.explode("_later").alias("t_test"))
+
+    def jobs(track: str) -> dict[str, list[tuple[Condition, int]]]:
+        """Conditions and seeds that one task runs together."""
+        out: dict[str, list[tuple[Condition, int]]] = {}
+        for c in conditions:
+            if c.track == track or (c.track, track) == ("channel", "global"):
+                for s in seeds if c.selector in SEEDED else seeds[:1]:
+                    dear = c.selector in SEEDED or c.architecture == "nonlinear"
+                    out.setdefault(f"{c.name}/{s}" if dear else "plain", []).append((c, s))
+        return out
+
+    schema = f"condition string, track string, seed int, channel {kind}, t_test double, {_FOLD}"
+    found = []
+    for track in ("global", "universal", "random"):
+        todo = jobs(track)
+        if not todo:
+            continue
+        keys = ["_job", "t_test"]
+        if track == "random":
+            joined = rows.withColumn("_fold", F.pmod(F.xxhash64(F.lit(fold_seed), "_sensor", "_t"), F.lit(n_splits)).cast("double"))
+            joined = joined.withColumn("t_test", F.explode(F.array(*[F.lit(float(k)) for k in range(n_splits)])))
+            joined = joined.withColumn("_test", F.col("_fold") == F.col("t_test")).drop("_fold")
+        else:
+            joined = rows.join(ranked, "_t").withColumn("_test", F.col("_t") == F.col("t_test"))
+        if track == "universal":
+            tested = rows.select(F.col("_sensor").alias("channel"), F.col("_t").alias("t_test")).distinct()
+            joined = joined.join(tested, "t_test").where(F.col("_test") == F.col("_sensor").eqNullSafe(F.col("channel")))
+            keys.append("channel")
+        joined = joined.withColumn("_job", F.explode(F.array(*[F.lit(j) for j in todo])))
+        task = _task(todo, track, features, cars or {}, to_log_columns(features))
+        found.append(joined.groupBy(*keys).applyInPandas(task, schema))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = by_name[pdf.condition.iloc[0]]
-        pdf = pdf.sort_values(["_t", "_sensor", "_y"], kind="stable")
-        x, target, t = pdf[features].to_numpy(float), pdf._y.to_numpy(float), pdf._t.to_numpy(float)
-        got = evaluate_fold(c, x, target, t, t == float(pdf.t_test.iloc[0]), pdf._w.to_numpy(float))
-        if got is None:
-            return pd.DataFrame(columns=names)
-        kept = [features[i] for i in got["kept"]]
-        row = [c.name, pdf.channel.iloc[0], pdf.t_test.iloc[0], got["k"], len(kept), kept, got["sse"], got["n_test"], got["tss"]]
-        row += got["model"].linear()
-        return pd.DataFrame([row], columns=names)
 
-    types = {f.name: f.dataType.simpleString() for f in folds.schema.fields}
-    schema = f"condition string, channel {types['channel']}, t_test {types['t_test']}, k int, n_features int, selected array<string>, sse double, n_test long, tss double, coef array<double>, intercept double"
-    return joined.groupBy("condition", "channel", "t_test").applyInPandas(one, schema)
+def to_log_columns(features: list[str]) -> list[int]:
+    """Positions of the features that the log transform takes logarithms of."""
+    from .normalize import normalization_kind
+
+    return [i for i, f in enumerate(features) if normalization_kind(f) == "multiplicative"]
+
+
+def _task(todo: dict, track: str, features: list[str], cars: dict, logged: list[int]):
+    names = [c.split()[0] for c in f"condition s, track s, seed i, channel s, t_test d, {_FOLD}".replace("struct<concentration:double,y:double,pred:double>", "x").split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_t", "_sensor", "_y"], kind="stable")
+        t_test = float(pdf.t_test.iloc[0])
+        t = pdf._t.to_numpy(float)
+        x = np.array(pdf[features], float)
+        x[~np.isfinite(x)] = np.nan
+        rows = Rows(x, pdf._y.to_numpy(float), t, pdf._sensor.to_numpy(), t, pdf._conc.to_numpy(float), pdf._snr.to_numpy(float))
+        test = pdf._test.to_numpy(bool)
+        parts = {"linear": (rows.take(~test), rows.take(test))}
+        out = []
+        for c, seed in todo[pdf._job.iloc[0]]:
+            if c.transform not in parts:
+                z = x.copy()
+                z[:, logged] = np.log(np.maximum(z[:, logged], LOG_FLOOR))
+                log = Rows(z, *(getattr(rows, f) for f in ("y", "t", "sensor", "time", "conc", "snr")))
+                parts["log"] = log.take(~test), log.take(test)
+            train, tested = parts[c.transform]
+            for r in evaluate_folds(c, train, tested, seed, cars, t_test):
+                kept = [features[i] for i in r.pop("kept")]
+                out.append({**r, "t_test": t_test, "n_features": len(kept), "selected": kept, "predictions": r["pred"]})
+        frame = pd.DataFrame(out, columns=names)
+        return frame.astype({"threshold": float, "intercept": float})
+
+    return run
 
 
 def summarize(results: DataFrame) -> DataFrame:
-    """condition with pooled metrics, best first."""
-    return pooled(results, ["condition"]).orderBy(F.col("rmsep").asc_nulls_last(), "condition")
+    """condition, track and pooled metrics, averaged over seeds, best first."""
+    keys = ["condition", "track"]
+    return mean_over_seeds(pooled(results, [*keys, "seed"]), keys).orderBy(F.col("rmsep").asc_nulls_last(), "condition")
 
 
-def selection_frequency(results: DataFrame) -> DataFrame:
-    """condition, feature, frequency over folds."""
+def per_channel(results: DataFrame) -> DataFrame:
+    """Pooled metrics of each channel of the channel track's conditions."""
+    return pooled(results.where("track = 'channel'"), ["condition", "channel"])
+
+
+def predictions(results: DataFrame) -> DataFrame:
+    """condition, seed, sensor, t_test, concentration, y, pred, residual: a row per test row."""
+    return results.select("condition", "seed", F.col("channel").alias("sensor"), "t_test", F.inline("predictions")).withColumn("residual", F.col("pred") - F.col("y"))
+
+
+def selection_frequency(results: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """condition, feature, frequency over folds and seeds; with features given, those never selected too, at 0."""
     n = results.groupBy("condition").agg(F.count(F.lit(1)).alias("n"))
     found = results.select("condition", F.explode("selected").alias("feature")).groupBy("condition", "feature").agg(F.count(F.lit(1)).alias("k"))
-    return found.join(n, "condition").select("condition", "feature", (F.col("k") / F.col("n")).alias("frequency"))
+    if features is not None:
+        every = n.select("condition", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+        found = every.join(found, ["condition", "feature"], "left")
+    return found.join(n, "condition").select("condition", "feature", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("frequency"))
+
+
+def feature_ranking(frequencies: DataFrame) -> DataFrame:
+    """feature, mean_selection_frequency, n_conditions_selected over all conditions, most selected first."""
+    g = frequencies.groupBy("feature").agg(
+        F.avg("frequency").alias("mean_selection_frequency"), F.sum((F.col("frequency") > 0).cast("long")).alias("n_conditions_selected")
+    )
+    return g.orderBy(F.col("mean_selection_frequency").desc(), "feature")
 
 
 _MODEL = "condition string, features array<string>, center array<double>, iqr array<double>, median array<double>, x_mean array<double>, coef array<double>, intercept double, k int, log boolean"
 
 
 def freeze(df: DataFrame, features: list[str], y: str, condition: Condition, k: int) -> DataFrame:
-    """One row: a linear model fitted on all rows in one task, with its imputation and robust scaling."""
+    """One row: a linear model fitted on all rows, with its imputation and robust scaling.
+
+    Quantiles are worked out per feature, products of the scaled features by aggregates over blocks of rows, so the
+    driver gets numbers of features by features alone, however many rows there are. Missing values take the median,
+    which the centre and the quartiles are of the filled values.
+    """
     if condition.architecture not in ("linear", "weighted", "log"):
         raise ValueError("only models linear in the features can be frozen as coefficients")
-    rows = df.select(F.lit(1).alias("g"), F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in features]).where("_y is not null")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_y", *features], kind="stable")
-        x, target = pdf[features].to_numpy(float), pdf._y.to_numpy(float)
-        x = np.where(np.isfinite(x), x, np.nan)
-        median = np.nan_to_num(np.nanmedian(x, axis=0))
-        x = np.where(np.isnan(x), median, x)
-        center = np.median(x, axis=0)
-        iqr = np.subtract(*np.percentile(x, [75, 25], axis=0))
-        iqr = np.where(iqr > 0, iqr, 1.0)
-        m = M.build(condition.architecture, k).fit((x - center) / iqr, target)
-        row = [condition.name, features, center.tolist(), iqr.tolist(), median.tolist(), m.x_mean.tolist(), m.coef[:, 0].tolist(), float(m.y_mean[0]), m.k_used, condition.log]
-        return pd.DataFrame([row], columns=[c.split()[0] for c in _MODEL.split(", ")])
-
-    return rows.groupBy("g").applyInPandas(one, _MODEL)
+    rows = df.select(F.col(y).cast("double").alias("_y"), *[_clean(c).alias(c) for c in features], _weight(df, condition).alias("_w")).where("_y is not null")
+    if condition.transform == "log":
+        rows = to_log(rows, features)
+    log = condition.transform == "log" or condition.architecture == "log"
+    if log:
+        rows = rows.withColumn("_y", F.ln(F.greatest("_y", F.lit(LOG_FLOOR))))
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(features)])).alias("p")).select("p.*")
+    median = {r.i: r.m or 0.0 for r in long.groupBy("i").agg(F.median("v").alias("m")).collect()}
+    median = [float(median.get(i, 0.0)) for i in range(len(features))]
+    filled = rows.select("_y", "_w", *[F.coalesce(F.col(c), F.lit(m)).alias(c) for c, m in zip(features, median, strict=True)])
+    long = filled.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(features)])).alias("p")).select("p.*")
+    found = {r.i: r.q for r in long.groupBy("i").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).collect()}
+    center = [float(found[i][1]) for i in range(len(features))]
+    iqr = [float(found[i][2] - found[i][0]) or 1.0 for i in range(len(features))]
+    scaled = filled.select("_w", "_y", *[((F.col(c) - m) / s).alias(c) for c, m, s in zip(features, center, iqr, strict=True)])
+    gram, n = domain.gramian(scaled, [*features, "_y"], "_w")
+    model = M.PLS(k).fit_gramian(gram, n)
+    row = (condition.name, features, center, iqr, median, model.x_mean.tolist(), model.coef[:, 0].tolist(), float(model.y_mean[0]), model.k_used, log)
+    return df.sparkSession.createDataFrame([row], _MODEL)
+
+
+def _clean(name: str):
+    c = F.col(name).cast("double")
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
+def _weight(df: DataFrame, c: Condition):
+    if c.architecture == "weighted" and "concentration" in df.columns:
+        return 1 / F.greatest(F.coalesce(F.col("concentration").cast("double"), F.lit(1.0)), F.lit(1.0))
+    return F.lit(1.0)
+
+
+def freeze_top(df: DataFrame, features: list[str], y: str, results: DataFrame, queue: list[Condition], name: str | None = None, stability_min: float = 0.5) -> DataFrame:
+    """The best condition of a run (or the one named) fitted on all rows.
+
+    Its commonest number of components, and the features selected in stability_min of its folds; if there are none, the
+    3 k (5 at least) most selected. The summaries that the driver gets have a row per condition or feature.
+    """
+    ranked = [r for r in summarize(results).collect() if r.rmsep is not None and np.isfinite(r.rmsep)]
+    if not ranked:
+        raise ValueError("no condition with a finite error in this run")
+    name = name or ranked[0].condition
+    chosen = {c.name: c for c in queue}.get(name)
+    if chosen is None or name not in {r.condition for r in ranked}:
+        raise ValueError(f"condition {name!r} is not in this run")
+    own = results.where(F.col("condition") == name)
+    k = own.groupBy("k").count().orderBy(F.col("count").desc(), "k").first().k
+    kept = features
+    if chosen.selector != "none":
+        frequency = {r.feature: r.frequency for r in selection_frequency(own).collect()}
+        kept = [f for f in features if frequency.get(f, 0) >= stability_min]
+        if not kept:
+            top = sorted(frequency, key=lambda f: (-frequency[f], f))[: max(3 * k, 5)]
+            kept = [f for f in features if f in set(top)]
+    return freeze(df, kept, y, chosen, k)
 
 
 def recalibrate(model: DataFrame, df: DataFrame) -> DataFrame:
@@ -168,84 +452,112 @@ def recalibrate(model: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def coral_transform(df: DataFrame, columns: list[str], reference, batch, eps: float = 1e-6) -> DataFrame:
-    """batch rows whitened by their own covariance and coloured by the reference's; moments come from one pass."""
+    """batch rows whitened by their own covariance and coloured by the reference's; moments come from one pass each."""
     p = len(columns)
 
-    def moments(where):
-        aggs = [F.avg(F.when(where, F.col(c))) for c in columns]
-        aggs += [F.covar_samp(F.when(where, F.col(a)), F.when(where, F.col(b))) for a in columns for b in columns]
-        return aggs
-
-    got = np.array(df.agg(*moments(reference), *moments(batch)).first(), float)
-    ref, own = got[: p + p * p], got[p + p * p :]
-
-    def root(c, power):
-        values, vectors = np.linalg.eigh(c.reshape(p, p) + eps * np.eye(p))
+    def root(c: np.ndarray, power: float) -> np.ndarray:
+        values, vectors = np.linalg.eigh(c + eps * np.eye(p))
         return vectors @ np.diag(np.maximum(values, eps) ** power) @ vectors.T
 
-    a = root(own[p:], -0.5) @ root(ref[p:], 0.5)
-    new = {}
-    for j, c in enumerate(columns):
-        e = F.lit(float(ref[j]))
-        for i, b in enumerate(columns):
-            e = e + (F.col(b) - float(own[i])) * float(a[i, j])
-        new[c] = e
-    return df.where(batch).withColumns(new)
-
-
-def grouped_cv(df: DataFrame, predictors: list[str], y: str, group: str, time: str, kind: str, min_train: int = 8, shrink: float = 1.0) -> DataFrame:
+    ref, target, _ = domain.mean_and_covariance(df.where(reference), columns)
+    own, source, _ = domain.mean_and_covariance(df.where(batch), columns)
+    a = root(source, -0.5) @ root(target, 0.5)
+    centred = F.array(*[F.col(c).cast("double") - float(m) for c, m in zip(columns, own, strict=True)])
+    weights = F.array(*[F.array(*[F.lit(float(x)) for x in a[:, j]]) for j in range(p)])
+    product = F.transform(weights, lambda w: F.aggregate(F.zip_with(w, F.col("_centred"), lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x))
+    moved = df.where(batch).withColumn("_centred", centred).withColumn("_moved", product)
+    return moved.withColumns({c: F.get("_moved", F.lit(j)) + float(ref[j]) for j, c in enumerate(columns)}).drop("_centred", "_moved")
+
+
+def grouped_cv(
+    df: DataFrame,
+    predictors: list[str],
+    y: str,
+    groups: list[list[str]],
+    time: str,
+    kind: str,
+    ids: list[str] | None = None,
+    min_train: int = 8,
+    min_train_times: int = 3,
+    k_intercept: float = 2.0,
+    k_slope: float = 4.0,
+) -> DataFrame:
     """Rows (group, time, y, pred, base_pred, train_mean) per forward fold in time.
 
-    kind "ridge": leave-one-out ridge, then shrunk group offsets and age slopes of its residuals. kind "logistic":
-    probabilities of y = 1; base_pred is the training share.
+    groups: the columns of each level, outer to inner; group is the last one. The age, the time since the first of the
+    row's ids (the last level's columns if None), is a predictor too. kind "ridge": leave-one-out ridge, then for each
+    level offsets and age slopes of what is left, shrunk by n / (n + k_intercept) and n / (n + k_slope). kind
+    "logistic": probabilities of y = 1; base_pred is the training share.
     """
-    times = df.select(F.col(time).cast("double").alias("t_test")).distinct()
-    rows = df.select(F.col(group).alias("_g"), F.col(time).cast("double").alias("_t"), F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in predictors]).where("_y is not null")
-    joined = times.join(rows, F.expr("_t <= t_test"))
-
-    def effects(g, t, r):
+    ids = ids or groups[-1]
+    age = F.col(time).cast("double") - F.min(F.col(time).cast("double")).over(W.partitionBy(*ids))
+    name = lambda level: F.concat_ws("|", *[F.col(c).cast("string") for c in level])
+    levels = [f"_g{i}" for i in range(len(groups))]
+    rows = df.select(
+        *[name(g).alias(n) for g, n in zip(groups, levels, strict=True)],
+        F.col(time).cast("double").alias("_t"),
+        F.col(y).cast("double").alias("_y"),
+        age.alias("_age"),
+        *[F.col(c).cast("double").alias(c) for c in predictors],
+    ).where("_y is not null and not isnan(_y)")
+    ranked = rows.select("_t").distinct().withColumn("_n", F.row_number().over(W.orderBy("_t")) - 1)
+    later = F.collect_list(F.when(F.col("_n") >= min_train_times, F.col("_t"))).over(W.orderBy("_t").rowsBetween(0, W.unboundedFollowing))
+    joined = rows.join(ranked.withColumn("_later", later).select("_t", F.explode("_later").alias("t_test")), "_t")
+
+    def effects(g: np.ndarray, t: np.ndarray, r: np.ndarray) -> dict:
+        """Shrunk offset, shrunk age slope and mean age of each group."""
         out = {}
         for k in np.unique(g):
             here = g == k
-            n, mean = here.sum(), r[here].mean()
-            offset = n / (n + shrink) * mean
-            rest, age = r[here] - offset, t[here] - t[here].mean()
-            slope = (age @ rest) / (age @ age + shrink) if n >= 2 else 0.0
-            out[k] = offset, slope, t[here].mean()
+            n, own = int(here.sum()), r[here]
+            moved = t[here] - t[here].mean()
+            spread = moved @ moved
+            slope = moved @ (own - own.mean()) / spread * n / (n + k_slope) if spread > 0 else 0.0
+            out[k] = own.mean() * n / (n + k_intercept), slope, t[here].mean()
         return out
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", "_g", "_y"], kind="stable")
-        t, g, target = pdf._t.to_numpy(), pdf._g.to_numpy(), pdf._y.to_numpy(float)
+        pdf = pdf.sort_values(["_t", *levels, "_y"], kind="stable")
+        t, target, old = pdf._t.to_numpy(), pdf._y.to_numpy(float), pdf._age.to_numpy(float)
         test = t == pdf.t_test.iloc[0]
         train = ~test
         columns = ["group", "time", "y", "pred", "base_pred", "train_mean"]
-        if train.sum() < min_train or (kind == "logistic" and len(set(target[train])) < 2):
+        if train.sum() < min_train or not test.any() or (kind == "logistic" and len(set(target[train])) < 2):
             return pd.DataFrame(columns=columns)
-        a, b = M.zscore(pdf[predictors].to_numpy(float)[train], pdf[predictors].to_numpy(float)[test])
+        x = np.array(pdf[[*predictors, "_age"]], float)
+        x[~np.isfinite(x)] = np.nan
+        a, b = M.zscore(x[train], x[test])
         mean = target[train].mean()
         if kind == "logistic":
             w, c = M.logistic(a, target[train])
-            pred = base = 1 / (1 + np.exp(-(b @ w + c)))
+            pred = 1 / (1 + np.exp(-(b @ w + c)))
             base = np.full(test.sum(), mean)
         else:
             m = M.ridge_loo(a, target[train])
             base = m.predict(b)
-            found = effects(g[train], t[train], target[train] - m.predict(a))
-            extra = [found.get(k, (0.0, 0.0, 0.0)) for k in g[test]]
-            pred = base + np.array([o + s * (u - c) for (o, s, c), u in zip(extra, t[test], strict=True)])
-        return pd.DataFrame({"group": g[test], "time": t[test], "y": target[test], "pred": pred, "base_pred": base, "train_mean": mean})
+            pred, left = base.copy(), target[train] - m.predict(a)
+            for level in levels:
+                g = pdf[level].to_numpy()
+                found = effects(g[train], old[train], left)
+                own = np.array([found[k] for k in g[train]])
+                left = left - own[:, 0] - own[:, 1] * (old[train] - own[:, 2])
+                extra = np.array([found.get(k, (0.0, 0.0, 0.0)) for k in g[test]])
+                pred += extra[:, 0] + extra[:, 1] * (old[test] - extra[:, 2])
+        return pd.DataFrame({"group": pdf[levels[-1]].to_numpy()[test], "time": t[test], "y": target[test], "pred": pred, "base_pred": base, "train_mean": mean})
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return joined.groupBy("t_test").applyInPandas(one, f"group {kinds['_g']}, time double, y double, pred double, base_pred double, train_mean double")
+    return joined.groupBy("t_test").applyInPandas(one, "group string, time double, y double, pred double, base_pred double, train_mean double")
 
 
 def condition_config(c: Condition) -> dict:
     return asdict(c)
 
 
+def _batches(queue: list[Condition]) -> list[list[Condition]]:
+    return [[c for c in queue if c.batch == b] for b in dict.fromkeys(c.batch for c in queue)]
+
+
 def run_queue(df: DataFrame, features: list[str], y: str, queue: list[Condition], gate=None, batch_gate=None, **kw) -> list[tuple[Condition, dict]]:
-    """Conditions batch by batch (the part of the name before "_"), best first.
+    """Conditions batch by batch (Condition.batch), best first.
 
     gate(condition, metrics) may stop by returning False; batch_gate(results, rest) may replace the rest of the queue.
     Without gates all conditions are one job.
@@ -253,7 +565,7 @@ def run_queue(df: DataFrame, features: list[str], y: str, queue: list[Condition]
     if gate is None and batch_gate is None:
         groups = [queue]
     else:
-        groups = [[c for c in queue if c.name.split("_")[0] == b] for b in dict.fromkeys(c.name.split("_")[0] for c in queue)]
+        groups = _batches(queue)
     done: list[tuple[Condition, dict]] = []
     while groups:
         batch = groups.pop(0)
@@ -267,10 +579,17 @@ def run_queue(df: DataFrame, features: list[str], y: str, queue: list[Condition]
         if batch_gate is not None and groups:
             rest = batch_gate(done, [c for g in groups for c in g])
             if rest is not None:
-                groups = [[c for c in rest if c.name.split("_")[0] == b] for b in dict.fromkeys(c.name.split("_")[0] for c in rest)]
+                groups = _batches(rest)
     return sorted(done, key=lambda x: x[1].get("rmsep") or float("inf"))
 
 
+def _with_later_times(rows: DataFrame, time: str) -> DataFrame:
+    """rows once for each time t_test from theirs on, by an equal join on time."""
+    every = F.collect_list("_u").over(W.orderBy("_u").rowsBetween(0, W.unboundedFollowing))
+    times = rows.select(F.col(time).cast("double").alias("_u")).distinct().withColumn("_later", every).select("_u", F.explode("_later").alias("t_test"))
+    return rows.withColumn("_u", F.col(time).cast("double")).join(times, "_u").drop("_u")
+
+
 def target_framings(df: DataFrame, predictors: list[str], keys: list[str], min_train: int = 8, k: int = 2) -> DataFrame:
     """framing, n, rmsep and log_conc_rmse of four ways to the response at a dose, under forward folds in time.
 
@@ -279,8 +598,7 @@ def target_framings(df: DataFrame, predictors: list[str], keys: list[str], min_t
     predicted curve, at the root nearest the training median.
     """
     rows = df.select(*[F.col(c).alias(c) for c in keys], "concentration", "response", *predictors).where("concentration > 0 and response is not null")
-    times = rows.select(F.col("timepoint").cast("double").alias("t_test")).distinct()
-    joined = times.join(rows, F.expr("timepoint <= t_test"))
+    joined = _with_later_times(rows, "timepoint")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*keys, "concentration"], kind="stable")
@@ -347,7 +665,7 @@ def target_framings(df: DataFrame, predictors: list[str], keys: list[str], min_t
 def dose_curve_cv(df: DataFrame, predictors: list[str], responses: list[str], sensor: str, time: str, k: int = 2, min_train: int = 8) -> DataFrame:
     """t_test, response, n, sse: whole dose curves predicted at once by a model with several responses."""
     rows = df.select(F.col(sensor).alias("_s"), F.col(time).cast("double").alias("_t"), *[F.col(f"`{c}`").cast("double").alias(c) for c in [*predictors, *responses]])
-    joined = rows.select(F.col("_t").alias("t_test")).distinct().join(rows, F.expr("_t <= t_test"))
+    joined = _with_later_times(rows, "_t")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_t", "_s"], kind="stable")

@@ -54,18 +54,25 @@ def to_log(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def train_statistics(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
-    """One row with mean_, sd_, median_, iqr_ of each column over the training rows; spread 0 becomes 1, no values median 0."""
+    """One row with mean_, sd_, median_, iqr_ of each column over the training rows; spread 0 becomes 1, no values median 0.
+
+    Worked out in long form, so each column's values are gathered in a task of its own.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), clean(F.col(c)).alias("v")) for i, c in enumerate(columns)]))
+    per = df.where(train).select(each.alias("e")).groupBy("e.i").agg(
+        F.avg("e.v").alias("mean"), F.stddev_pop("e.v").alias("sd"), F.percentile("e.v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+    )
     aggs = []
-    for c in columns:
-        x = F.when(train, clean(F.col(c)))
-        sd, iqr = F.stddev_pop(x), F.percentile(x, 0.75) - F.percentile(x, 0.25)
+    for i, c in enumerate(columns):
+        of = lambda x, i=i: F.max(F.when(F.col("i") == i, x))
+        sd, iqr = of(F.col("sd")), of(F.get("q", F.lit(2)) - F.get("q", F.lit(0)))
         aggs += [
-            F.avg(x).alias(f"mean_{c}"),
+            of(F.col("mean")).alias(f"mean_{c}"),
             F.when(sd > 0, sd).otherwise(1.0).alias(f"sd_{c}"),
-            F.coalesce(F.median(x), F.lit(0.0)).alias(f"median_{c}"),
+            F.coalesce(of(F.get("q", F.lit(1))), F.lit(0.0)).alias(f"median_{c}"),
             F.when(iqr > 0, iqr).otherwise(1.0).alias(f"iqr_{c}"),
         ]
-    return df.agg(*aggs)
+    return per.agg(*aggs)
 
 
 def scale(df: DataFrame, columns: list[str], train: Column, how: str) -> DataFrame:

@@ -117,36 +117,55 @@ def _discover(spark, sf, conditions):
 
 @query()
 def pls_fit_predict(spark, sf):
-    return _discover(spark, sf, [R.Condition("linear", "linear")]).drop("selected")
+    return _discover(spark, sf, [R.Condition("linear", "linear", k_grid=(1, 2, 3))]).drop("selected")
 
 
 def _selected(name):
     def run(spark, sf):
-        r = _discover(spark, sf, [R.Condition(name, "linear", name)])
+        r = _discover(spark, sf, [R.Condition(name, "linear", selector=name, k_grid=(2, 3))])
         return R.selection_frequency(r)
 
-    run.__name__ = f"{name}_select"
+    run.__name__ = f"{name.replace('+', '_')}_select"
     return run
 
 
-for _name in ("vip", "sr", "smc", "mi", "cars"):
+for _name in ("vip", "sr", "smc", "mi", "icc", "cars", "icc+cars"):
     query()(_selected(_name))
 
 
+def positive_matrix(spark, sf):
+    """The matrix with positive features and responses, doses and repeatabilities, as the whole queue needs them."""
+    m = A.matrix(spark, sf).withColumns({c: F.exp(F.col(c) / 4) for c in [*A.FEATURES, "y"]})
+    return m.withColumn("concentration", F.lit(100.0) * (1 + F.col("vec_id") % 5)).withColumn("repeatability_snr", (1 + F.col("vec_id") % 7).cast("double"))
+
+
 @query()
 def discovery_ranking(spark, sf):
-    queue = [c for c in R.baseline_queue() if not c.log and c.selector not in ("cars", "mi")]
-    return R.summarize(_discover(spark, sf, queue))
+    """All conditions of the baseline queue."""
+    return R.summarize(R.run_conditions(positive_matrix(spark, sf), A.FEATURES, "y", R.baseline_queue()))
+
+
+@query()
+def random_track(spark, sf):
+    return E.pooled(_discover(spark, sf, [R.Condition("random", track="random")]), ["condition", "track"])
+
+
+@query()
+def fold_predictions(spark, sf):
+    c = [R.Condition("channel", track="channel", k_grid=(1, 2)), R.Condition("universal", track="universal")]
+    return R.predictions(_discover(spark, sf, c)).drop("concentration")
 
 
 @query()
 def ridge_loo(spark, sf):
-    return R.grouped_cv(A.matrix(spark, sf), A.FEATURES, "y", "sensor", "timepoint", "ridge").drop("pred")
+    return R.grouped_cv(A.matrix(spark, sf), A.FEATURES, "y", [["sensor"]], "timepoint", "ridge").drop("pred")
 
 
 @query()
 def hierarchical_cv(spark, sf):
-    p = R.grouped_cv(A.matrix(spark, sf), A.FEATURES[3:], "y", "sensor", "timepoint", "ridge")
+    """Devices of two sensors each, and sensors within them."""
+    m = A.matrix(spark, sf).withColumn("device", F.expr("sensor div 2"))
+    p = R.grouped_cv(m, A.FEATURES, "y", [["device"], ["device", "sensor"]], "timepoint", "ridge")
     r, b, n = ((F.col("y") - F.col(c)) for c in ("pred", "base_pred", "train_mean"))
     return p.agg(
         (1 - F.sum(r * r) / F.sum(n * n)).alias("q2"),
@@ -159,21 +178,10 @@ def hierarchical_cv(spark, sf):
 @query()
 def drift_classifier_cv(spark, sf):
     m = A.matrix(spark, sf).withColumn("drifting", (F.col("y") > 1).cast("double"))
-    p = R.grouped_cv(m, A.FEATURES, "drifting", "sensor", "timepoint", "logistic")
+    p = R.grouped_cv(m, A.FEATURES, "drifting", [["sensor"]], "timepoint", "logistic")
     return E.auc(p, F.col("y") == 1, "pred").crossJoin(E.balanced_accuracy(p, F.col("y"), (F.col("pred") >= 0.5).cast("double")))
 
 
-@query()
-def target_framings(spark, sf):
-    """Pooled error of the current value and of two transforms of it, each under the same folds."""
-    m = A.matrix(spark, sf).withColumn("y2", F.col("y") * F.col("y")).withColumn("yi", F.col("y") * F.col("f00"))
-    out = None
-    for name in ("y", "y2", "yi"):
-        r = E.pooled(R.run_conditions(m, A.FEATURES, name, [R.Condition(name)])).withColumn("target", F.lit(name))
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
 @query()
 def freeze_and_recalibrate(spark, sf):
     m = A.matrix(spark, sf)
@@ -183,8 +191,8 @@ def freeze_and_recalibrate(spark, sf):
 
 @query()
 def coral_transform(spark, sf):
-    m = R.coral_transform(A.matrix(spark, sf), ["f00", "f02", "f04"], F.expr("timepoint < 3"), F.expr("timepoint >= 3"))
-    return m.select("vec_id", "f00", "f02", "f04")
+    m = R.coral_transform(A.matrix(spark, sf), A.FEATURES, F.expr("timepoint < 3"), F.expr("timepoint >= 3"))
+    return m.select("vec_id", *A.FEATURES)
 
 
 ARCHITECTURES = tuple(M.ARCHITECTURES)

@@ -225,9 +225,12 @@ def round_drift(spark, sf):
     return C.cycle_drift(m, ["label"], "round", "current").select("label", "round", r6(F.col("drift")).alias("drift"))
 
 
-XS = ["f00", "f02", "f04"]
+XS = A.FEATURES
 COV = ", ".join(f"avg({c}) as m_{c}" for c in XS) + ", " + ", ".join(f"covar_samp({a}, {b}) as c_{a}_{b}" for i, a in enumerate(XS) for b in XS[i:])
-DIST = "sqrt(" + " + ".join(f"{1 if a == b else 2} * (b.c_{a}_{b} - r.c_{a}_{b}) ** 2" for i, a in enumerate(XS) for b in XS[i:]) + ") + sqrt(" + " + ".join(f"(b.m_{c} - r.m_{c}) ** 2" for c in XS) + ")"
+SQUARES = ", ".join(f"{1 if a == b else 2} * (b.c_{a}_{b} - r.c_{a}_{b}) ** 2" for i, a in enumerate(XS) for b in XS[i:])
+DIST = f"sqrt(list_sum([{SQUARES}])) + sqrt(list_sum([{', '.join(f'(b.m_{c} - r.m_{c}) ** 2' for c in XS)}]))"
+#: Numbers with few binary digits, so that any order of summing gives the same.
+CENTRES, COEFFICIENTS = [i / 64 for i in range(len(XS))], [((7 * i) % 11 - 5) / 4 for i in range(len(XS))]
 
 
 @query(f"with {A.MATRIX_SQL}, r as (select {COV} from mat where timepoint < 3), b as (select count(*) as n, {COV} from mat where timepoint >= 3) select n, round({DIST}, 6) as distance from b, r")
@@ -242,9 +245,9 @@ def drift_path(spark, sf):
     return M.flag_extrapolation(d, 0.05).select("timepoint", "n", r6(F.col("distance")).alias("distance"), "flag")
 
 
-@query(f"with {A.MATRIX_SQL} select vec_id, round((f00 - 0.1) * 2 + (f02 - 0.2) * -1.5 + (f04 - 0.3) * 0.25 + 4, 6) as score from mat")
+@query(f"with {A.MATRIX_SQL} select vec_id, round({' + '.join(f'({c} - {m}::double) * {w}::double' for c, m, w in zip(XS, CENTRES, COEFFICIENTS, strict=True))} + 4, 6) as score from mat")
 def linear_score(spark, sf):
-    return M.linear_score(A.matrix(spark, sf), XS, [0.1, 0.2, 0.3], [2.0, -1.5, 0.25], 4.0).select("vec_id", r6(F.col("score")).alias("score"))
+    return M.linear_score(A.matrix(spark, sf), XS, CENTRES, COEFFICIENTS, 4.0).select("vec_id", r6(F.col("score")).alias("score"))
 
 
 COND = "co as (select p_brand as condition, substr(p_brand, 1, 7) as batch, round(avg(p_retailprice), 6) as rmsep from part group by all)"

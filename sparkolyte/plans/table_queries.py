@@ -37,8 +37,9 @@ def strongest_features(spark, sf):
 
 RATIO = "round(greatest(sum(s * s / n) - sum(s) * sum(s) / sum(n), 0) / (sum(q) - sum(s) * sum(s) / sum(n)), 6)"
 CELLS = "select feature, sensor, count(x) as n, sum(x) as s, sum(x * x) as q from ({rows}) where x is not null group by feature, sensor"
-RAW = " union all ".join(f"select sensor, '{c}' as feature, {c} as x from b" for c in A.FEATURES)
-SHIFTED = " union all ".join(f"select sensor, '{c}' as feature, {c} - d_{c} as x from b" for c in A.FEATURES)
+LONG = f"unpivot include nulls (x for feature in ({', '.join(A.FEATURES)}))"
+RAW = f"select sensor, feature, x from (select sensor, {', '.join(A.FEATURES)} from b) {LONG}"
+SHIFTED = f"select sensor, feature, x from (select sensor, {', '.join(f'{c} - d_{c} as {c}' for c in A.FEATURES)} from b) {LONG}"
 
 
 @query(

@@ -80,10 +80,14 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def matrix(spark: SparkSession, sf_dir: str, features: int = 8) -> DataFrame:
-    """sensor, timepoint, y and f00.. columns; some values are missing."""
+#: The values of an embedding.
+FEATURES = [f"f{i:02d}" for i in range(64)]
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sensor, timepoint, y and f00.. columns, one per value of an embedding; some values are missing."""
     e = table(spark, sf_dir, "embeddings")
-    cols = [F.get("embedding", F.lit(i)).cast("double") for i in range(features)]
+    cols = [F.get("embedding", F.lit(i)).cast("double") for i in range(len(FEATURES))]
     hole = lambda i: (F.col("vec_id") + i) % 17 == 0
     return e.select(
         "vec_id",
@@ -139,18 +143,12 @@ MATRIX_SQL = (
     "2 * embedding[1]::double - embedding[2]::double + 0.5::double * embedding[3]::double + 1 as y, "
     + ", ".join(
         (f"case when (vec_id + {i}) % 17 = 0 then null else embedding[{i + 1}]::double end" if i % 2 else f"embedding[{i + 1}]::double")
-        + f" as f{i:02d}"
-        for i in range(8)
+        + f" as {f}"
+        for i, f in enumerate(FEATURES)
     )
     + " from embeddings)"
 )
-MATRIX_LONG_SQL = (
-    MATRIX_SQL
-    + ", long as (select vec_id, sensor, timepoint, y, feature, value from ("
-    + " union all ".join(f"select vec_id, sensor, timepoint, y, 'f{i:02d}' as feature, f{i:02d} as value from mat" for i in range(8))
-    + "))"
-)
-FEATURES = [f"f{i:02d}" for i in range(8)]
+MATRIX_LONG_SQL = MATRIX_SQL + f", long as (select * from mat unpivot include nulls (value for feature in ({', '.join(FEATURES)})))"
 
 
 def long_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
