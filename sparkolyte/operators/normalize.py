@@ -48,6 +48,12 @@ def d0_normalize(df: DataFrame, columns: list[str], group: list[str], time: str
     return d.withColumns(out).select(*df.columns)
 
 
+def baselines(df: DataFrame, columns: list[str], group: list[str], time: str = "timepoint") -> DataFrame:
+    """group and each column's mean over the group's rows at its first time."""
+    d = df.withColumn("_t0", F.min(time).over(W.partitionBy(*group))).where(F.col(time) == F.col("_t0"))
+    return d.groupBy(*group).agg(*[F.avg(clean(F.col(c))).alias(c) for c in columns])
+
+
 def to_log(df: DataFrame, columns: list[str]) -> DataFrame:
     """ln(max(x, 1e-12)) on multiplicative columns."""
     return df.withColumns({c: F.ln(F.greatest(clean(F.col(c)), F.lit(LOG_FLOOR))) for c in columns if normalization_kind(c) == "multiplicative"})

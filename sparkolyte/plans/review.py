@@ -62,7 +62,7 @@ def feature_dictionary(spark: SparkSession, columns: list[str]) -> DataFrame:
 def inventory(spark: SparkSession, root: str, config: AnalysisConfig | None = None) -> DataFrame:
     """A row per file and channel with its replicates, and for spectra the gates of the first replicate."""
     config = config or AnalysisConfig()
-    blocks = raw.read_blocks(spark, root).where("error is null").cache()
+    blocks = raw.once(raw.read_blocks(spark, root).where("error is null"))
     keys = ["device", "date", "testtype", "devicetype", "signaltype", "dose_nm", "token", "kind", "channel"]
     counts = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_replicates"))
     first = blocks.where("kind = 'eis' and rep = 0").select(*keys, F.col("a").alias("freq"), F.col("b").alias("z_real"), F.col("c").alias("z_imag"))
@@ -77,10 +77,10 @@ def channel_quality(spark: SparkSession, root: str, config: AnalysisConfig | Non
     """Every channel with its gates and reasons, and every dose with its readouts; nothing is left out."""
     config = config or AnalysisConfig()
     files = raw.signal_sessions(raw.session_files(spark, root))
-    eis, fscv = raw.tables(raw.read_blocks(spark, root, files=files).cache())
+    eis, fscv = raw.tables(raw.once(raw.read_blocks(spark, root, files=files)))
     mean = S.average_replicates(eis, KEY)
     gates = S.quality(mean, config.band, config.mono_tol).select(*KEY, "eis_a", "eis_b", "eis_c")
-    doses = fscv.where("dose_nm is not null").select(*KEY, "dose_nm", "rep", "voltage", "current").groupBy(*KEY).applyInPandas(X._readout, X._READ)
+    doses = fscv.where("dose_nm is not null").select(*KEY, "dose_nm", "rep", "voltage", "current").groupBy(*KEY).applyInPandas(X.readout(config), X._READ)
     rising = D.dose_response(doses.withColumnRenamed("NormIpeak", "response").where("response >= 0"), KEY)
     noise = doses.groupBy(*KEY).agg(F.bool_and(F.coalesce(F.col("repeatability_snr") >= config.min_norm_snr, F.lit(False))).alias("fscv_noise"))
     table = C.roster(eis, fscv.where("dose_nm = 0"), KEY).join(gates, KEY, "left").join(rising, KEY, "left").join(noise, KEY, "left")

@@ -169,14 +169,26 @@ def session_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, root: str, where: str | None = None, files: DataFrame | None = None) -> DataFrame:
-    """Blocks of the files with their session's columns. where filters files by name before they are read."""
+    """Blocks of the files with their session's columns. where filters files by name; no other file is opened."""
     files = session_files(spark, root) if files is None else files
     if where:
         files = files.where(where)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(root)
-    wanted = content.select("path", "content").join(files.select("path"), "path", "left_semi")
-    blocks = wanted.mapInPandas(_parse, BLOCKS)
-    return blocks.join(files, "path")
+    # The reader's own file list, which the driver holds too, cut to the files that are wanted.
+    paths = [r.path for r in files.select("path").distinct().collect()]
+    if not paths:
+        content = spark.createDataFrame([], "path string, content binary")
+    else:
+        content = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return content.mapInPandas(_parse, BLOCKS).join(files, "path")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df worked out once where several tables are made of it: checkpointed if the session has a shared folder for that."""
+    sc = df.sparkSession.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if folder and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=False) if sc._jsc.sc().getCheckpointDir().isDefined() else df
 
 
 def tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -188,11 +200,11 @@ def tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return eis, fscv
 
 
-def signal_sessions(files: DataFrame, devicetypes: list[str] | None = None) -> DataFrame:
+def signal_sessions(files: DataFrame, devicetypes: str | list[str] | None = None) -> DataFrame:
     """Files of signal sessions with the device's first day and the timepoint in days."""
     d = files.where("testtype = 'signal'")
     if devicetypes:
-        d = d.where(F.col("devicetype").isin(*devicetypes))
+        d = d.where(F.col("devicetype").isin([devicetypes] if isinstance(devicetypes, str) else list(devicetypes)))
     if d.isEmpty():
         raise NoSignalSessions("no signal session")
     first = d.groupBy("device").agg(F.min("date").alias("d0"))
