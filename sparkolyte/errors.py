@@ -43,3 +43,7 @@ class EmptySessionError(ValueError):
 
 class PinMismatch(ValueError):
     """Data that doesn't fit the pinned parameters."""
+
+
+class DemoTreeNotFound(FileNotFoundError):
+    """No demonstration tree, and none was to be made."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def forward_folds(df: DataFrame, channel: str = "channel", time: str = "timepoint", min_train_times: int = 3) -> DataFrame:
     """(channel, t_test) for each time with enough earlier times of any channel; training rows are all those earlier."""
     times = df.select(time).distinct().withColumn("_n", F.dense_rank().over(W.orderBy(time)) - 1)
-    return df.select(channel, time).distinct().join(F.broadcast(times), time).where(F.col("_n") >= min_train_times).select(F.col(channel).alias("channel"), F.col(time).alias("t_test"))
+    return df.select(channel, time).distinct().join(times, time).where(F.col("_n") >= min_train_times).select(F.col(channel).alias("channel"), F.col(time).alias("t_test"))
 
 
 def fold_sizes(df: DataFrame, folds: DataFrame, y: str, channel: str = "channel", time: str = "timepoint", leave_channel_out: bool = False) -> DataFrame:
@@ -30,7 +30,7 @@ def fold_sizes(df: DataFrame, folds: DataFrame, y: str, channel: str = "channel"
         F.coalesce(F.sum("n").over(own_before), F.lit(0)).alias("n_own"),
         F.coalesce(F.sum("s").over(own_before), F.lit(0.0)).alias("s_own"),
     )
-    d = folds.join(cells, ["channel", "t_test"]).join(F.broadcast(run), "t_test")
+    d = folds.join(cells, ["channel", "t_test"]).join(run, "t_test")
     own = 1 if leave_channel_out else 0
     d = d.withColumn("n_train", F.col("n_all") - own * F.col("n_own")).withColumn("_s", F.col("s_all") - own * F.col("s_own"))
     d = d.withColumn("train_mean", F.try_divide("_s", "n_train"))
@@ -73,6 +73,10 @@ def pooled(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+#: Cumulative probabilities of a Poisson(1).
+POISSON = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991684]
+
+
 def bootstrap_ci(results: DataFrame, n_boot: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """lo, hi of the pooled RMSEP over n_boot resamples of folds.
 
@@ -80,19 +84,31 @@ def bootstrap_ci(results: DataFrame, n_boot: int = 2000, seed: int = 0, level: f
     """
     reps = F.sequence(F.lit(0), F.lit(n_boot - 1))
     u = (F.pmod(F.xxhash64("_fold", "b", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    # Cumulative Poisson(1) probabilities.
-    edges = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991684]
-    draw = sum((u > e).cast("int") for e in edges)
+    draw = sum((u > e).cast("int") for e in POISSON)
     d = results.withColumn("_fold", F.xxhash64(*results.columns)).withColumn("b", F.explode(reps)).withColumn("k", draw)
     each = d.groupBy("b").agg(F.sqrt(F.try_divide(F.sum(F.col("k") * F.col("sse")), F.sum(F.col("k") * F.col("n_test")))).alias("r"))
     tail = (1 - level) / 2
     return each.agg(F.percentile("r", tail).alias("lo"), F.percentile("r", 1 - tail).alias("hi"), F.count("r").alias("n_boot"))
 
 
+def bootstrap_by(results: DataFrame, by: list[str], n_boot: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """by, lo, hi: bootstrap_ci of each group."""
+    reps = F.sequence(F.lit(0), F.lit(n_boot - 1))
+    u = (F.pmod(F.xxhash64("_fold", "b", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    draw = sum((u > e).cast("int") for e in POISSON)
+    d = results.withColumn("_fold", F.xxhash64(*results.columns)).withColumn("b", F.explode(reps)).withColumn("k", draw)
+    each = d.groupBy(*by, "b").agg(F.sqrt(F.try_divide(F.sum(F.col("k") * F.col("sse")), F.sum(F.col("k") * F.col("n_test")))).alias("r"))
+    tail = (1 - level) / 2
+    return each.groupBy(*by).agg(F.percentile("r", tail).alias("lo"), F.percentile("r", 1 - tail).alias("hi"))
+
+
 def history(df: DataFrame, y: str, group: list[str], time: str = "timepoint") -> DataFrame:
     """Adds own_n, own_mean, own_slope over the group's earlier times, and all_n, all_mean over everyone's."""
-    cell = df.groupBy(*group, time).agg(F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(time)).alias("st"))
-    t = F.col(time)
+    # Times and values from the group's mean time and value on, so that the slope loses no digits to either.
+    own = W.partitionBy(*group)
+    d = df.withColumn("_mt", F.avg(F.col(time).cast("double")).over(own)).withColumn("_my", F.avg(y).over(own))
+    t, v = F.col(time) - F.col("_mt"), F.col(y) - F.col("_my")
+    cell = d.groupBy(*group, time, "_mt", "_my").agg(F.count(y).alias("n"), F.sum(v).alias("s"), F.sum(v * t).alias("st"))
     before = W.partitionBy(*group).orderBy(time).rowsBetween(W.unboundedPreceding, -1)
     total = lambda c: F.sum(c).over(before)
     n, s, st = total(F.col("n")), total(F.col("s")), total(F.col("st"))
@@ -101,14 +117,14 @@ def history(df: DataFrame, y: str, group: list[str], time: str = "timepoint") ->
         *group,
         time,
         F.coalesce(n, F.lit(0)).alias("own_n"),
-        F.try_divide(s, n).alias("own_mean"),
+        (F.try_divide(s, n) + F.col("_my")).alias("own_mean"),
         F.try_divide(n * st - x * s, n * xx - x * x).alias("own_slope"),
-        F.try_divide(x, n).alias("own_age"),
+        (F.try_divide(x, n) + F.col("_mt")).alias("own_age"),
     )
     every = df.groupBy(time).agg(F.count(y).alias("n"), F.sum(y).alias("s"))
     w = W.orderBy(time).rowsBetween(W.unboundedPreceding, -1)
     every = every.select(time, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("all_n"), F.try_divide(F.sum("s").over(w), F.sum("n").over(w)).alias("all_mean"))
-    return df.join(own, [*group, time]).join(F.broadcast(every), time)
+    return df.join(own, [*group, time]).join(every, time)
 
 
 def channel_controls(df: DataFrame, y: str, group: list[str], time: str = "timepoint", shrink: float = 1.0, min_train: int = 8) -> DataFrame:
@@ -129,7 +145,7 @@ def time_only(df: DataFrame, y: str, group: list[str], time: str = "timepoint",
     c = {k: F.sum(k).over(w) for k in ("n", "x", "s", "xx", "xy")}
     slope = F.try_divide(c["n"] * c["xy"] - c["x"] * c["s"], c["n"] * c["xx"] - c["x"] * c["x"])
     line = cell.select(time, c["n"].alias("_n"), slope.alias("_b"), F.try_divide(c["s"], c["n"]).alias("train_mean"), F.try_divide(c["x"], c["n"]).alias("_m"))
-    d = aged.join(F.broadcast(line), time).where(F.col("_n") >= min_train)
+    d = aged.join(line, time).where(F.col("_n") >= min_train)
     pred = F.col("train_mean") + F.coalesce(F.col("_b"), F.lit(0.0)) * (a - F.col("_m"))
     return d.select(*group, time, v.alias("y"), "train_mean", pred.alias("pred"))
 

@@ -169,7 +169,7 @@ def _predictions(spark, sf):
         F.try_divide(run["sl"], run["nl"]).alias("low"),
     )
     folds = E.forward_folds(o).withColumnRenamed("t_test", "timepoint")
-    d = o.join(folds, ["channel", "timepoint"], "left_semi").join(F.broadcast(stats), "timepoint")
+    d = o.join(folds, ["channel", "timepoint"], "left_semi").join(stats, "timepoint")
     return d.select("channel", F.col("timepoint").alias("t_test"), "concentration", F.col("response").alias("y"), "train_mean", F.when(high, F.col("high")).otherwise(F.col("low")).alias("pred"))
 
 

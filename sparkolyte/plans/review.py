@@ -13,52 +13,12 @@ from ..operators import fits as T
 from ..operators import quality_control as C
 from ..operators import spectra as S
 from ..sources import raw
-from ..sources.artifacts import AnalysisConfig, feature_type
+from ..sources.artifacts import AnalysisConfig
 from . import extract as X
+from .catalog import feature_dictionary
 
 KEY = ["device", "date", "channel"]
 
-# What each feature type is and its unit.
-CATALOG = {
-    "R_s": ("series resistance, the real part", "Ohm"),
-    "R_p": ("parallel resistance", "Ohm"),
-    "C_s": ("series capacitance", "F"),
-    "C_p": ("parallel capacitance", "F"),
-    "ideality_C": ("share of the impedance that is capacitive", "1"),
-    "tau": ("time constant", "s"),
-    "local_n": ("local slope of log magnitude", "1"),
-    "R_s_integral": ("series resistance over log frequency", "Ohm"),
-    "R_p_integral": ("parallel resistance over log frequency", "Ohm"),
-    "C_s_integral": ("series capacitance over log frequency", "F"),
-    "C_p_integral": ("parallel capacitance over log frequency", "F"),
-    "f_ideality_crossover": ("frequency where ideality crosses its level", "Hz"),
-    "ideality_C_band": ("mean ideality in a sub-band", "1"),
-    "n_band": ("mean local slope in a sub-band", "1"),
-    "tau_ratio": ("time constant at the lowest over the highest frequency", "1"),
-    "min_neg_phase": ("least negative phase", "deg"),
-    "inductive_onset_hz": ("first inductive frequency", "Hz"),
-    "NormIpeak": ("peak over background current", "1"),
-    "mean_Vpeak": ("voltage of the peak", "V"),
-    "mean_Ibg": ("background current at the peak", "uA"),
-    "peak_height": ("peak current over background", "uA"),
-    "peak_area": ("area of the peak's positive lobe", "uA V"),
-    "peak_fwhm": ("width of the peak at half height", "V"),
-    "bg_charge": ("area of the background's rising half", "uA V"),
-    "bg_cap": ("half the gap of the background's halves", "uA"),
-    "bg_switch": ("background current at the turning voltage", "uA"),
-    "noise_floor": ("relative noise away from the peak", "1"),
-    "rep_std": ("spread over replicates", "1"),
-    "repeatability_snr": ("response over its spread", "1"),
-}
-
-
-def feature_dictionary(spark: SparkSession, columns: list[str]) -> DataFrame:
-    """type, description, unit, present: the catalogue against a featureset's columns."""
-    here = {feature_type(c)[0] for c in columns}
-    here |= {t for t in CATALOG if any(c.startswith(f"{t}_") for c in columns)}
-    return spark.createDataFrame([(t, d, u, t in here) for t, (d, u) in CATALOG.items()], "type string, description string, unit string, present boolean")
-
-
 def inventory(spark: SparkSession, root: str, config: AnalysisConfig | None = None) -> DataFrame:
     """A row per file and channel with its replicates, and for spectra the gates of the first replicate."""
     config = config or AnalysisConfig()
@@ -74,7 +34,11 @@ def inventory(spark: SparkSession, root: str, config: AnalysisConfig | None = No
 
 
 def channel_quality(spark: SparkSession, root: str, config: AnalysisConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """Every channel with its gates and reasons, and every dose with its readouts; nothing is left out."""
+    """Every channel with its gates and reasons, and every dose with its readouts; nothing is left out.
+
+    fscv_noise (every dose reaches the SNR) and fscv_peak_inwindow (under half of the doses have their peak at an edge)
+    are told but don't gate; both are false without doses.
+    """
     config = config or AnalysisConfig()
     files = raw.signal_sessions(raw.session_files(spark, root))
     eis, fscv = raw.tables(raw.once(raw.read_blocks(spark, root, files=files)))
@@ -82,9 +46,15 @@ def channel_quality(spark: SparkSession, root: str, config: AnalysisConfig | Non
     gates = S.quality(mean, config.band, config.mono_tol).select(*KEY, "eis_a", "eis_b", "eis_c")
     doses = fscv.where("dose_nm is not null").select(*KEY, "dose_nm", "rep", "voltage", "current").groupBy(*KEY).applyInPandas(X.readout(config), X._READ)
     rising = D.dose_response(doses.withColumnRenamed("NormIpeak", "response").where("response >= 0"), KEY)
-    noise = doses.groupBy(*KEY).agg(F.bool_and(F.coalesce(F.col("repeatability_snr") >= config.min_norm_snr, F.lit(False))).alias("fscv_noise"))
-    table = C.roster(eis, fscv.where("dose_nm = 0"), KEY).join(gates, KEY, "left").join(rising, KEY, "left").join(noise, KEY, "left")
+    checks = doses.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n_conc_read"),
+        F.bool_and(F.coalesce(F.col("repeatability_snr") >= config.min_norm_snr, F.lit(False))).alias("fscv_noise"),
+        (F.avg(F.col("peak_at_edge").cast("double")) < 0.5).alias("fscv_peak_inwindow"),
+    )
+    table = C.roster(eis, fscv.where("dose_nm = 0"), KEY).join(gates, KEY, "left").join(rising, KEY, "left").join(checks, KEY, "left")
     table = table.withColumn("fscv_monotonic", F.coalesce(F.col("r") >= config.monotonic_r_min, F.lit(False)))
+    reported = ("fscv_noise", "fscv_peak_inwindow")
+    table = table.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in reported})
     checks = {"complete": "incomplete", "eis_a": "inductive", "eis_b": "magnitude rises", "eis_c": "negative resistance", "fscv_monotonic": "not monotonic"}
     return C.gate(table, list(checks)).withColumn("fail_reasons", C.fail_reasons(checks)), doses
 

@@ -6,7 +6,9 @@ import json
 import re
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import PinMismatch
 
@@ -31,13 +33,17 @@ def _file(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_json(spark: SparkSession, path: str, value: dict) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     at, fs = _file(spark, path)
     out = fs.create(at, True)
-    out.write(bytearray(json.dumps(value, indent=1, default=str).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
 
 
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    write_text(spark, path, json.dumps(value, indent=1, default=str))
+
+
 def read_json(spark: SparkSession, path: str) -> dict:
     # One file, one row.
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
@@ -218,6 +224,25 @@ def check_pin(pin: Pin, sessions: dict[str, int], columns: list[str], first_days
     check_row_counts(pin, sessions, extend)
 
 
+_ARRAYS = "name string, shape array<long>, values array<double>"
+
+
+def save_arrays(spark: SparkSession, path: str, arrays: dict[str, np.ndarray], manifest: dict | None = None) -> None:
+    """Named arrays as a table of a row each, and a manifest beside them; nothing that runs code when read."""
+    rows = [(n, [int(k) for k in np.shape(a)], np.asarray(a, float).ravel().tolist()) for n, a in arrays.items()]
+    write_table(spark.createDataFrame(rows, _ARRAYS), path)
+    write_json(spark, f"{path.rstrip('/')}.json", manifest or {})
+
+
+def load_arrays(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[dict[str, np.ndarray], dict]:
+    """The arrays, or those named, and the manifest."""
+    d = read_table(spark, path)
+    if names is not None:
+        d = d.where(F.col("name").isin(names))
+    manifest = f"{path.rstrip('/')}.json"
+    return {r.name: np.array(r["values"], float).reshape(r["shape"]) for r in d.collect()}, read_json(spark, manifest) if exists(spark, manifest) else {}
+
+
 def feature_type(name: str) -> tuple[str, int | None]:
     """<type>_fNN as type and index."""
     m = re.fullmatch(r"(.*)_f(\d+)", name)

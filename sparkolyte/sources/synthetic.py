@@ -56,6 +56,45 @@ def write_tree(root: str, devices: dict[str, list[str]] | None = None, channels=
     return Path(root)
 
 
+def paired_text(channels: list[int], cycles: int, rng: np.random.Generator, drift: float, dose: float = 300.0) -> str:
+    """An export with waveforms and spectra of the same channels."""
+    waves = fscv_text(channels, cycles, dose, rng, 0.05 * (1 - 0.3 * drift)).rstrip("\n")
+    spectra = eis_text(channels, cycles, rng, drift).split("Measurement:,EIS\n", 1)[1]
+    return f"{waves}\nMeasurement:,EIS\n{spectra}"
+
+
+def write_invivo_tree(root: str, devices: dict[str, list[str]] | None = None, channels=(3, 5), cycles: int = 4, seed: int = 1) -> Path:
+    """A tree of sessions with a baseline and a live file that holds waveforms and spectra."""
+    rng = np.random.default_rng(seed)
+    for device, dates in (devices or {"4-1": ["20260801", "20260808"]}).items():
+        for k, date in enumerate(dates):
+            folder = Path(root) / f"{date}_ca_invivo"
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / f"{device}_fscv_baseline.csv").write_text(fscv_text(list(channels), 2, 0, rng), encoding="utf-16")
+            (folder / f"{device}_paired_live.csv").write_text(paired_text(list(channels), cycles, rng, 0.2 * k), encoding="utf-16")
+    return Path(root)
+
+
+def write_stabilization(folder: Path, device: str, channels, cycles: int, seed: int = 2, phase: str = "start") -> Path:
+    """A stabilization export whose current settles."""
+    rng = np.random.default_rng(seed)
+    folder.mkdir(parents=True, exist_ok=True)
+    lines = fscv_text(list(channels), cycles, 0, rng).split("\n")
+    body = np.array([[float(x) for x in r.split(",")] for r in lines[6:] if r])
+    settle = 1 + 0.5 * np.exp(-np.arange(cycles) / 3)
+    body[:, 1::2] *= np.tile(settle, len(channels))
+    path = folder / f"{device}_fscv_stabilization-{phase}.csv"
+    path.write_text("\n".join([*lines[:6], *(",".join(f"{x:.7g}" for x in r) for r in body)]) + "\n", encoding="utf-16")
+    return path
+
+
+def invivo_drift(x: np.ndarray, timepoints=(0, 7, 21, 42), rate: float = 0.15, seed: int = 1) -> dict[int, np.ndarray]:
+    """The rows of x at each time, spread out and moved along one direction in proportion to the time."""
+    rng = np.random.default_rng(seed)
+    way, last = rng.normal(size=x.shape[1]), max(timepoints) or 1
+    return {t: x * (1 + rate * t / last) + rate * t / last * way + rng.normal(0, 0.05 * t / last + 1e-6, x.shape) for t in timepoints}
+
+
 def featureset(n_channels: int = 7, timepoints=(0, 1, 7, 20), concentrations=(100, 250, 500, 1000, 5000), n_features: int = 24, informative: int = 8, drop: float = 0.36, seed: int = 0):
     """A pandas featureset in which a few features carry each sensor's sensitivity; day-0 rows are all kept."""
     import pandas as pd
