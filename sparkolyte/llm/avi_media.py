@@ -1,6 +1,6 @@
 """Media columns: AVI files of motion-JPEG frames, their index, intra frames, shots and clips.
 
-Bytes are stored as 8-bit grey samples in frames of 64 columns and at most 16 rows, each a lossless JPEG (ITU-T
+Bytes are stored as 8-bit grey samples in frames of 64 columns and at most 32 rows, each a lossless JPEG (ITU-T
 T.81 process 14, SOF3, predictor 1) under a Huffman table made for the file. A RIFF header, a movi list and an idx1
 index hold the frames; an INFO chunk holds the lengths. Reading goes by the index, or by the movi list of a file
 without one, decodes every frame by its own tables, and cuts shots where the histogram difference to the frame before
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-WIDTH, HEIGHT, RATE = 64, 16, 25
+WIDTH, HEIGHT, RATE = 64, 32, 25
 UNIT = 64
 #: Bytes of files read at once; a longer file is read alone. Scans decoded side by side.
 READ_BYTES = 1 << 22

@@ -510,7 +510,7 @@ def test_shots_are_cut():
 
 def brute_feature(payload):
     """Frames by rows of 64, grey histograms, shots and the query's feature string."""
-    rows = min(16, len(payload) // 64)
+    rows = min(V.HEIGHT, len(payload) // 64)
     step = rows * 64
     frames = [payload[i : i + step].ljust(step, b"\0") for i in range(0, len(payload), step)]
     hist = [[sum(b >> 4 == g for b in f) / step for g in range(16)] for f in frames]
