@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +108,13 @@ def load_folds(spark: SparkSession, out: str, condition: str | None = None) -> D
     return folds if condition is None else folds.where(F.col("condition") == condition)
 
 
+def predictions_of(spark: SparkSession, out: str, condition: str) -> DataFrame:
+    """sensor, t_test, concentration, y, pred and residual of a condition, with device and channel apart."""
+    d = artifacts.read_table(spark, f"{out}/predictions").where(F.col("condition") == condition)
+    parts = F.split(F.col("sensor").cast("string"), ":")
+    return d.withColumn("device", F.when(F.size(parts) > 1, F.get(parts, F.lit(0)))).withColumn("channel", F.element_at(parts, -1))
+
+
 def fold_names(spark: SparkSession, out: str, condition: str) -> DataFrame:
     """channel, t_test, seed and name of a condition's folds."""
     name = F.concat(F.lit("ch"), F.coalesce(F.col("channel").cast("string"), F.lit("-")), F.lit("_t"), F.col("t_test").cast("long").cast("string"))

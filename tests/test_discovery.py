@@ -1,15 +1,20 @@
 """Models, folds, freezing and recalibration against plain versions of their rules."""
 
+import argparse
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sparkolyte import cli
 from sparkolyte.functions import numerics as N
 from sparkolyte.operators import discovery as R
 from sparkolyte.operators import domain
 from sparkolyte.operators import evaluation as E
 from sparkolyte.operators import models as M
+from sparkolyte.plans import runs
+from sparkolyte.sources import synthetic
 
 NAMES = [f"f{i}" for i in range(6)]
 
@@ -332,3 +337,50 @@ def test_distance_per_group(spark):
         want = np.linalg.norm(part[["a", "b"]].cov() - ref[["a", "b"]].cov()) + np.linalg.norm(part[["a", "b"]].mean() - ref[["a", "b"]].mean())
         assert got[None if pd.isna(g) else g] == (len(part), pytest.approx(want))
     assert E.effective_min_train_times(2) == 1
+
+
+def test_run_records(spark, tmp_path):
+    out = str(tmp_path / "run")
+    df = spark.createDataFrame(frame())
+    queue = [R.Condition("baselines_1.1_a", k_grid=(1,)), R.Condition("channel_2.1_b", track="channel", k_grid=(1, 2)), R.Condition("vip_3.1_c", selector="vip", thresholds=(0.5, 1.0))]
+    ranked = runs.run_discovery(spark, df, NAMES, "y", out, queue, runs.FAST)
+    rows = ranked.collect()
+    assert {r.condition for r in rows} == {c.name for c in queue} and all(r.lo <= r.rmsep <= r.hi for r in rows)
+    folds = runs.load_folds(spark, out)
+    assert runs.predictions_of(spark, out, "channel_2.1_b").count() == folds.where("condition = 'channel_2.1_b'").agg(F.sum("n_test")).first()[0]
+    first = runs.fold_names(spark, out, "baselines_1.1_a").orderBy("t_test", "channel").first()
+    one = runs.load_fold(spark, out, "baselines_1.1_a", first.channel, first.t_test)
+    assert one.k == 1 and len(one.coef) == 6 and runs.load_fold(spark, out, "baselines_1.1_a", "none", 0) is None
+    spread = runs.fold_spread(folds).collect()
+    assert [r["median"] for r in spread] == sorted(r["median"] for r in spread)
+    assert runs.run_record(spark, out)["dataset"] == {"n_samples": df.count(), "n_features": 6}
+    text = (tmp_path / "run" / "report" / "discovery_summary.md").read_text()
+    assert text.count("\n| ") == 4 and rows[0].condition in text.split("\n")[6]
+    assert (tmp_path / "run" / "logs" / "run.log").read_text().count("DONE") == 3
+    assert runs.run_label(spark, out) == "unverified-run"
+    (tmp_path / "run" / "sweep_manifest.json").write_text('{"label": "first"}')
+    assert runs.run_label(spark, out) == "first"
+    assert runs.conditions_table(spark, queue).where("batch = 3").first().thresholds == [0.5, 1.0]
+    assert E.pooled(runs.baseline_run(df, NAMES, "y")).first().rmsep > 0
+
+
+def test_commands(spark, tmp_path):
+    out = str(tmp_path / "o")
+    names = ["baselines_1.1_linearPLSR", "pNproblem_3.1_VIP"]
+    assert cli.main(["discover", "synthetic", out, "--profile", "fast", "--seeds", "0", "--conditions", *names], spark) == 0
+    data = str(tmp_path / "data")
+    spark.createDataFrame(synthetic.featureset(n_channels=4, n_features=6, informative=3, drop=0.0)).write.parquet(data)
+    assert cli.main(["discover", data, out + "2", "--profile", "fast", "--conditions", names[1]], spark) == 0
+    assert cli.main(["freeze-top", out + "2", data, str(tmp_path / "top")], spark) == 0
+    model = spark.read.parquet(str(tmp_path / "top")).first()
+    assert model.condition == names[1] and model.k in (2, 3)
+    assert cli.main(["freeze-top", out + "2", data, str(tmp_path / "top2"), "--condition", "none"], spark) == 2
+    assert cli.main(["discover", data, out + "3", "--conditions", "none"], spark) == 2
+    curves = cli.curve_targets(spark.read.parquet(data))
+    assert set(cli.CURVE_TARGETS) <= set(curves.columns) and curves.count() == 16
+    assert curves.where("sensitivity is null or sat_imax is null").count() == 0
+    assert cli.main(["freeze", data, str(tmp_path / "s"), "--target", "sensitivity"], spark) == 0
+    assert cli.band("2,2000") == (2.0, 2000.0) and cli.band("auto") == "auto" and cli.seeds("0, 1") == (0, 1)
+    for f, bad in ((cli.band, "1"), (cli.seeds, "a"), (cli.seeds, ",")):
+        with pytest.raises(argparse.ArgumentTypeError):
+            f(bad)
