@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import _hat
@@ -10,6 +11,7 @@ from ..operators import discovery as R
 from ..operators import evaluation as E
 from ..operators import fits as T
 from ..operators import models as M
+from ..operators import normalize as Z
 from ..operators import spectra as S
 from ..operators import waveforms as V
 from ..sources import adapters as A
@@ -107,8 +109,12 @@ def current_at_target(spark, sf):
 
 @query()
 def settle_time(spark, sf):
-    c = V.anodic(A.cycles(spark, sf), "current").select("label", "vec_id", F.abs(F.get("current", F.lit(3))).alias("x"))
-    return T.settle_tau(c, ["label"], "vec_id", "x")
+    """Series that settle at a label's own rate, scaled by whole waveforms."""
+    c = V.anodic(A.cycles(spark, sf), "current")
+    size = F.aggregate("current", F.lit(0.0), lambda a, x: a + F.abs(x)) / F.size("current")
+    place = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    d = c.withColumn("k", place).select("label", "k", (size * F.exp(-F.col("k") / (3 + F.col("label"))) + 0.001).alias("x"))
+    return T.settle_tau(d, ["label"], "k", "x")
 
 
 def _discover(spark, sf, conditions):
@@ -117,7 +123,47 @@ def _discover(spark, sf, conditions):
 
 @query()
 def pls_fit_predict(spark, sf):
-    return _discover(spark, sf, [R.Condition("linear", "linear", k_grid=(1, 2, 3))]).drop("selected")
+    return _discover(spark, sf, [R.Condition("linear", "linear", k_grid=(1, 2, 3))]).drop("selected", "threshold", "predictions")
+
+
+_Z = """tt as (select timepoint as t_test from (select timepoint, row_number() over (order by timepoint) - 1 as k from (select distinct timepoint from mat)) where k >= 3),
+ tr as (select t_test, long.* from long join tt on timepoint <= t_test),
+ st as (select t_test, feature, median(value) filter (where timepoint < t_test) as med from tr group by all),
+ fi as (select tr.*, coalesce(value, med) as v from tr join st using (t_test, feature)),
+ sc as (select t_test, feature, avg(v) filter (where timepoint < t_test) as m, stddev_pop(v) filter (where timepoint < t_test) as sd, avg(y) filter (where timepoint < t_test) as my from fi group by all),
+ z as (select fi.t_test, feature, vec_id, sensor, timepoint, y, my, (v - m) / sd as z from fi join sc using (t_test, feature)),
+ cv as (select t_test, feature, sum(z * (y - my)) as c from z where timepoint < t_test group by all),
+ sco as (select t_test, vec_id, any_value(sensor) as sensor, any_value(timepoint) as timepoint, any_value(y) as y, any_value(my) as my, sum(z * c) as t from z join cv using (t_test, feature) group by all),
+ q as (select t_test, sum(t * (y - my)) / sum(t * t) as q from sco where timepoint < t_test group by all)"""
+
+
+@query(
+    f"""with {A.MATRIX_LONG_SQL}, {_Z}
+select sensor as channel, t_test, count(*) as n_test, round(sum((y - my - q.q * t) ** 2), 5) as sse, round(sum((y - my) ** 2), 5) as tss
+from sco join q using (t_test) where timepoint = t_test group by all"""
+)
+def pls_one_component(spark, sf):
+    """Every fold of a linear model with one component, which has a closed form."""
+    d = _discover(spark, sf, [R.Condition("one", k_grid=(1,))])
+    return d.select("channel", F.col("t_test").cast("long").alias("t_test"), "n_test", r6(F.col("sse"), 5).alias("sse"), r6(F.col("tss"), 5).alias("tss"))
+
+
+@query(
+    f"""with {A.MATRIX_LONG_SQL}, st as (select feature, median(value) as med from long where timepoint < 4 group by all),
+ fi as (select long.*, coalesce(value, med) as v from long join st using (feature)),
+ sc as (select feature, median(v) filter (where timepoint < 4) as m, (quantile_cont(v, 0.75) filter (where timepoint < 4)) - (quantile_cont(v, 0.25) filter (where timepoint < 4)) as iqr from fi group by all),
+ z as (select vec_id, timepoint, y, feature, (v - m) / iqr as z from fi join sc using (feature)),
+ av as (select feature, avg(z) as mz, avg(y) as my from z where timepoint < 4 group by all),
+ cv as (select feature, sum((z - mz) * (y - my)) as c from z join av using (feature) where timepoint < 4 group by all),
+ sco as (select vec_id, any_value(timepoint) as timepoint, any_value(y) as y, any_value(my) as my, sum((z - mz) * c) as t from z join cv using (feature) join av using (feature) group by vec_id),
+ q as (select sum(t * (y - my)) / sum(t * t) as q from sco where timepoint < 4)
+select vec_id, round(my + q.q * t, 6) as score from sco, q where timepoint >= 4"""
+)
+def freeze_one_component(spark, sf):
+    """A model of one component frozen on early rows and applied to later ones."""
+    m = A.matrix(spark, sf)
+    model = R.freeze(m.where("timepoint < 4"), A.FEATURES, "y", R.Condition("frozen"), 1)
+    return R.recalibrate(model, m.where("timepoint >= 4")).select("vec_id", r6(F.col("score")).alias("score"))
 
 
 def _selected(name):
@@ -191,7 +237,8 @@ def freeze_and_recalibrate(spark, sf):
 
 @query()
 def coral_transform(spark, sf):
-    m = R.coral_transform(A.matrix(spark, sf), A.FEATURES, F.expr("timepoint < 3"), F.expr("timepoint >= 3"))
+    filled = Z.scale(A.matrix(spark, sf), A.FEATURES, F.expr("timepoint < 3"), "impute")
+    m = R.coral_transform(filled, A.FEATURES, F.expr("timepoint < 3"), F.expr("timepoint >= 3"))
     return m.select("vec_id", *A.FEATURES)
 
 

@@ -11,7 +11,9 @@ from ..operators import dose as D
 from ..operators import evaluation as E
 from ..operators import normalize as Z
 from ..sources import adapters as A
+from . import catalog
 from . import model_free_queries as B
+from . import tables as T
 from .dose_queries import CORR, RANK
 from .registry import query
 
@@ -125,3 +127,45 @@ def domain_monitor(spark, sf):
     m = A.matrix(spark, sf)
     model = R.freeze(m.where("timepoint < 3"), A.FEATURES, "y", R.Condition("frozen"), 3)
     return R.monitor(model, m.where("timepoint >= 3").drop("y"), m.where("timepoint < 3"))
+
+
+@query(
+    f"""with {A.OBS_SQL}, w as (select device, channel, timepoint, concentration, response, min(timepoint) over (partition by device, channel) as t0,
+   lag(response) over (partition by device, channel, concentration order by timepoint) as lag1 from obs)
+select device, channel, timepoint, concentration, timepoint - t0 as time_since_baseline, round(lag1, 6) as response__lag1, round(response - lag1, 6) as response__delta from w"""
+)
+def sensor_history(spark, sf):
+    d = catalog.with_history(A.observations(spark, sf), ["response"], ["device", "channel"])
+    names = ("response__lag1", "response__delta")
+    return d.select("device", "channel", "timepoint", "concentration", "time_since_baseline", *[r6(F.col(c)).alias(c) for c in names])
+
+
+@query(
+    f"""with {A.MATRIX_LONG_SQL}, e as (select feature, min(value) as lo, max(value) as hi from long group by feature)
+select feature, cast(least(floor((value - lo) / (hi - lo) * 12), 11) as bigint) as bin, count(*) as count from long join e using (feature) where value is not null group by all"""
+)
+def feature_histograms(spark, sf):
+    long = A.long_matrix(spark, sf).where("value is not null").select("feature", "value")
+    return T.histograms(long, 12, ("feature",))
+
+
+@query(
+    f"""with {A.OBS_SQL}, p as (select device, channel, timepoint, concentration, 0.4::double + abs(sin(response)) * 0.6::double as v_peak from obs)
+select concentration, count(*) as n, count(*) filter (where v_peak <= 0.43) as n_lower, count(*) filter (where v_peak >= 0.97) as n_upper,
+  count(*) filter (where v_peak <= 0.43 or v_peak >= 0.97) as n_any, round(100.0::double * count(*) filter (where v_peak <= 0.43 or v_peak >= 0.97) / count(*), 1) as any_pct from p group by concentration"""
+)
+def edge_pinning(spark, sf):
+    o = A.observations(spark, sf).withColumn("v_peak", 0.4 + F.abs(F.sin("response")) * 0.6)
+    return T.edge_pinning(o).select("concentration", "n", "n_lower", "n_upper", "n_any", "any_pct")
+
+
+@query(
+    f"""with {A.OBS_SQL}, r as (select device || ':' || channel as sensor, timepoint, response as value from obs),
+ cell as (select sensor, timepoint, count(*) as n, sum(value) as s, sum(value * value) as q from r group by all),
+ mid as (select sensor, sum(n) as n, sum(s) as s, sum(q) as q, sum(s * s / n) as c from cell group by sensor),
+ t as (select sum(n) as n, sum(s) as s, sum(q) as q, sum(c) as c, sum(s * s / n) as b from mid)
+select 'NormIpeak' as response, 'dose' as level, round((b - s * s / n) / (q - s * s / n), 6) as between_channel, round((c - b) / (q - s * s / n), 6) as within_time, round((q - c) / (q - s * s / n), 6) as within_dose from t"""
+)
+def response_modes(spark, sf):
+    d = T.response_modes(A.observations(spark, sf).withColumnRenamed("response", "NormIpeak")).where("level = 'dose'")
+    return d.select("response", "level", *[r6(F.col(c)).alias(c) for c in ("between_channel", "within_time", "within_dose")])
