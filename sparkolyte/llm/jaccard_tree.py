@@ -13,9 +13,8 @@ holds documents of the same pivot, the most central one of those that share a ba
 families of copies are linked nearly whole. What is left to find joins documents of different components. A shingle
 that one component alone has in its cluster can't be common to such a pair, so with those shingles put first, then
 the rarer ones, a linked pair shares one of the first n - ceil(3n / 4) + 1 of both sets. Documents meet by these
-shingles, the private ones left out, so documents that share no more than a common passage are sent nowhere. Rare
-shingles are put into parts together. Documents with a shingle that more than a part's load have are dealt into
-blocks, to all of which those outside the cluster's largest component go, in chunks.
+shingles, the private ones left out, so documents that share no more than a common passage are sent nowhere; and only
+among documents of about their size, since others can't be linked with them.
 
 Nulls and texts without words have an empty set and no link. Rows that repeat a doc_id count as that document.
 A null doc_id keeps its n_shingles; its component_id is the least doc_id of its component, or null.
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -366,67 +365,89 @@ def star_parts(members: DataFrame, part_docs: int, part_shingles: int) -> DataFr
 
 
 def first_shingles(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """doc_id, cluster, label, n and token: the shingles by which documents of different labels have to meet.
+    """doc_id, cluster, band, label, n and token: the shingles by which documents of different labels have to meet.
 
-    Of each text the first n - ceil(3n / 4) + 1 shingles, those first that only one label of the cluster has, then
-    the rarer ones; those of one label left out. Two linked texts of different labels have one of these in common.
+    Of each text, in each of its two bands of sizes, the first n - ceil(3n / 4) + 1 shingles, those first that only one
+    label of the cluster's band has, then the rarer ones; those of one label left out. Two linked texts of different
+    labels have one of these in common in a band that is both's.
     """
     rows = texts.join(members.select("doc_id", "cluster", "label").hint("merge"), "doc_id")
     tokens = rows.select("doc_id", "cluster", "label", "text").mapInArrow(
         _tokens, "doc_id long, cluster long, label long, row long, n long, token long"
     )
     tokens = shared.materialize(tokens, "shingles")
+    # Linked sets differ in size by a third at most, so their size classes are the same or neighbours and share a band.
+    size = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
+    tokens = tokens.withColumn("band", F.explode(F.array(size, size + 1)))
     met = (
-        tokens.groupBy("cluster", "token")
+        tokens.groupBy("cluster", "band", "token")
         .agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low < high")
-        .select("cluster", "token", "df")
+        .select("cluster", "band", "token", "df")
     )
-    met = shared.spread(tokens, met, ["cluster", "token"], "doc_id")
-    listed = met.groupBy("doc_id", "cluster", "label", "row", "n").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("met"))
+    met = shared.spread(tokens, met, ["cluster", "band", "token"], "doc_id")
+    keys = ["doc_id", "cluster", "band", "label", "row", "n"]
+    listed = met.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("met"))
     # Private shingles come first, so those that are met get what is left of the prefix.
     left = F.size("met") - F.floor((3 * F.col("n") + 3) / 4) + 1
     first = F.slice("met", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
-    return listed.select("doc_id", "cluster", "label", "n", F.explode(first).alias("t")).select(
-        "doc_id", "cluster", "label", "n", F.col("t.token").alias("token")
+    return listed.select("doc_id", "cluster", "band", "label", "n", F.explode(first).alias("t")).select(
+        "doc_id", "cluster", "band", "label", "n", F.col("t.token").alias("token")
     )
 
 
+def _blocks(docs: DataFrame, load: Column, keys: list[str]) -> DataFrame:
+    """keys, main (the label of most documents), blocks and chunks, and the rows that dealing docs so takes."""
+    size = docs.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("k"), load.alias("load"))
+    found = size.groupBy(*keys).agg(F.max(F.struct("k", "label", "load")).alias("main"), F.sum("load").alias("all"), F.sum("k").alias("k"))
+    found = found.select(
+        *keys,
+        F.col("main.label").alias("main"),
+        F.ceil("all").alias("blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("main.load"))).alias("chunks"),
+        "k",
+        (F.col("k") - F.col("main.k")).alias("others"),
+    )
+    rows = F.col("k") * F.col("chunks") + F.col("others") * F.col("blocks")
+    return found.select(*keys, "main", "blocks", "chunks", rows.alias("rows"))
+
+
 def meeting_parts(first: DataFrame, part_docs: int, part_shingles: int) -> DataFrame:
-    """first_shingles' documents in parts (doc_id, label, cluster, often, part, other): those that share one meet in one.
+    """first_shingles' documents in parts (doc_id, label, cluster, band, often, part, other): all that share one meet.
 
-    Shingles that a part's load of documents have at most are put into parts together. Documents of those that more
-    have are dealt into blocks; every one but those of the cluster's largest component then goes to all blocks, in
-    chunks of a part's load, since a link that is still to be found has one of them at least.
+    There are two ways, of which a cluster's size band takes the one that sends fewer rows. Shingles that a part's load
+    of documents have at most are put into parts together. Or documents are dealt into blocks, and every one but those
+    of the largest component goes to all blocks too, in chunks of a part's load, since a link that is still to be found
+    has one of them at least. Documents of shingles that more than a part's load have go the second way in any case.
     """
     load = F.greatest(F.count(F.lit(1)) / F.lit(part_docs), F.sum("n") / F.lit(part_shingles))
+    keys = ["cluster", "band"]
     groups = (
-        first.groupBy("cluster", "token")
+        first.groupBy(*keys, "token")
         .agg(load.alias("load"), F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low < high")
-        .select("cluster", "token", "load")
+        .select(*keys, "token", "load")
     )
     groups = shared.materialize(groups, "shingle_groups")
-    met = shared.materialize(shared.spread(first, groups, ["cluster", "token"], "doc_id"), "met")
-    bins = groups.where("load <= 1").groupBy("cluster").agg(F.ceil(F.sum("load")).alias("bins"))
-    rare = shared.spread(met.where("load <= 1"), bins, ["cluster"], "doc_id").select(
-        "doc_id", "label", "cluster", F.lit(False).alias("often"), F.pmod(F.xxhash64("token"), "bins").alias("part"), F.lit(0).cast("long").alias("other")
-    )
-    often = shared.materialize(met.where("load > 1").select("doc_id", "label", "cluster", "n").distinct(), "often")
-    size = often.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"), load.alias("load"))
-    largest = size.groupBy("cluster").agg(F.max(F.struct("k", "label", "load")).alias("main"), F.sum("load").alias("all"))
-    plan = largest.select(
-        "cluster",
-        F.col("main.label").alias("main"),
-        F.ceil("all").alias("blocks"),
-        F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("main.load"))).alias("chunks"),
+    met = shared.materialize(shared.spread(first, groups, [*keys, "token"], "doc_id"), "met")
+    docs = met.groupBy("doc_id", "label", *keys).agg(F.max("n").alias("n"), F.max("load").alias("top"), F.count(F.lit(1)).alias("tokens"))
+    docs = shared.materialize(docs, "met_documents")
+    # Documents side by side in a part at least as often as they would be in blocks take the blocks.
+    asked = docs.groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
+    ways = _blocks(docs, load, keys).join(asked, keys).select(*keys, (F.col("rows") <= F.col("tokens")).alias("all"))
+    ways = shared.materialize(ways, "ways")
+    bins = groups.where("load <= 1").groupBy(*keys).agg(F.ceil(F.sum("load")).alias("bins")).join(ways.where("not all"), keys)
+    rare = shared.spread(met.where("load <= 1"), bins, keys, "doc_id").select(
+        "doc_id", "label", *keys, F.lit(False).alias("often"), F.pmod(F.xxhash64("token"), "bins").alias("part"), F.lit(0).cast("long").alias("other")
     )
-    often = shared.spread(often, plan, ["cluster"], "doc_id")
+    often = shared.spread(docs, ways, keys, "doc_id").where("all or top > 1")
+    often = shared.materialize(often.select("doc_id", "label", *keys, "n"), "often")
+    often = shared.spread(often, _blocks(often, load, keys), keys, "doc_id")
     own, chunk = F.pmod(F.xxhash64("doc_id"), "blocks"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "chunks")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    keys = ["doc_id", "label", "cluster", F.lit(True).alias("often")]
-    dealt = often.select(*keys, own.alias("part"), F.explode(upto("chunks")).alias("other"))
-    sent = often.where("label != main").select(*keys, F.explode(upto("blocks")).alias("part"), chunk.alias("other"))
+    named = ["doc_id", "label", *keys, F.lit(True).alias("often")]
+    dealt = often.select(*named, own.alias("part"), F.explode(upto("chunks")).alias("other"))
+    sent = often.where("label != main").select(*named, F.explode(upto("blocks")).alias("part"), chunk.alias("other"))
     return rare.unionByName(dealt).unionByName(sent).distinct()
 
 

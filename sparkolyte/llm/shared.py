@@ -83,7 +83,8 @@ def spread(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, how: st
     """rows joined with groups (a row per key), the rows of one key dealt to SALTS tasks by a hash of the column by."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return salted.join(groups.withColumn("_salt", salts), [*keys, "_salt"], how).drop("_salt")
+    # Never broadcast: its size is unknown before it is worked out, and it is repeated here.
+    return salted.join(groups.withColumn("_salt", salts).hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

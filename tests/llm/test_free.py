@@ -302,7 +302,7 @@ def test_parts_are_bounded(spark):
     assert max(r["count"] for r in dealt.groupBy("cluster", "hot", "part").count().collect()) <= 64
     # A shingle that all documents need: those outside the largest component meet everyone, chunk by chunk.
     for labels in (200, 20, 2):
-        first = spark.createDataFrame([(d, 0, d % labels, 100, 7) for d, _ in rows], "doc_id long, cluster long, label long, n long, token long")
+        first = spark.createDataFrame([(d, 0, 3, d % labels, 100, 7) for d, _ in rows], "doc_id long, cluster long, band int, label long, n long, token long")
         parts = defaultdict(set)
         for r in J.meeting_parts(first, 16, 10**6).collect():
             parts[r.often, r.part, r.other].add(r.doc_id)
@@ -311,6 +311,25 @@ def test_parts_are_bounded(spark):
         assert together >= {(a, b) for a, _ in rows for b, _ in rows if a < b and a % labels != b % labels}
 
 
+def test_long_documents_meet_once(spark):
+    """Two documents with thousands of shingles to meet by lie in one part, not in one for each; sizes apart never meet."""
+    first = [(d, 0, 30, d, 20_000, t) for d in (1, 2) for t in range(5000)] + [(3, 0, 31, 3, 40_000, t) for t in range(5000)]
+    df = spark.createDataFrame(first, "doc_id long, cluster long, band int, label long, n long, token long")
+    assert sorted(r.doc_id for r in J.meeting_parts(df, 512, 1 << 21).collect()) == [1, 2]
+    short = [(i, " ".join(f"w{j}" for j in range(i * 40, i * 40 + 40))) for i in range(40)]
+    docs = spark.createDataFrame([*short, (99, " ".join(t for _, t in short))], "doc_id long, text string")
+    members = docs.select("doc_id", F.lit(0).cast("long").alias("cluster"), F.col("doc_id").alias("label"))
+    assert J.first_shingles(docs, members).count() == 0
+    # Many pairs, each by a few shingles of their own: parts of shingles are fewer rows than blocks.
+    many = [(d, 0, 9, d, 40, d // 2 * 3 + k) for d in range(400) for k in range(3)]
+    met = J.meeting_parts(spark.createDataFrame(many, df.schema), 16, 10**6).collect()
+    assert len(met) <= 1200 and not any(r.often for r in met)
+    parts = defaultdict(set)
+    for r in met:
+        parts[r.part, r.other].add(r.doc_id)
+    assert all(any({d, d + 1} <= p for p in parts.values()) for d in range(0, 400, 2)) and max(map(len, parts.values())) <= 48
+
+
 def star(n):
     """A document and n copies with edits of their own, linked with it and not with each other."""
     base = [f"b{i}" for i in range(240)]
