@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts vary from a few bytes to many megabytes, so batches stay short.
 BATCH_ROWS = 512
+#: Bytes in one Arrow batch, so that a run of long texts doesn't make a large one; a longer text is one by itself.
+BATCH_BYTES = 1 << 23
 #: Tasks that the rows of one key are dealt to where a key may hold many.
 SALTS = 16
 
@@ -19,6 +21,7 @@ SALTS = 16
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches and let Python workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     here = str(Path(__file__).resolve().parents[2])
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
