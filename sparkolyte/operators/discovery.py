@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tasks import dealt
 from . import domain
 from . import models as M
 from .evaluation import effective_min_train_times, mean_over_seeds, pooled
@@ -294,7 +295,7 @@ def run_conditions(
             keys.append("channel")
         joined = joined.withColumn("_job", F.explode(F.array(*[F.lit(j) for j in todo])))
         task = _task(todo, track, features, cars or {}, to_log_columns(features))
-        found.append(joined.groupBy(*keys).applyInPandas(task, schema))
+        found.append(dealt(joined, keys).groupBy(*keys).applyInPandas(task, schema))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -545,7 +546,7 @@ def grouped_cv(
                 pred += extra[:, 0] + extra[:, 1] * (old[test] - extra[:, 2])
         return pd.DataFrame({"group": pdf[levels[-1]].to_numpy()[test], "time": t[test], "y": target[test], "pred": pred, "base_pred": base, "train_mean": mean})
 
-    return joined.groupBy("t_test").applyInPandas(one, "group string, time double, y double, pred double, base_pred double, train_mean double")
+    return dealt(joined, ["t_test"]).groupBy("t_test").applyInPandas(one, "group string, time double, y double, pred double, base_pred double, train_mean double")
 
 
 def condition_config(c: Condition) -> dict:
@@ -655,7 +656,7 @@ def target_framings(df: DataFrame, predictors: list[str], keys: list[str], min_t
                 out += [(name, *v) for v in zip(yt, p, xt, [invert(c, v) for c, v in zip(coefs, yt, strict=True)], strict=True)]
         return pd.DataFrame(out, columns=columns)
 
-    got = joined.groupBy("t_test").applyInPandas(one, "framing string, y double, pred double, x double, x_pred double")
+    got = dealt(joined, ["t_test"]).groupBy("t_test").applyInPandas(one, "framing string, y double, pred double, x double, x_pred double")
     e, g = F.col("y") - F.col("pred"), F.col("x") - F.col("x_pred")
     return got.groupBy("framing").agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmsep"), F.sqrt(F.avg(F.when(~F.isnan(g), g * g))).alias("log_conc_rmse")
@@ -684,7 +685,7 @@ def dose_curve_cv(df: DataFrame, predictors: list[str], responses: list[str], se
         error = np.where(np.isfinite(y[test]), (y[test] - p) ** 2, np.nan)
         return pd.DataFrame([[pdf.t_test.iloc[0], c, int(np.isfinite(error[:, j]).sum()), float(np.nansum(error[:, j]))] for j, c in enumerate(responses)], columns=columns)
 
-    return joined.groupBy("t_test").applyInPandas(one, "t_test double, response string, n long, sse double")
+    return dealt(joined, ["t_test"]).groupBy("t_test").applyInPandas(one, "t_test double, response string, n long, sse double")
 
 
 def monitor(model: DataFrame, new: DataFrame, reference: DataFrame, by: str = "timepoint", limit: float = 3.0) -> DataFrame:

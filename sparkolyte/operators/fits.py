@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numerics as N
 from ..functions.stats import savgol
+from ..functions.tasks import dealt
 
 
 def curve_fit(df: DataFrame, keys: list[str], how: str, weight: str | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def curve_fit(df: DataFrame, keys: list[str], how: str, weight: str | None = Non
 
     types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{n} double" for n in names])
-    out = d.groupBy(*keys).applyInPandas(one, schema)
+    out = dealt(d, keys).groupBy(*keys).applyInPandas(one, schema)
     return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EmptySessionError, EmptySessionWarning, PinMismatch
 from ..functions import numerics as N
+from ..functions.tasks import dealt
 from ..operators import dose as D
 from ..operators import normalize as Z
 from ..operators import spectra as S
@@ -197,7 +198,7 @@ def extract(
     wide += [F.get("local_n", F.lit(i)).alias(f"local_n_f{i:02d}") for i in range(size)]
     features = full.select(*KEY, "timepoint", *scalars, *wide)
     cycles = fscv.where("dose_nm is not null").select(*KEY, "dose_nm", "rep", "voltage", "current")
-    read = cycles.groupBy(*KEY).applyInPandas(readout(config), _READ)
+    read = dealt(cycles, KEY).groupBy(*KEY).applyInPandas(readout(config), _READ)
     rows = read.join(features, KEY).withColumn("response", F.col("NormIpeak")).withColumn("snr", F.col("repeatability_snr"))
     if config.drop_negative:
         rows = rows.where("response >= 0")
