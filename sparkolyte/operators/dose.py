@@ -17,6 +17,11 @@ def finite_doses(df: DataFrame, value: str = "response", conc: str = "concentrat
     return df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & (F.col(conc) > 0))
 
 
+def distinct_doses(conc: str = "concentration") -> Column:
+    """How many doses a group has. Doses of a group are few, so their set needs no shuffle of its own."""
+    return F.size(F.collect_set(conc)).cast("long")
+
+
 def average_rank(value: str, keys: list[str]) -> Column:
     """Ranks within keys, ties sharing their mean rank."""
     low = F.rank().over(W.partitionBy(*keys).orderBy(value))
@@ -31,7 +36,7 @@ def dose_response(df: DataFrame, keys: list[str] = KEY, value: str = "response",
     else:
         d = d.withColumn("_x", F.log10(conc)).withColumn("_y", F.col(value))
     return d.groupBy(*keys).agg(
-        F.countDistinct(conc).alias("n_conc"),
+        distinct_doses(conc).alias("n_conc"),
         pearson(F.col("_x"), F.col("_y"), 3).alias("_r"),
         (F.max(value) - F.min(value)).alias("range"),
     ).select(*keys, "n_conc", F.when(F.col("n_conc") >= 3, F.col("_r")).alias("r"), "range")
@@ -43,7 +48,7 @@ def dose_monotone(df: DataFrame, r_min: float = 0.6, keys: list[str] = KEY) -> D
     return (
         d.groupBy(*keys)
         .agg(
-            F.countDistinct("concentration").alias("n_conc"),
+            distinct_doses().alias("n_conc"),
             pearson(F.col("_x"), F.col("response"), 3).alias("r"),
             F.regr_slope("response", "_x").alias("slope"),
             F.regr_intercept("response", "_x").alias("intercept"),
@@ -71,7 +76,7 @@ def sensitivity(df: DataFrame, keys: list[str] = KEY, weight: str | None = None,
     x, y = F.col("_x"), F.col("response").cast("double")
     d = centred(d, keys, w, x=x, y=y)
     slope, intercept = weighted_line(w)
-    n = F.countDistinct("concentration")
+    n = distinct_doses()
     return (
         d.groupBy(*keys)
         .agg(
@@ -98,7 +103,7 @@ def power_law(df: DataFrame, keys: list[str] = KEY, weight: str | None = None) -
     slope, intercept = weighted_line(w)
     return (
         d.groupBy(*keys)
-        .agg(F.countDistinct("concentration").alias("n_conc"), slope.alias("exponent"), F.exp(intercept).alias("amplitude"))
+        .agg(distinct_doses().alias("n_conc"), slope.alias("exponent"), F.exp(intercept).alias("amplitude"))
         .where("n_conc >= 3")
     )
 

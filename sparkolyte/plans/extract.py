@@ -289,3 +289,22 @@ def invivo(spark: SparkSession, root: str, config: AnalysisConfig | None = None)
             yield pd.concat([keep, pd.DataFrame(rows)], axis=1)
 
     return features.mapInPandas(read, schema)
+
+
+def recalibrate_invivo(spark: SparkSession, model: DataFrame, root: str, reference: DataFrame, config: AnalysisConfig | None = None, limit: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """Scored rows of an in-vivo tree, and per timepoint n, mean score, distance from the reference rows and flag.
+
+    Features are set against each sensor's own first in-vivo rows; those of the model that the tree lacks count as missing.
+    """
+    from ..operators import discovery as R
+
+    rows = invivo(spark, root, config)
+    names = list(model.first().features)
+    have = [n for n in names if n in rows.columns]
+    if not have:
+        raise ValueError("the tree gives none of the model's features")
+    rows = Z.d0_normalize(rows, have, ["device", "channel"])
+    rows = rows.withColumns({n: F.lit(None).cast("double") for n in names if n not in have})
+    scored = R.recalibrate(model, rows)
+    summary = R.monitor(model, rows, reference, "timepoint", limit)
+    return scored, scored.groupBy("timepoint").agg(F.count("score").alias("n_scored")).join(summary, "timepoint", "left")

@@ -13,8 +13,9 @@ from sparkolyte.operators import discovery as R
 from sparkolyte.operators import domain
 from sparkolyte.operators import evaluation as E
 from sparkolyte.operators import models as M
+from sparkolyte.plans import extract as X
 from sparkolyte.plans import runs
-from sparkolyte.sources import synthetic
+from sparkolyte.sources import artifacts, synthetic
 
 NAMES = [f"f{i}" for i in range(6)]
 
@@ -384,3 +385,29 @@ def test_commands(spark, tmp_path):
     for f, bad in ((cli.band, "1"), (cli.seeds, "a"), (cli.seeds, ",")):
         with pytest.raises(argparse.ArgumentTypeError):
             f(bad)
+
+
+def test_models_from_their_arrays(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.normal(size=(60, 4)), np.full(60, 2.0)])
+    y = np.exp(0.3 * x[:, 0] + 0.1 * x[:, 1] ** 2)
+    for name in ("linear", "log", "weighted", "orthogonal", "nonlinear"):
+        model = M.build(name, 2).fit(x, y)
+        arrays, manifest = M.to_arrays(model)
+        artifacts.save_arrays(spark, str(tmp_path / name), arrays, manifest)
+        back = artifacts.load_arrays(spark, str(tmp_path / name))
+        assert np.allclose(M.predict_from_arrays(*back, x), np.ravel(model.predict(x))), name
+
+
+def test_invivo_rows_are_scored(spark, tmp_path):
+    root = synthetic.write_invivo_tree(str(tmp_path / "live"), channels=(3,), cycles=3)
+    rows = X.invivo(spark, str(root))
+    names = ["R_s_integral", "R_p_integral", "bg_cap"]
+    assert rows.count() == 6 and set(names) <= set(rows.columns) and {r.timepoint for r in rows.collect()} == {0, 7}
+    rng = np.random.default_rng(0)
+    ref = spark.createDataFrame(pd.DataFrame({n: 1 + 0.1 * rng.normal(size=80) for n in [*names, "other"]}).assign(y=lambda d: d.R_s_integral))
+    model = R.freeze(ref, [*names, "other"], "y", R.Condition("c"), 2)
+    scored, summary = X.recalibrate_invivo(spark, model, str(root), ref)
+    assert scored.where("score is null").count() == 0
+    got = {r.timepoint: r for r in summary.collect()}
+    assert got[0].n_scored == 3 and set(got) == {0, 7} and {r.flag for r in got.values()} <= {"ok", "EXTRAPOLATING", None}
