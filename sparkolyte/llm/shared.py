@@ -104,8 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     e = materialize(kept, "edges")
-    before = None
-    while True:
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         moved = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
         large = spread(both.where("v > u"), moved, ["u"], "v", "left")
@@ -116,7 +115,12 @@ def components(edges: DataFrame) -> DataFrame:
         last, e = e, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         discard(last)
         discard(large)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select("u", F.col("v").alias("root"))
-        before = now
+    return e.select("u", F.col("v").alias("root"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down and none up, or edges up alone."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    return nodes.where("down > 1 or down > 0 and up > 0").isEmpty()

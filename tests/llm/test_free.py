@@ -385,6 +385,31 @@ def test_keep_one(spark):
     assert J.keep_one(empty(spark)).count() == 0 and J.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
+def test_connected_components(spark, kind):
+    rng = np.random.default_rng(12)
+    edges = {
+        "chain": [(i, i + 1) for i in range(200)],
+        "star": [(500, i) for i in range(300)] + [(7, 900)],
+        "random": [tuple(map(int, rng.integers(0, 400, 2))) for _ in range(260)],
+        "none": [(3, 3), (None, 4), (5, None)],
+    }[kind]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in up if find(x) != x}
+    df = spark.createDataFrame(edges + edges[:5], "u long, v long")
+    assert {r.u: r.root for r in shared.components(df).collect()} == want
+
+
 # ---- media
 
 
