@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ BATCH_ROWS = 512
 BATCH_BYTES = 1 << 23
 #: Tasks that the rows of one key are dealt to where a key may hold many.
 SALTS = 16
+#: Rows of a table of some whole numbers that every task may hold.
+SMALL_ROWS = 100_000
+#: Edges, about, that one task joins at once.
+BUCKET_EDGES = 250_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -82,45 +88,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
-    """rows joined with groups (a row per key), the rows of one key dealt to SALTS tasks by a hash of the column by."""
+def spread(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, how: str = "inner", ready: bool = False) -> DataFrame:
+    """rows joined with groups (a row per key, how inner or left), whatever share of the rows one key holds.
+
+    groups is worked out, unless it is ready, and counted first. Up to SMALL_ROWS of it are broadcast, so rows stay
+    where they are; of more, the rows of one key are dealt to SALTS tasks by a hash of the column by.
+    """
+    groups = groups if ready else materialize(groups, "groups")
+    if groups.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(groups), keys, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    # Never broadcast: its size is unknown before it is worked out, and it is repeated here.
     return salted.join(groups.withColumn("_salt", salts).hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
+def _forest(found: pa.Table) -> pa.Table:
+    """Of the edges of one bucket those that span what they join: every node with the least one it reaches."""
+    u, v = (found.column(c).to_numpy() for c in ("u", "v"))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    up = list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    half = len(u)
+    for a, b in zip(at[:half].tolist(), at[half:].tolist(), strict=True):
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    root = np.array([find(x) for x in range(len(ids))], np.int64)
+    moved = root != np.arange(len(ids))
+    return pa.table({"u": pa.array(ids[moved], pa.int64()), "v": pa.array(ids[root[moved]], pa.int64())})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u long, v long) as (u, root), root the smallest id reachable.
 
-    Alternates large-star and small-star rounds (Kiveris et al. 2014), so work per round is linear in the
-    edges and no node's neighbours are gathered in one row. A node's edges meet its new label only where that
-    differs from the node, and are salted there, so a hub's edges lie in several tasks. Self loops and null ends
-    are ignored.
+    Buckets of edges are first reduced to spanning forests, in memory bounded by BUCKET_EDGES. Then large-star and
+    small-star rounds alternate (Kiveris et al. 2014) until the edges are stars, so work per round is linear in the
+    edges and no node's neighbours are gathered in one row. A hub's edges lie in several buckets and tasks. Self loops
+    and null ends are ignored.
     """
-    kept = (
-        edges.where("u is not null and v is not null and u != v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
-    e = materialize(kept, "edges")
-    while not _are_stars(e):
+    kept = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    kept = materialize(kept, "edges")
+    buckets = kept.count() // BUCKET_EDGES + 1
+    dealt = kept.withColumn("_bucket", F.pmod(F.xxhash64("u"), F.lit(buckets)))
+    e = materialize(dealt.groupBy("_bucket").applyInArrow(_forest, "u long, v long"), "forests")
+    discard(kept)
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        moved = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
-        large = spread(both.where("v > u"), moved, ["u"], "v", "left")
-        large = materialize(large.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct(), "large_star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top"))
-        several = low.where("m < top").select("u", "m")
-        small = spread(large, several, ["u"], "v").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        below = F.col("v") < F.col("u")
+        nodes = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(below).alias("down"), F.count_if(~below).alias("up"))
+        nodes = materialize(nodes, "nodes")
+        # Stars: every node has one edge down and none up, or edges up alone.
+        if nodes.where("down > 1 or down > 0 and up > 0").isEmpty():
+            discard(nodes)
+            return e.select("u", F.col("v").alias("root"))
+        large = spread(both.where("v > u"), nodes.where("m < u").select("u", "m"), ["u"], "v", "left", ready=True)
+        large = materialize(large.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")), "large_star")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")), "low")
+        small = spread(large, low.where("m < top").select("u", "m"), ["u"], "v", ready=True)
+        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(last)
-        discard(large)
-    return e.select("u", F.col("v").alias("root"))
-
-
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether every node has one edge down and none up, or edges up alone."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
-    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
-    return nodes.where("down > 1 or down > 0 and up > 0").isEmpty()
+        for done in (last, large, low, nodes):
+            discard(done)

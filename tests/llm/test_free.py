@@ -385,8 +385,11 @@ def test_keep_one(spark):
     assert J.keep_one(empty(spark)).count() == 0 and J.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [shared.BUCKET_EDGES, 40])
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
-def test_connected_components(spark, kind):
+def test_connected_components(spark, monkeypatch, kind, bucket):
+    monkeypatch.setattr(shared, "BUCKET_EDGES", bucket)
+    monkeypatch.setattr(shared, "SMALL_ROWS", 100 if bucket == 40 else shared.SMALL_ROWS)
     rng = np.random.default_rng(12)
     edges = {
         "chain": [(i, i + 1) for i in range(200)],
