@@ -67,11 +67,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._scratch = path
     return found
