@@ -9,13 +9,12 @@ packed. The last window of a shard is cut into sequences whose lengths are power
 Documents reach their shards by content. Of the words in each of four ranges of document frequency, from those that
 a quarter of the documents have down to the rarest, the least by hash is a key; documents are dealt out in the order
 of these keys, so that those alike in words lie side by side, and a shard is SHARD_DOCS documents or SHARD_BYTES of
-text in a row. Copies of one text, however many, are dealt on by doc_id. The ranges alone are fitted on a sample of
-about ROUTE_SAMPLE documents; they decide where a document lies and no score. A neighbour in another shard is not
-seen; the README gives the measured recall.
+text in a row. Copies of one text, however many, are dealt on by doc_id. A neighbour in another shard is not seen; the
+README gives the measured recall.
 
-Document frequencies and the mean length cover all documents. Frequencies are held as a count-min sketch of fixed size,
-which never falls short and exceeds a word's by more than 1.1e-5 of all distinct words of all documents with a chance
-of 5 %.
+Document frequencies and the mean length cover all documents, for the ranges as for the scores: a first pass counts, a
+second one routes. Frequencies are held as a count-min sketch of fixed size, which never falls short and exceeds a
+word's by more than 1.1e-5 of all distinct words of all documents with a chance of 5 %.
 
 Null text is empty: one piece with the end id. Rows that repeat are documents of their own, a null doc_id too. An
 empty table gives no rows. Sequence ids count from partition << 32.
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .cached_tokens import tokenizer
-from .textbytes import FOLDED, WORD, SpanHash, find_words, mix, text_chunks
+from .textbytes import FOLDED, WORD, SpanHash, mix, text_chunks
 
 WINDOW = 1024
 SHARD_DOCS = 1024
@@ -47,19 +46,57 @@ SLICES = 8
 WORD_BITS = 48
 NEIGHBOURS = 16
 K1, B = 1.2, 0.75
-#: Ranges of document frequency, as shares of the sample, that give a routing key each; words that fewer than two
-#: documents of the sample have are the last.
-RANGES = ((1 / 64, 1 / 4), (1 / 1024, 1 / 64), (0, 1 / 1024))
-#: Documents, about, that the ranges are fitted on, drawn by a hash of doc_id.
-ROUTE_SAMPLE = 20_000
+#: Ranges of document frequency, as shares of all documents, that give a routing key each; rarer words and those of a
+#: single document are the last. The sketch tells no shares apart that lie much below the least one here.
+RANGES = ((1 / 64, 1 / 4), (1 / 1024, 1 / 64), (1 / 4096, 1 / 1024))
 #: Words that more documents of a shard have are scored by one matrix product, the others by their postings.
 DENSE = 64
+#: Bytes of text whose words are found at once, few enough to stay in a core's cache.
+WORD_CHUNK = 1 << 17
+#: Longest words, in bytes, that are hashed block by block.
+BLOCK_BYTES = 64
+#: Words that a counter holds back before it adds them to its sketch.
+HELD_WORDS = 1 << 18
+_IN_WORD = WORD.astype(np.uint8).tobytes()
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def _words(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the row of each; as find_words, without a table look-up per byte in NumPy."""
+    flags = np.zeros(len(raw) + 2, bool)
+    flags[1:-1] = np.frombuffer(raw.translate(_IN_WORD), bool)
+    at = np.flatnonzero(flags[1:] != flags[:-1])
+    start, end = at[::2], at[1::2]
+    # Words of two rows that meet.
+    cut = np.unique(offsets[1:-1])
+    cut = cut[flags[cut] & flags[cut + 1]]
+    if len(cut):
+        start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+    return start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+
+
+def _word_hashes(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, A-Z as a-z, eight bytes at once; words of more than BLOCK_BYTES by their rolling sums."""
+    eight = np.ndarray(len(raw) + 1, "<u8", raw.lower() + bytes(8), strides=(1,))
+    size = end - start
+    h = mix((eight[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more) and k < BLOCK_BYTES:
+        block = eight[start[more] + k] & _FIRST[np.minimum(size[more] - k, 8)]
+        h[more] = mix(h[more] ^ block * np.uint64(0xD6E8FEB86659FD93))
+        k += 8
+        more = more[size[more] > k]
+    if len(more):
+        h[more] = SpanHash(np.frombuffer(raw, np.uint8), FOLDED)(start[more], end[more])
+    return h
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, word hash (WORD_BITS) and count of each distinct word of each row, and the rows' word counts."""
-    start, end, row = find_words(data, offsets, WORD)
-    word = SpanHash(data, FOLDED)(start, end) >> np.uint64(64 - WORD_BITS)
+    raw = data.tobytes()
+    start, end, row = _words(raw, offsets)
+    word = _word_hashes(raw, start, end) >> np.uint64(64 - WORD_BITS)
     key = np.sort(row.astype(np.uint64) << np.uint64(WORD_BITS) | word)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(key)))
@@ -80,15 +117,25 @@ class _Counter:
 
     def __init__(self):
         self.sketch = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64)
-        self.docs = self.words = 0
+        self.docs = self.words = self.n_held = 0
+        self.held: list[np.ndarray] = []
 
     def add(self, word: np.ndarray, lengths: np.ndarray) -> None:
-        for r, cell in enumerate(_cells(word)):
-            self.sketch[r] += np.bincount(cell, minlength=1 << SKETCH_BITS)
+        self.held.append(word)
+        self.n_held += len(word)
         self.docs += len(lengths)
         self.words += int(lengths.sum())
+        if self.n_held >= HELD_WORDS:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            for r, cell in enumerate(_cells(np.concatenate(self.held))):
+                self.sketch[r] += np.bincount(cell, minlength=1 << SKETCH_BITS)
+        self.held, self.n_held = [], 0
 
     def columns(self) -> list[pa.Array]:
+        self.flush()
         slices = self.sketch.astype("<i8").reshape(SLICES, -1)
         return [
             pa.array(np.arange(SLICES), pa.int32()),
@@ -104,7 +151,7 @@ _SLICE = "slice int, counts binary, docs long, words long"
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = _Counter()
     for batch in batches:
-        for _, _, data, offsets in text_chunks(batch.column(0)):
+        for _, _, data, offsets in text_chunks(batch.column(0), WORD_CHUNK):
             _, word, _, lengths = term_counts(data, offsets)
             found.add(word, lengths)
     yield pa.RecordBatch.from_arrays(found.columns(), ["slice", "counts", "docs", "words"])
@@ -144,8 +191,9 @@ class Statistics:
         return (idf * count * (K1 + 1) / (count + norm)).astype(np.float32)
 
 
-def _collected(parts: DataFrame) -> Statistics:
-    """Statistics from partitions' slices, SLICES rows of a fixed size each, which are added up in tasks."""
+def corpus_statistics(docs: DataFrame) -> Statistics:
+    """Statistics of all documents; partitions' slices, SLICES rows of a fixed size each, are added up in tasks."""
+    parts = docs.select("text").mapInArrow(_frequencies, _SLICE)
     rows = sorted(parts.groupBy("slice").applyInArrow(_add_slices, _SLICE).collect())
     sketch = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS))
     if rows:
@@ -153,10 +201,6 @@ def _collected(parts: DataFrame) -> Statistics:
     return Statistics(sketch, sum(r.docs for r in rows), sum(r.words for r in rows))
 
 
-def corpus_statistics(docs: DataFrame) -> Statistics:
-    return _collected(docs.select("text").mapInArrow(_frequencies, _SLICE))
-
-
 def _least(h: np.ndarray, row: np.ndarray, rows: int, largest: np.uint64) -> np.ndarray:
     """The least value of each row; row ascends."""
     out = np.full(rows, largest)
@@ -167,37 +211,31 @@ def _least(h: np.ndarray, row: np.ndarray, rows: int, largest: np.uint64) -> np.
 
 
 _KEYS = ["k0", "k1", "k2", "k3"]
-_ROUTED = f"doc_id long, text string, {', '.join(f'{k} long' for k in _KEYS)}, copy long, size long, {_SLICE}"
+_ROUTED = f"doc_id long, text string, {', '.join(f'{k} long' for k in _KEYS)}, copy long, size long"
 
 
-def _route(sample: Statistics):
-    """doc_id and text with a key for each range of frequency, a hash of the whole text and its size in bytes, and at
-    the end the partition's own statistics. A text without words in a range has the largest key.
+def _route(statistics: Statistics):
+    """doc_id and text with a key for each range of frequency, a hash of the whole text and its size in bytes. A text
+    without words in a range has the largest key.
     """
     names = [c.split()[0] for c in _ROUTED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         largest = np.uint64((1 << 63) - 1)
-        counter = _Counter()
         for batch in batches:
             keys: list[list[np.ndarray]] = [[] for _ in range(len(RANGES) + 3)]
-            for _, _, data, offsets in text_chunks(batch.column(1)):
+            for _, _, data, offsets in text_chunks(batch.column(1), WORD_CHUNK):
                 row, word, _, lengths = term_counts(data, offsets)
                 keys[-2].append(SpanHash(data)(offsets[:-1], offsets[1:]) >> np.uint64(1))
                 keys[-1].append(np.diff(offsets).astype(np.uint64))
-                counter.add(word, lengths)
-                df = sample.frequency(word)
+                df = statistics.frequency(word)
                 h = mix(word ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(1)
-                ranges = [(df > low * sample.docs) & (df <= high * sample.docs) & (df >= 2) for low, high in RANGES]
-                for out, inside in zip(keys[:-2], [*ranges, df < 2], strict=True):
+                ranges = [(df > low * statistics.docs) & (df <= high * statistics.docs) & (df >= 2) for low, high in RANGES]
+                rest = (df < 2) | (df <= RANGES[-1][0] * statistics.docs)
+                for out, inside in zip(keys[:-2], [*ranges, rest], strict=True):
                     out.append(_least(np.where(inside, h, largest), row, len(lengths), largest))
             found = [pa.array(np.concatenate(k).astype(np.int64) if k else np.zeros(0, np.int64)) for k in keys]
-            text = batch.column(1).cast(pa.string())
-            none = [pa.nulls(len(batch), t) for t in (pa.int32(), pa.binary(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, *found, *none], names)
-        own = counter.columns()
-        none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.string(), *[pa.int64()] * 6)]
-        yield pa.RecordBatch.from_arrays([*none, *own], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *found], names)
 
     return run
 
@@ -379,11 +417,8 @@ def pack(
     """Pieces of docs (doc_id, text) with their ids, as little-endian unsigned 32-bit integers, and their places."""
     spark = shared.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rate = ROUTE_SAMPLE / max(1, docs.count())
-    sample = corpus_statistics(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, rate) * (1 << 30))))
-    routed = shared.materialize(docs.mapInArrow(_route(sample), _ROUTED), "routed", "snappy")
-    statistics = _collected(routed.where("slice is not null").select("slice", "counts", "docs", "words"))
-    routed = routed.where("slice is null")
+    statistics = corpus_statistics(docs)
+    routed = shared.materialize(docs.mapInArrow(_route(statistics), _ROUTED), "routed", "snappy")
     order = [*_KEYS, "copy", "doc_id"]
     total = routed.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total.bytes or 0) // PART_BYTES + 1)

@@ -684,6 +684,37 @@ def test_sketch_never_falls_short(spark):
     assert statistics.docs == docs.count()
 
 
+def test_routing_counts_all_documents(spark, monkeypatch):
+    """The ranges that route stand on every document's words, in a table of more than 20,000."""
+    route, seen = B._route, []
+    monkeypatch.setattr(B, "_route", lambda statistics: seen.append(statistics) or route(statistics))
+    text = F.concat(F.lit("every m"), F.col("id") % 40, F.when(F.col("id") % 1000 == 7, " seldom").otherwise(""))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    rows = B.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    (statistics,) = seen
+    assert (statistics.docs, statistics.words) == (30_000, 60_030)
+    for w, n in (("every", 30_000), ("m3", 750), ("seldom", 30)):
+        assert statistics.frequency(B.term_counts(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1]) == [n]
+    assert rows.select("doc_id").distinct().count() == 30_000
+
+
+def test_word_hashes_by_brute_force():
+    """Words and their hashes over rows that meet inside words, of all lengths round 8 and 64 bytes."""
+    rng = np.random.default_rng(12)
+    words = ["a" * n for n in range(1, 150)] + ["a" * n + "b" for n in range(149)] + ["Ab", "aB\0", "é" * 40, "É" * 40, "\0"]
+    for _ in range(20):
+        texts = ["".join(str(rng.choice(words)) + str(rng.choice(["", " ", "\n", "\x0b "])) for _ in range(rng.integers(0, 40))) for _ in range(9)]
+        bags = [Counter(re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())) for t in texts]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+        row, word, count, lengths = B.term_counts(data, offsets)
+        assert lengths.tolist() == [sum(b.values()) for b in bags]
+        for i, b in enumerate(bags):
+            own = {w: int(B.term_counts(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[1][0]) for w in b}
+            assert dict(zip(word[row == i].tolist(), count[row == i].tolist(), strict=True)) == {own[w]: n for w, n in b.items()}
+            assert len(set(own.values())) == len(b)
+
+
 def test_copies_meet_in_a_shard(spark):
     """Pairs of near copies, far apart in the input, over shards a twentieth of it."""
     rng = np.random.default_rng(3)
