@@ -1,7 +1,8 @@
 """The pipeline's stages on small tables, and on tables with nothing in them."""
 
 import corpus_pipeline
-from sparkolyte.llm import shared
+from pyspark.sql import functions as F
+from sparkolyte.llm import bm25_pack, shared
 
 from .fixtures import empty
 
@@ -26,6 +27,14 @@ def test_stages(spark):
     assert {r.doc_id for r in docs.collect()} <= set(before)
 
 
+def test_packing_routes_by_all_documents(spark, monkeypatch):
+    route, seen = bm25_pack._route, []
+    monkeypatch.setattr(bm25_pack, "_route", lambda statistics: seen.append(statistics) or route(statistics))
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("every m"), F.col("id") % 40).alias("text"))
+    corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert [(s.docs, s.words) for s in seen] == [(25_000, 50_000)]
+
+
 def test_nothing_in_nothing_out(spark, tmp_path):
     none = empty(spark).select("doc_id", "text", "lang", "source", "n_chars")
     none.write.parquet(str(tmp_path / "documents.parquet"))
