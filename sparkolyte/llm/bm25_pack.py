@@ -12,9 +12,11 @@ of these keys, so that those alike in words lie side by side, and a shard is SHA
 text in a row. Copies of one text, however many, are dealt on by doc_id. A neighbour in another shard is not seen; the
 README gives the measured recall.
 
-Document frequencies and the mean length cover all documents, for the ranges as for the scores: a first pass counts, a
-second one routes. Frequencies are held as a count-min sketch of fixed size, which never falls short and exceeds a
-word's by more than 1.1e-5 of all distinct words of all documents with a chance of 5 %.
+Document frequencies and the mean length cover all documents and are exact, but for words whose hashes of 48 bits are
+equal, for the ranges as for the scores. A first pass fills a count-min sketch, which never falls short; a second one
+counts the words that may lie in a range by it, and every task gets the count of each that does. The words below all
+ranges are counted by a shuffle of the words alone, and a partition of the packing gets the counts of those that two
+of its documents have; the others score nobody.
 
 Null text is empty: one piece with the end id. Rows that repeat are documents of their own, a null doc_id too. An
 empty table gives no rows. Sequence ids count from partition << 32.
@@ -39,7 +41,7 @@ SHARD_BYTES = 1 << 23
 #: Bytes of text in a partition of the packing, about; each is some shards long. Documents per partition, about, whose
 #: keys the driver sees to set the partitions' bounds.
 PART_BYTES, BOUND_SAMPLE = 1 << 26, 64
-#: Rows and width of the sketch of document frequencies; it is all that the driver gets.
+#: Rows and width of the sketch of document frequencies. The driver gets it and the words that lie in a range.
 SKETCH_ROWS, SKETCH_BITS = 3, 18
 SLICES = 8
 #: Bits of a word's hash; the others of a key tell rows of a batch apart.
@@ -47,7 +49,7 @@ WORD_BITS = 48
 NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 #: Ranges of document frequency, as shares of all documents, that give a routing key each; rarer words and those of a
-#: single document are the last. The sketch tells no shares apart that lie much below the least one here.
+#: single document are the last.
 RANGES = ((1 / 64, 1 / 4), (1 / 1024, 1 / 64), (1 / 4096, 1 / 1024))
 #: Words that more documents of a shard have are scored by one matrix product, the others by their postings.
 DENSE = 64
@@ -55,8 +57,8 @@ DENSE = 64
 WORD_CHUNK = 1 << 17
 #: Longest words, in bytes, that are hashed block by block.
 BLOCK_BYTES = 64
-#: Words that a counter holds back before it adds them to its sketch.
-HELD_WORDS = 1 << 18
+#: Words that a counter holds back before it adds them to its sketch, and that one of exact counts does.
+HELD_WORDS, COUNTED_WORDS = 1 << 18, 1 << 21
 _IN_WORD = WORD.astype(np.uint8).tobytes()
 #: Masks of the first 0 to 8 bytes of a little-endian number.
 _FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
@@ -171,18 +173,44 @@ def _add_slices(found: pa.Table) -> pa.Table:
     )
 
 
+def _ascending(word: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(word)
+    return word[order], count[order]
+
+
 class Statistics:
-    """Document frequencies (estimated, never too low), number of documents and of words."""
+    """Document frequencies, number of documents and of words.
 
-    def __init__(self, sketch: np.ndarray, docs: int, words: int):
-        self.sketch, self.docs, self.words = sketch.astype(np.float32), docs, words
+    Frequencies are exact for the words given, which ascend; others have the sketch's, which is never too low, but at
+    most others; without a sketch 1.
+    """
 
-    def frequency(self, word: np.ndarray) -> np.ndarray:
+    def __init__(self, sketch: np.ndarray | None, docs: int, words: int, word=(), count=(), others: float = np.inf):
+        self.sketch, self.docs, self.words = None if sketch is None else sketch.astype(np.float32), docs, words
+        self.word, self.count, self.others = np.array(word, np.uint64), np.array(count, np.int64), others
+
+    def estimate(self, word: np.ndarray) -> np.ndarray:
+        if self.sketch is None:
+            return np.ones(len(word))
         found = self.sketch[0][(cells := _cells(word))[0]]
         for r in range(1, SKETCH_ROWS):
             found = np.minimum(found, self.sketch[r][cells[r]])
+        return np.minimum(found, self.others)
+
+    def frequency(self, word: np.ndarray) -> np.ndarray:
+        if not len(self.word):
+            return self.estimate(word)
+        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        found = self.count[at].astype(float)
+        other = np.flatnonzero(self.word[at] != word)
+        found[other] = self.estimate(word[other])
         return found
 
+    def knowing(self, word: np.ndarray, count: np.ndarray) -> Statistics:
+        """These with the exact frequencies of more words, and no sketch."""
+        word, count = _ascending(np.concatenate([self.word, word.astype(np.uint64)]), np.concatenate([self.count, count]))
+        return Statistics(None, self.docs, self.words, word, count)
+
     def weights(self, row: np.ndarray, word: np.ndarray, count: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """BM25 weight of each word of each row."""
         df = self.frequency(word)
@@ -191,14 +219,48 @@ class Statistics:
         return (idf * count * (K1 + 1) / (count + norm)).astype(np.float32)
 
 
+def _counts(sketched: Statistics, least: float):
+    """Words that more than least documents may have, with the number of a task's documents that do; words repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            word, count = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            for at in range(0, len(word), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int64)) for x in (word, count)], ["word", "n"])
+
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0), WORD_CHUNK):
+                _, word, _, _ = term_counts(data, offsets)
+                held.append(word[sketched.estimate(word) > least])
+            if sum(map(len, held)) >= COUNTED_WORDS:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
 def corpus_statistics(docs: DataFrame) -> Statistics:
-    """Statistics of all documents; partitions' slices, SLICES rows of a fixed size each, are added up in tasks."""
+    """Statistics of all documents, with the exact frequencies of the words that lie in a range.
+
+    Partitions' slices of the sketch, SLICES rows of a fixed size each, are added up in tasks. The words in a range are
+    at most the distinct words of a mean document times one by the least share, whatever the number of documents.
+    """
     parts = docs.select("text").mapInArrow(_frequencies, _SLICE)
     rows = sorted(parts.groupBy("slice").applyInArrow(_add_slices, _SLICE).collect())
     sketch = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS))
     if rows:
         sketch = np.concatenate([np.frombuffer(r.counts, "<i8") for r in rows]).reshape(SKETCH_ROWS, -1)
-    return Statistics(sketch, sum(r.docs for r in rows), sum(r.words for r in rows))
+    number, words = sum(r.docs for r in rows), sum(r.words for r in rows)
+    least = max(1.0, RANGES[-1][0] * number)
+    counted = docs.select("text").mapInArrow(_counts(Statistics(sketch, number, words), least), "word long, n long")
+    found = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > least).toArrow()
+    word, count = _ascending(*(found.column(c).to_numpy() for c in ("word", "n")))
+    return Statistics(sketch, number, words, word, count, int(least))
 
 
 def _least(h: np.ndarray, row: np.ndarray, rows: int, largest: np.uint64) -> np.ndarray:
@@ -211,12 +273,13 @@ def _least(h: np.ndarray, row: np.ndarray, rows: int, largest: np.uint64) -> np.
 
 
 _KEYS = ["k0", "k1", "k2", "k3"]
-_ROUTED = f"doc_id long, text string, {', '.join(f'{k} long' for k in _KEYS)}, copy long, size long"
+_ROUTED = f"doc_id long, text string, {', '.join(f'{k} long' for k in _KEYS)}, copy long, size long, rare array<long>"
 
 
 def _route(statistics: Statistics):
-    """doc_id and text with a key for each range of frequency, a hash of the whole text and its size in bytes. A text
-    without words in a range has the largest key.
+    """doc_id and text with a key for each range of frequency, a hash of the whole text, its size in bytes and its words
+    below all ranges, but for such as no other document has by the sketch. A text without words in a range has the
+    largest key.
     """
     names = [c.split()[0] for c in _ROUTED.split(", ")]
 
@@ -224,6 +287,7 @@ def _route(statistics: Statistics):
         largest = np.uint64((1 << 63) - 1)
         for batch in batches:
             keys: list[list[np.ndarray]] = [[] for _ in range(len(RANGES) + 3)]
+            rare, held = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
             for _, _, data, offsets in text_chunks(batch.column(1), WORD_CHUNK):
                 row, word, _, lengths = term_counts(data, offsets)
                 keys[-2].append(SpanHash(data)(offsets[:-1], offsets[1:]) >> np.uint64(1))
@@ -234,8 +298,14 @@ def _route(statistics: Statistics):
                 rest = (df < 2) | (df <= RANGES[-1][0] * statistics.docs)
                 for out, inside in zip(keys[:-2], [*ranges, rest], strict=True):
                     out.append(_least(np.where(inside, h, largest), row, len(lengths), largest))
+                repeated = rest & (df >= 2)
+                rare.append(word[repeated])
+                held.append(np.bincount(row[repeated], minlength=len(lengths)))
             found = [pa.array(np.concatenate(k).astype(np.int64) if k else np.zeros(0, np.int64)) for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *found], names)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.cumsum(np.concatenate(held)), pa.int32()), pa.array(np.concatenate(rare).astype(np.int64))
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *found, lists], names)
 
     return run
 
@@ -362,7 +432,8 @@ def _pack(path: str, kind: str, end_id: int, statistics: Statistics, shard_docs:
 
         sequence = TaskContext.get().partitionId() << 32
         coder = tokenizer(path, kind)
-        shard = Shard(statistics)
+        known = statistics
+        shard = Shard(known)
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal sequence, shard
@@ -379,9 +450,15 @@ def _pack(path: str, kind: str, end_id: int, statistics: Statistics, shard_docs:
                     rows = []
             if rows:
                 yield _batch(rows)
-            shard = Shard(statistics)
+            shard = Shard(known)
 
         for batch in batches:
+            told = batch.column(2)
+            if told.null_count < len(told):
+                # Counts stand before all documents of a partition.
+                known = known.knowing(told.flatten().to_numpy(), batch.column(3).flatten().to_numpy())
+                shard = Shard(known)
+                batch = batch.filter(told.is_null())
             docs = batch.column(0).to_pylist()
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 ids, at = coder.encode(data, offsets)
@@ -418,13 +495,29 @@ def pack(
     spark = shared.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     statistics = corpus_statistics(docs)
-    routed = shared.materialize(docs.mapInArrow(_route(statistics), _ROUTED), "routed", "snappy")
+    routed = shared.materialize(docs.mapInArrow(_route(statistics), _ROUTED), "routed")
     order = [*_KEYS, "copy", "doc_id"]
     total = routed.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total.bytes or 0) // PART_BYTES + 1)
     bounds = _bounds(routed, order, parts, total.n)
-    placed = routed.repartitionById(parts, _part(bounds)(*order)).sortWithinPartitions(*order).select("doc_id", "text")
-    return placed.mapInArrow(_pack(vocabulary, kind, end_id, statistics, shard_docs, shard_bytes), SCHEMA)
+    dealt = routed.withColumn("part", _part(bounds)(*order))
+    # Keys are never negative, so a partition's counts come first.
+    first = {c: F.lit(-1).cast("long") for c in order[:-1]}
+    placed = dealt.drop("size", "rare").unionByName(_rare_counts(dealt).withColumns(first), allowMissingColumns=True)
+    placed = placed.repartitionById(parts, F.col("part"))
+    placed = placed.sortWithinPartitions(*order).select("doc_id", "text", "words", "counts")
+    exact = statistics.knowing(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return placed.mapInArrow(_pack(vocabulary, kind, end_id, exact, shard_docs, shard_bytes), SCHEMA)
+
+
+def _rare_counts(dealt: DataFrame) -> DataFrame:
+    """Per part the words below all ranges that two of its documents have, and how many of all documents have each."""
+    pairs = dealt.select("part", F.explode("rare").alias("word")).repartition("word")
+    held = pairs.groupBy("word", "part").agg(F.count(F.lit(1)).alias("n"))
+    several = F.collect_list(F.when(F.col("n") > 1, F.col("part"))).alias("parts")
+    known = held.groupBy("word").agg(F.sum("n").alias("n"), several).select(F.explode("parts").alias("part"), "word", "n")
+    told = known.groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return told.select("part", F.col("known.word").alias("words"), F.col("known.n").alias("counts"))
 
 
 def _packed_keys(columns: list[np.ndarray]) -> np.ndarray:
