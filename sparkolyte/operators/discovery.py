@@ -13,10 +13,12 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import centred, parabola, weighted_line
 from ..functions.tasks import dealt
 from . import domain
 from . import models as M
@@ -591,76 +593,158 @@ def _with_later_times(rows: DataFrame, time: str) -> DataFrame:
     return rows.withColumn("_u", F.col(time).cast("double")).join(times, "_u").drop("_u")
 
 
+def _fold_statistics(rows: DataFrame, predictors: list[str]) -> dict[float, dict]:
+    """Per test time: training rows n, median log dose, and fill, mean and deviation of each predictor.
+
+    A row per test time comes to the driver. Medians of predictors are worked out only where values are missing.
+    """
+    train = F.col("timepoint") < F.col("t_test")
+    finite = {c: _clean(c) for c in predictors}
+
+    def collected(values: dict) -> list:
+        aggs = [F.count(F.when(train, 1)).alias("n"), F.median(F.when(train, F.col("_x"))).alias("middle")]
+        for i, v in enumerate(values.values()):
+            own = F.when(train, v)
+            aggs += [F.avg(own).alias(f"mean{i}"), F.stddev_pop(own).alias(f"sd{i}"), (F.max(own) > F.min(own)).alias(f"varies{i}"), F.count_if(v.isNull()).alias(f"gaps{i}")]
+        return _with_later_times(rows, "timepoint").groupBy("t_test").agg(*aggs).collect()
+
+    found = collected(finite)
+    fill: dict[float, list[float]] = {r.t_test: [0.0] * len(predictors) for r in found}
+    gaps = [i for i in range(len(predictors)) if any(r[f"gaps{i}"] for r in found)]
+    if gaps:
+        medians = [F.median(F.when(train, finite[predictors[i]])).alias(f"m{i}") for i in gaps]
+        for r in _with_later_times(rows, "timepoint").groupBy("t_test").agg(*medians).collect():
+            for i in gaps:
+                fill[r.t_test][i] = float(r[f"m{i}"] or 0.0)
+        table = F.create_map(*[F.lit(v) for t, f in fill.items() for v in (t, F.array(*[F.lit(m) for m in f]))])
+        found = collected({c: F.coalesce(v, F.get(F.element_at(table, F.col("t_test")), F.lit(i))) for i, (c, v) in enumerate(finite.items())})
+    out = {}
+    for r in found:
+        sd = [float(r[f"sd{i}"]) if r[f"varies{i}"] and r[f"sd{i}"] > 0 else 1.0 for i in range(len(predictors))]
+        mean = [float(r[f"mean{i}"] or 0.0) for i in range(len(predictors))]
+        out[float(r.t_test)] = {"n": r.n, "middle": r.middle, "fill": np.array(fill[r.t_test]), "mean": np.array(mean), "sd": np.array(sd)}
+    return out
+
+
+def _scaled(x: np.ndarray, s: dict) -> np.ndarray:
+    return (np.where(np.isfinite(x), x, s["fill"]) - s["mean"]) / s["sd"]
+
+
+def _curves(rows: DataFrame, predictors: list[str], keys: list[str]) -> DataFrame:
+    """keys, predictors, _doses and the coefficients _l1, _l0 of a line and _q2, _q1, _q0 of a parabola through each group."""
+    d = centred(rows.dropna(subset=keys), keys, F.lit(1.0), x=F.col("_x"), y=F.col("_y"))
+    x, y = F.col("_c_x"), F.col("_c_y")
+    slope, intercept = weighted_line(F.lit(1.0))
+    sums = {"s0": F.count(F.lit(1)), "s2": F.sum(x * x), "s3": F.sum(x * x * x), "t1": F.sum(x * y), "mx": F.max("_m_x"), "my": F.max("_m_y")}
+    g = d.groupBy(*keys).agg(
+        F.size(F.collect_set("_x")).alias("_doses"),
+        *[F.min_by(c, "concentration").alias(c) for c in predictors],
+        slope.alias("_l1"),
+        intercept.alias("_l0"),
+        parabola(F.lit(1.0)).alias("_q2"),
+        *[v.alias(f"_{n}") for n, v in sums.items()],
+    )
+    # About the mean dose y = my + top (x^2 - s2 / s0) + tilt x.
+    top, mx = F.col("_q2"), F.col("_mx")
+    tilt = F.try_divide(F.col("_t1") - top * F.col("_s3"), F.col("_s2"))
+    level = F.col("_my") - top * F.col("_s2") / F.col("_s0")
+    return g.withColumns({"_q1": tilt - 2 * top * mx, "_q0": level - tilt * mx + top * mx * mx})
+
+
+def _nearest_root(coefs: np.ndarray, value: np.ndarray, middle: float) -> np.ndarray:
+    """The real root of polynomials (a row each, highest power first, second degree at most) less value that is nearest middle."""
+    c, b = coefs[:, -1] - value, coefs[:, -2]
+    a = coefs[:, 0] if coefs.shape[1] == 3 else np.zeros(len(b))
+    with np.errstate(all="ignore"):
+        line = np.where(b != 0, -c / b, np.nan)
+        disc = b * b - 4 * a * c
+        # Without cancellation; pairs whose imaginary part is rounding count as one real root.
+        q = -(b + np.where(b < 0, -1.0, 1.0) * np.sqrt(np.maximum(disc, 0))) / 2
+        roots = np.stack([q / a, np.where(q != 0, c / q, 0.0)])
+        away = np.abs(roots - middle)
+        best = np.where(~(away[1] < away[0]), roots[0], roots[1])
+        flat = np.sqrt(np.maximum(-disc, 0)) / (2 * np.abs(a))
+        best = np.where(disc >= 0, best, np.where(flat < 1e-9, -b / (2 * a), np.nan))
+    return np.where(a != 0, best, line)
+
+
 def target_framings(df: DataFrame, predictors: list[str], keys: list[str], min_train: int = 8, k: int = 2) -> DataFrame:
     """framing, n, rmsep and log_conc_rmse of four ways to the response at a dose, under forward folds in time.
 
     current: the response itself; sensitivity: slope and intercept on log dose, predicted per sensor and time;
     quadratic: three curve coefficients; interaction: predictors times log dose. Doses are recovered by inverting the
     predicted curve, at the root nearest the training median.
+
+    Curves are fitted once for all folds; models come from sums of products per fold, so no task holds a fold's rows.
     """
     rows = df.select(*[F.col(c).alias(c) for c in keys], "concentration", "response", *predictors).where("concentration > 0 and response is not null")
-    joined = _with_later_times(rows, "timepoint")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, "concentration"], kind="stable")
-        columns = ["framing", "y", "pred", "x", "x_pred"]
-        train = (pdf.timepoint < pdf.t_test).to_numpy()
-        if train.sum() < min_train or train.all():
-            return pd.DataFrame(columns=columns)
-        x = np.log10(pdf.concentration.to_numpy(float))
-        y = pdf.response.to_numpy(float)
-        a, b = _prepare(pdf[predictors].to_numpy(float)[train], pdf[predictors].to_numpy(float)[~train])
-        middle = float(np.median(x[train]))
-        out = []
-
-        def model(design, target):
-            if not (np.ptp(design, axis=0) > 0).any():
-                return None
-            return M.PLS(max(1, min(k, design.shape[1], len(design) - 1))).fit(design, target)
-
-        def curve(degree):
-            group = pdf[train].groupby(keys, sort=True).indices
-            fits, design = [], []
-            for at in group.values():
-                if len(np.unique(x[train][at])) > degree:
-                    fits.append(np.polyfit(x[train][at], y[train][at], degree))
-                    design.append(a[at[0]])
-            if len(fits) < 3:
-                return None
-            m = model(np.array(design), np.array(fits))
-            return None if m is None else np.atleast_2d(m.predict(b))
-
-        def invert(coefs, value):
-            poly = np.array(coefs, float)
-            poly[-1] -= value
-            roots = np.roots(poly)
-            roots = roots[np.abs(np.imag(roots)) < 1e-9].real
-            return float(roots[np.argmin(np.abs(roots - middle))]) if len(roots) else np.nan
-
-        yt, xt = y[~train], x[~train]
-        m = model(np.column_stack([a, x[train]]), y[train])
-        if m is not None:
-            p = m.predict(np.column_stack([b, xt]))
-            slope = m.coef[-1, 0]
-            out += [("current", *v) for v in zip(yt, p, xt, xt + (yt - p) / slope if abs(slope) > 1e-12 else np.full(len(xt), np.nan), strict=True)]
-        m = model(np.column_stack([a, x[train], a * x[train][:, None]]), y[train])
-        if m is not None:
-            p = m.predict(np.column_stack([b, xt, b * xt[:, None]]))
-            n = b.shape[1]
-            slope = m.coef[n, 0] + b @ m.coef[n + 1 :, 0]
-            out += [("interaction", *v) for v in zip(yt, p, xt, np.where(np.abs(slope) > 1e-12, xt + (yt - p) / np.where(slope == 0, 1, slope), np.nan), strict=True)]
-        for name, degree in (("sensitivity", 1), ("quadratic", 2)):
-            coefs = curve(degree)
-            if coefs is not None:
-                p = np.array([np.polyval(c, v) for c, v in zip(coefs, xt, strict=True)])
-                out += [(name, *v) for v in zip(yt, p, xt, [invert(c, v) for c, v in zip(coefs, yt, strict=True)], strict=True)]
-        return pd.DataFrame(out, columns=columns)
-
-    got = dealt(joined, ["t_test"]).groupBy("t_test").applyInPandas(one, "framing string, y double, pred double, x double, x_pred double")
-    e, g = F.col("y") - F.col("pred"), F.col("x") - F.col("x_pred")
-    return got.groupBy("framing").agg(
-        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmsep"), F.sqrt(F.avg(F.when(~F.isnan(g), g * g))).alias("log_conc_rmse")
-    )
+    rows = rows.withColumns({"_x": F.log10("concentration"), "_y": F.col("response").cast("double")})
+    stats = {t: s for t, s in _fold_statistics(rows, predictors).items() if s["n"] >= min_train}
+    p = len(predictors)
+    values = ["t_test", *predictors]
+
+    def products(d: DataFrame, columns: list[str], design, by: str) -> dict:
+        d = d.where(F.col("timepoint") < F.col("t_test")).where(F.col("t_test").isin([float(t) for t in stats]))
+        # Sums per test time: their number of rows is that of times.
+        return {r.by: (np.frombuffer(r.blob), r.n) for r in domain._products(d, columns, design, None, by).collect()} if stats else {}
+
+    def by_row(v):
+        a, x, y = _scaled(v[:, 1 : 1 + p], stats[v[0, 0]]), v[:, 1 + p], v[:, 2 + p]
+        return np.column_stack([np.ones(len(v)), a, x, a * x[:, None], y])
+
+    def by_curve(v):
+        return np.column_stack([np.ones(len(v)), _scaled(v[:, 1 : 1 + p], stats[v[0, 0]]), v[:, 1 + p :]])
+
+    def fitted(gram, n, design, responses):
+        """The model of the design's columns on the responses', None without a column that varies."""
+        at = [0, *design, *responses]
+        try:
+            return M.PLS(max(1, min(k, len(design), n - 1))).fit_gramian(gram[np.ix_(at, at)], n, len(responses))
+        except ValueError:
+            return None
+
+    models: dict[float, dict] = {t: {} for t in stats}
+    for t, (blob, n) in products(_with_later_times(rows, "timepoint"), [*values, "_x", "_y"], by_row, "t_test").items():
+        gram = blob.reshape(2 * p + 3, -1)
+        models[t]["current"] = fitted(gram, n, range(1, p + 2), [2 * p + 2])
+        models[t]["interaction"] = fitted(gram, n, range(1, 2 * p + 2), [2 * p + 2])
+    degree = {"sensitivity": ("_l1", "_l0"), "quadratic": ("_q2", "_q1", "_q0")}
+    named = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(c)).alias("size"), *[(F.col(c[i]) if i < len(c) else F.lit(0.0)).alias(f"_p{i}") for i in range(3)]) for name, c in degree.items()])
+    curves = _with_later_times(_curves(rows, predictors, keys), "timepoint").select("*", F.explode(named).alias("_f")).select("*", "_f.*")
+    curves = curves.where("_doses >= size").withColumn("_by", F.concat_ws("|", "name", F.col("t_test").cast("string")))
+    for key, (blob, n) in products(curves, [*values, "_p0", "_p1", "_p2"], by_curve, "_by").items():
+        name, t = key.split("|")
+        gram = blob.reshape(p + 4, -1)
+        models[float(t)][name] = fitted(gram, n, range(1, p + 1), range(p + 1, p + 1 + len(degree[name]))) if n >= 3 else None
+
+    def judged(batches):
+        for batch in batches:
+            v = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns], axis=1)
+            out = []
+            for t in np.unique(v[:, 0]):
+                here = v[v[:, 0] == t]
+                b, x, y = _scaled(here[:, 1 : 1 + p], stats[t]), here[:, 1 + p], here[:, 2 + p]
+                for name, m in models[t].items():
+                    if m is None:
+                        continue
+                    if name in degree:
+                        c = m.predict(b)
+                        pred, back = sum(c[:, -1 - i] * x**i for i in range(c.shape[1])), _nearest_root(c, y, stats[t]["middle"])
+                    else:
+                        more = [b * x[:, None]] if name == "interaction" else []
+                        pred = m.predict(np.column_stack([b, x, *more]))
+                        slope = m.coef[p, 0] + (b @ m.coef[p + 1 :, 0] if more else np.zeros(len(b)))
+                        back = np.where(np.abs(slope) > 1e-12, x + (y - pred) / np.where(slope == 0, 1, slope), np.nan)
+                    e, g = y - pred, x - back
+                    e, g = e[~np.isnan(e)], g[~np.isnan(g)]
+                    out.append((name, len(here), float(e @ e), len(e), float(g @ g), len(g)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["framing", "n", "ee", "ne", "gg", "ng"])
+
+    tested = rows.withColumn("t_test", F.col("timepoint").cast("double")).where(F.col("t_test").isin([float(t) for t in stats]))
+    got = tested.select(*values, "_x", "_y").mapInArrow(judged, "framing string, n long, ee double, ne long, gg double, ng long")
+    mean = lambda s, n: F.sqrt(F.try_divide(F.sum(s), F.sum(n)))
+    return got.groupBy("framing").agg(F.sum("n").alias("n"), mean("ee", "ne").alias("rmsep"), mean("gg", "ng").alias("log_conc_rmse"))
 
 
 def dose_curve_cv(df: DataFrame, predictors: list[str], responses: list[str], sensor: str, time: str, k: int = 2, min_train: int = 8) -> DataFrame:
