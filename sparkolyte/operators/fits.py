@@ -12,26 +12,34 @@ from ..functions.stats import savgol
 from ..functions.tasks import dealt
 
 
+#: Curves that are fitted at once.
+CURVES = 2_000
+
+
 def curve_fit(df: DataFrame, keys: list[str], how: str, weight: str | None = None) -> DataFrame:
-    """keys and ymax, k_half (and exponent for "hill") per group; NULL where the doses don't allow a fit."""
+    """keys and ymax, k_half (and exponent for "hill") per group; NULL where the doses don't allow a fit.
+
+    A group's points are gathered into a row, and rows are fitted by the thousand.
+    """
     names = {"langmuir": ["ymax", "k_half"], "hill": ["ymax", "k_half", "exponent"]}[how]
-    fit = {"langmuir": N.langmuir, "hill": N.hill}[how]
-    columns = [*keys, "concentration", "response", *([weight] if weight else [])]
-    d = df.where("concentration > 0").where(F.col("response").isNotNull() & ~F.isnan("response")).select(*columns)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        sigma = None
-        if weight:
-            w = pdf[weight].to_numpy(float)
-            good = np.isfinite(w) & (w > 0)
-            if good.any():
-                sigma = 1 / np.maximum(np.where(good, w, w[good].min()), 1e-9)
-        got = fit(pdf.concentration.to_numpy(float), pdf.response.to_numpy(float), sigma)
-        return pd.DataFrame([[*pdf[keys].iloc[0], *got]], columns=[*keys, *names])
-
-    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{n} double" for n in names])
-    out = dealt(d, keys).groupBy(*keys).applyInPandas(one, schema)
+    fit = {"langmuir": N.langmuirs, "hill": N.hills}[how]
+    d = df.where("concentration > 0").where(F.col("response").isNotNull() & ~F.isnan("response"))
+    point = F.struct(F.col("concentration").cast("double").alias("c"), F.col("response").cast("double").alias("y"), (F.col(weight) if weight else F.lit(None)).cast("double").alias("w"))
+    points = d.select(*keys, point.alias("_p")).groupBy(*keys).agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+
+    def sigma(w: np.ndarray) -> np.ndarray | None:
+        good = np.isfinite(w) & (w > 0)
+        return 1 / np.maximum(np.where(good, w, w[good].min()), 1e-9) if good.any() else None
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def run(c: pd.Series, y: pd.Series, w: pd.Series) -> pd.DataFrame:
+        out = []
+        for i in range(0, len(c), CURVES):
+            conc, value, weights = ([np.asarray(v, float) for v in s[i : i + CURVES]] for s in (c, y, w))
+            out.append(fit(conc, value, [sigma(v) for v in weights] if weight else None))
+        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, len(names))), columns=names)
+
+    out = dealt(points, keys).select(*keys, run("_p.c", "_p.y", "_p.w").alias("_f")).select(*keys, "_f.*")
     return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
 
 

@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sparkolyte.functions import numerics as N
 from sparkolyte.operators import discovery as R
+from sparkolyte.operators import fits as T
 from sparkolyte.operators import models as M
 
 K3 = ["device", "channel", "timepoint"]
@@ -64,3 +66,26 @@ def test_framings_by_sums_of_products(spark):
     for name, w in want.items():
         assert rows[name] == pytest.approx(w, rel=1e-6), name
     assert R.target_framings(spark.createDataFrame(df).where(F.lit(False)), ["p", "q"], K3).count() == 0
+
+
+@pytest.mark.parametrize("how", ["langmuir", "hill"])
+def test_curves_are_fitted_together(spark, how):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(60):
+        top, half, n = rng.uniform(2, 9), rng.uniform(150, 900), rng.uniform(0.7, 2) if how == "hill" else 1.0
+        for c in [100.0, 250.0, 500.0, 1000.0, 5000.0][: 5 if g % 10 else 2]:
+            rows.append((g, c, top * c**n / (half**n + c**n), top, half, n, float(rng.integers(0, 4))))
+    df = pd.DataFrame(rows, columns=["g", "concentration", "response", "top", "half", "n", "snr"])
+    got = T.curve_fit(spark.createDataFrame(df).orderBy(F.rand(1)), ["g"], how, "snr")
+    assert "FlatMapGroups" not in plan(got)
+    found = {r.g: (r.ymax, r.k_half, *((r.exponent,) if how == "hill" else ())) for r in got.collect()}
+    assert len(found) == 60
+    for g, d in df.groupby("g"):
+        want = [d.top.iloc[0], d.half.iloc[0], d.n.iloc[0]][: len(found[g])]
+        assert found[g] == (pytest.approx(want, rel=1e-3) if g % 10 else tuple([None] * len(want))), g
+    # A curve's fit doesn't depend on those beside it, however long they are.
+    c, y = df[df.g == 1].concentration.to_numpy(), df[df.g == 1].response.to_numpy()
+    one = getattr(N, how)(c, y)
+    both = getattr(N, f"{how}s")([np.tile(c, 3), c], [np.tile(y, 3) + 1, y])
+    assert both[1] == pytest.approx(one, rel=1e-9)
