@@ -1,5 +1,7 @@
 """Steps that must not hold a fold's rows in one task or take a loop per row, against plain versions of their rules."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -89,3 +91,28 @@ def test_curves_are_fitted_together(spark, how):
     one = getattr(N, how)(c, y)
     both = getattr(N, f"{how}s")([np.tile(c, 3), c], [np.tile(y, 3) + 1, y])
     assert both[1] == pytest.approx(one, rel=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["apart", "alike", "steps", "tails", "filled"])
+def test_nearest_neighbours_without_all_pairs(kind):
+    rng = np.random.default_rng(7)
+    for n in (5, 40, 700):
+        x, y = rng.normal(size=n), rng.normal(size=n)
+        if kind == "alike":
+            y = x + 1e-3 * y
+        if kind == "steps":
+            x = np.round(x)
+        if kind == "tails":
+            x, y = rng.standard_cauchy(n), rng.standard_cauchy(n)
+        if kind == "filled":
+            x, y = np.where(rng.random(n) < 0.7, 0, x), np.where(rng.random(n) < 0.3, 0, y)
+        far = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+        np.fill_diagonal(far, np.inf)
+        assert np.array_equal(N.neighbour_radius(x, y, 3), np.sort(far, axis=1)[:, 2])
+
+
+def test_mutual_information_of_many_rows_takes_seconds():
+    rng = np.random.default_rng(8)
+    x, began = rng.normal(size=60_000), time.process_time()
+    assert N.mutual_information(x, x + rng.normal(size=60_000)) == pytest.approx(np.log(2) / 2, abs=0.02)
+    assert time.process_time() - began < 20
