@@ -26,6 +26,20 @@ def pearson(x: Column, y: Column, least: int = 2) -> Column:
     return F.when((F.count(x) >= least) & (F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12), r)
 
 
+def in_order(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Adds _sum, the running sum of value within keys by order; ordered_mean takes the last one.
+
+    A sum of doubles depends on its order in the last digits, which decides between equal means and at thresholds.
+    """
+    here = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return df.withColumn("_sum", F.sum(value).over(here))
+
+
+def ordered_mean(value: str, order: str) -> Column:
+    """The mean of value by a sum in the given order, over rows of in_order(...); NULL without values."""
+    return F.try_divide(F.max_by("_sum", order), F.count(value))
+
+
 def centred(df: DataFrame, keys: list[str], w: Column, **columns: Column) -> DataFrame:
     """Adds for each name _m_<name>, the column's weighted mean within keys, and _c_<name>, its distance from it.
 

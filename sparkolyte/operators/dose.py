@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import centred, parabola, pearson, weighted_line
+from ..functions.stats import centred, in_order, ordered_mean, parabola, pearson, weighted_line
 
 KEY = ["device", "channel", "timepoint"]
 
@@ -136,11 +136,18 @@ def accept(
     return rows
 
 
-def repeatability(reps: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """mean, rep_std (population), n and snr = mean / scatter over finite replicates: infinity without scatter, NULL below two."""
+def repeatability(reps: DataFrame, keys: list[str], value: str = "value", order: str | None = None) -> DataFrame:
+    """mean, rep_std (population), n and snr = mean / scatter over finite replicates: infinity without scatter, NULL below two.
+
+    With order, the mean comes from a sum in that order.
+    """
     v = F.col(value)
     ok = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    g = reps.groupBy(*keys).agg(F.count(ok).alias("n"), F.avg(ok).alias("mean"), F.stddev_pop(ok).alias("rep_std"))
+    d = reps.withColumn("_ok", ok)
+    mean = F.avg("_ok")
+    if order is not None:
+        d, mean = in_order(d, keys, "_ok", order), ordered_mean("_ok", order)
+    g = d.groupBy(*keys).agg(F.count("_ok").alias("n"), mean.alias("mean"), F.stddev_pop("_ok").alias("rep_std"))
     snr = F.when(F.col("rep_std") > 0, F.try_divide("mean", "rep_std")).otherwise(F.lit(float("inf")))
     return g.withColumn("snr", F.when(F.col("n") >= 2, snr))
 

@@ -114,7 +114,7 @@ SNR_SQL = A.REPS_SQL + f""", snr as (select {K}, concentration, avg(value) as re
 
 
 def _with_snr(spark, sf):
-    r = D.repeatability(A.replicates(spark, sf), [*KEYS, "concentration"])
+    r = D.repeatability(A.replicates(spark, sf), [*KEYS, "concentration"], order="event_id")
     return r.withColumnRenamed("mean", "response")
 
 

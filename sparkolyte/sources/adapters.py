@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import in_order, ordered_mean
+
 DOSES = {"click": 100.0, "error": 250.0, "purchase": 500.0, "signup": 1000.0, "view": 5000.0}
 POINTS = 64
 
@@ -33,11 +35,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        events(spark, sf_dir)
-        .groupBy("device", "channel", "timepoint", "concentration")
-        .agg(F.avg("value").alias("response"), F.count("value").alias("n_rep"))
-    )
+    """device, channel, timepoint, concentration, response, n_rep: means of the values in the order of the events."""
+    keys = ["device", "channel", "timepoint", "concentration"]
+    e = in_order(events(spark, sf_dir).select(*keys, "event_id", "value"), keys, "value", "event_id")
+    return e.groupBy(*keys).agg(ordered_mean("value", "event_id").alias("response"), F.count("value").alias("n_rep"))
 
 
 def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from sparkolyte.functions import numerics as N
 from sparkolyte.operators import discovery as R
+from sparkolyte.operators import dose as D
 from sparkolyte.operators import fits as T
 from sparkolyte.operators import models as M
+from sparkolyte.sources import adapters as A
 
 K3 = ["device", "channel", "timepoint"]
 
@@ -116,3 +118,22 @@ def test_mutual_information_of_many_rows_takes_seconds():
     x, began = rng.normal(size=60_000), time.process_time()
     assert N.mutual_information(x, x + rng.normal(size=60_000)) == pytest.approx(np.log(2) / 2, abs=0.02)
     assert time.process_time() - began < 20
+
+
+def test_means_are_summed_in_the_order_of_the_events(spark, tmp_path):
+    """Equal means must be equal and thresholds meet to the bit, however the events lie in files."""
+    rng = np.random.default_rng(9)
+    e = pd.DataFrame({"event_id": np.arange(2400), "user_id": np.arange(2400) % 300, "value": np.round(rng.uniform(0, 500, 2400), 2)})
+    e.loc[rng.random(2400) < 0.05, "value"] = None
+    table = spark.createDataFrame(e).select("event_id", F.lit("2024-01-01").cast("timestamp").alias("ts"), "user_id", F.lit("click").alias("event_type"), F.expr("nanvl(value, null)").alias("value"), F.lit("{}").alias("props"))
+    table.repartition(11, F.hash("event_id")).sortWithinPartitions(F.desc("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for user, values in e.dropna().groupby("user_id").value:
+        total = 0.0
+        for v in values:
+            total += v
+        want[user] = total / len(values)
+    found = A.observations(spark, str(tmp_path)).collect()
+    assert {r.channel: r.response for r in found if r.response is not None} == want
+    found = D.repeatability(A.replicates(spark, str(tmp_path)), [*K3, "concentration"], order="event_id").collect()
+    assert {r.channel: r["mean"] for r in found if r["mean"] is not None} == want
