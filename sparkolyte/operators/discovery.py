@@ -9,7 +9,8 @@ the matrix is collected to the driver; a task holds the rows up to its test time
 from __future__ import annotations
 
 import re
-from dataclasses import asdict, dataclass
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import centred, parabola, weighted_line
 from ..functions.tasks import dealt
+from . import blocks as B
 from . import domain
 from . import models as M
 from .evaluation import effective_min_train_times, mean_over_seeds, pooled
@@ -90,18 +92,23 @@ def baseline_queue() -> list[Condition]:
 
 @dataclass
 class Rows:
-    """The rows of one task as arrays; t is the time, or in random folds the fold."""
+    """Rows of one task: x holds all of the task's, at says which; t is the time, or in random folds the fold."""
 
     x: np.ndarray
+    at: np.ndarray
     y: np.ndarray
     t: np.ndarray
     sensor: np.ndarray
     time: np.ndarray
     conc: np.ndarray
     snr: np.ndarray
+    logged: tuple[int, ...] = ()
 
     def take(self, at: np.ndarray) -> Rows:
-        return Rows(*(getattr(self, f)[at] for f in ("x", "y", "t", "sensor", "time", "conc", "snr")))
+        return Rows(self.x, *(getattr(self, f)[at] for f in ("at", "y", "t", "sensor", "time", "conc", "snr")), self.logged)
+
+    def scaled(self) -> B.Scaled:
+        return B.Scaled(self.x, self.at, self.logged, LOG_FLOOR)
 
 
 def sample_weights(c: Condition, rows: Rows) -> np.ndarray | None:
@@ -122,22 +129,22 @@ def _prepare(train: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
     return M.zscore(*filled)
 
 
-def _select(c: Condition, threshold: float | None, x: np.ndarray, rows: Rows, k: int, seed: int, cars: dict) -> np.ndarray:
+def _select(c: Condition, threshold: float | None, x: B.Scaled, rows: Rows, k: int, seed: int, cars: dict) -> np.ndarray:
     if c.selector.startswith("icc"):
-        kept = M.temporal_select(x, rows.sensor, rows.time, threshold)
-        return kept[M.cars(x[:, kept], rows.y, seed=seed, **cars)] if c.selector == "icc+cars" else kept
+        kept = B.temporal_select(x, rows.sensor, rows.time, threshold)
+        return kept[B.cars(x.only(kept), rows.y, seed=seed, **cars)] if c.selector == "icc+cars" else kept
     if c.selector == "cars":
-        return M.cars(x, rows.y, seed=seed, **cars)
-    return M.select(c.selector, x, rows.y, threshold, k, seed)
+        return B.cars(x, rows.y, seed=seed, **cars)
+    return B.select(c.selector, x, rows.y, threshold, k, seed)
 
 
-def _fitted(c: Condition, k: int, x: np.ndarray, rows: Rows) -> M.PLS:
+def _fitted(c: Condition, k: int, x: B.Scaled, rows: Rows) -> M.PLS:
     y = np.log(np.maximum(rows.y, LOG_FLOOR)) if c.transform == "log" else rows.y
-    return M.build(c.architecture, k).fit(x, y, sample_weights(c, rows) if c.architecture == "weighted" else None)
+    return B.fit(c.architecture, k, x, y, sample_weights(c, rows) if c.architecture == "weighted" else None)
 
 
-def _predicted(c: Condition, model: M.PLS, x: np.ndarray) -> np.ndarray:
-    p = np.ravel(model.predict(x))
+def _predicted(c: Condition, model: M.PLS, x: B.Scaled) -> np.ndarray:
+    p = x.apply(lambda z: np.ravel(model.predict(z)))
     # Far beyond any response, and short of overflow.
     return np.exp(np.clip(p, -50, 50)) if c.transform == "log" else p
 
@@ -152,7 +159,7 @@ def _inner_split(c: Condition, train: Rows, fold: float) -> tuple[np.ndarray, np
     return np.flatnonzero(train.t < last), np.flatnonzero(train.t == last)
 
 
-def evaluate_folds(c: Condition, train: Rows, test: Rows, seed: int, cars: dict, fold: float = 0.0) -> list[dict]:
+def evaluate_folds(c: Condition, train: Rows, test: Rows, seed: int, cars: dict, fold: float = 0.0) -> Iterator[dict]:
     """Results of each fold of the test rows' channels (of all test rows together in random folds).
 
     Threshold and number of components are those with the least error on the inner validation rows, in the order they
@@ -160,9 +167,10 @@ def evaluate_folds(c: Condition, train: Rows, test: Rows, seed: int, cars: dict,
     """
     inner, outer = _inner_split(c, train, fold)
     if not len(inner) or not len(outer):
-        return []
+        return
     early, late = train.take(inner), train.take(outer)
-    a, b = _prepare(early.x, late.x)
+    a = early.scaled().fitted()
+    b = late.scaled().like(a)
     errors: dict[tuple, np.ndarray] = {}
     for threshold in (c.thresholds if c.has_threshold and c.thresholds else (None,)):
         try:
@@ -174,12 +182,13 @@ def evaluate_folds(c: Condition, train: Rows, test: Rows, seed: int, cars: dict,
             if k < 1 or len(early.y) < 2 * k:
                 continue
             try:
-                errors.setdefault((threshold, k), (late.y - _predicted(c, _fitted(c, k, a[:, kept], early), b[:, kept])) ** 2)
+                errors.setdefault((threshold, k), (late.y - _predicted(c, _fitted(c, k, a.only(kept), early), b.only(kept))) ** 2)
             except (ValueError, np.linalg.LinAlgError):
                 continue
-    ta, tb = _prepare(train.x, test.x)
+    ta = train.scaled().fitted()
+    tb = test.scaled().like(ta)
     fits: dict[tuple, tuple | None] = {}
-    out = []
+    guesses: dict[tuple, np.ndarray] = {}
     for channel in ([None] if c.track == "random" else dict.fromkeys(test.sensor.tolist())):
         mine = np.ones(len(test.y), bool) if channel is None else test.sensor == channel
         judged = late.sensor == channel if TRACKS[c.track][1] == "channel" else np.ones(len(late.y), bool)
@@ -192,32 +201,31 @@ def evaluate_folds(c: Condition, train: Rows, test: Rows, seed: int, cars: dict,
             if len(train.y) >= 2 * k:
                 try:
                     kept = _select(c, threshold, ta, train, k, seed, cars)
-                    fits[best] = kept, _fitted(c, min(k, len(train.y) - 1, len(kept)), ta[:, kept], train)
+                    fits[best] = kept, _fitted(c, min(k, len(train.y) - 1, len(kept)), ta.only(kept), train)
                 except (ValueError, np.linalg.LinAlgError):
                     pass
         if fits[best] is None:
             continue
         kept, model = fits[best]
-        y, p = test.y[mine], _predicted(c, model, tb[mine][:, kept])
+        if best not in guesses:
+            guesses[best] = _predicted(c, model, tb.only(kept))
+        y, p = test.y[mine], guesses[best][mine]
         coef, intercept = model.linear()
-        out.append(
-            {
-                "condition": c.name,
-                "track": c.track,
-                "seed": seed,
-                "channel": channel,
-                "k": model.k_used,
-                "threshold": threshold,
-                "kept": kept,
-                "sse": float(((y - p) ** 2).sum()),
-                "n_test": len(y),
-                "tss": float(((y - train.y.mean()) ** 2).sum()),
-                "coef": coef,
-                "intercept": intercept,
-                "pred": [{"concentration": u, "y": v, "pred": q} for u, v, q in zip(test.conc[mine].tolist(), y.tolist(), p.tolist(), strict=True)],
-            }
-        )
-    return out
+        yield {
+            "condition": c.name,
+            "track": c.track,
+            "seed": seed,
+            "channel": channel,
+            "k": model.k_used,
+            "threshold": threshold,
+            "kept": kept,
+            "sse": float(((y - p) ** 2).sum()),
+            "n_test": len(y),
+            "tss": float(((y - train.y.mean()) ** 2).sum()),
+            "coef": coef,
+            "intercept": intercept,
+            "predictions": (test.conc[mine], y, p),
+        }
 
 
 _FOLD = (
@@ -297,7 +305,7 @@ def run_conditions(
             keys.append("channel")
         joined = joined.withColumn("_job", F.explode(F.array(*[F.lit(j) for j in todo])))
         task = _task(todo, track, features, cars or {}, to_log_columns(features))
-        found.append(dealt(joined, keys).groupBy(*keys).applyInPandas(task, schema))
+        found.append(dealt(joined, keys).groupBy(*keys).applyInArrow(task, schema))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -312,34 +320,59 @@ def to_log_columns(features: list[str]) -> list[int]:
 
 
 def _task(todo: dict, track: str, features: list[str], cars: dict, logged: list[int]):
-    names = [c.split()[0] for c in f"condition s, track s, seed i, channel s, t_test d, {_FOLD}".replace("struct<concentration:double,y:double,pred:double>", "x").split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", "_sensor", "_y"], kind="stable")
-        t_test = float(pdf.t_test.iloc[0])
-        t = pdf._t.to_numpy(float)
-        x = np.array(pdf[features], float)
-        x[~np.isfinite(x)] = np.nan
-        rows = Rows(x, pdf._y.to_numpy(float), t, pdf._sensor.to_numpy(), t, pdf._conc.to_numpy(float), pdf._snr.to_numpy(float))
-        test = pdf._test.to_numpy(bool)
-        parts = {"linear": (rows.take(~test), rows.take(test))}
-        out = []
-        for c, seed in todo[pdf._job.iloc[0]]:
-            if c.transform not in parts:
-                z = x.copy()
-                z[:, logged] = np.log(np.maximum(z[:, logged], LOG_FLOOR))
-                log = Rows(z, *(getattr(rows, f) for f in ("y", "t", "sensor", "time", "conc", "snr")))
-                parts["log"] = log.take(~test), log.take(test)
-            train, tested = parts[c.transform]
-            for r in evaluate_folds(c, train, tested, seed, cars, t_test):
-                kept = [features[i] for i in r.pop("kept")]
-                out.append({**r, "t_test": t_test, "n_features": len(kept), "selected": kept, "predictions": r["pred"]})
-        frame = pd.DataFrame(out, columns=names)
-        return frame.astype({"threshold": float, "intercept": float})
+    numbers = ["_t", "_y", "_conc", "_snr", "_test"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, found, coded, first = B.read(batches, features, numbers, "_sensor")
+        if not first:
+            return
+        t, y, conc, snr, test = found
+        job, t_test = first["_job"], float(first["t_test"])
+        names = coded.dictionary.to_pylist() + [None]
+        # Numbers of the sensors in their order, missing ones last.
+        ranked = sorted(range(len(names) - 1), key=names.__getitem__) + [len(names) - 1]
+        place = np.empty(len(names), int)
+        place[ranked] = np.arange(len(names))
+        sensor = place[np.asarray(coded.indices.fill_null(len(names) - 1))]
+        kind = coded.type.value_type
+        every = Rows(x, np.arange(len(t)), y, t, sensor, t, conc, snr)
+        order = np.lexsort((y, sensor, t, test))
+        n = int((test == 0).sum())
+        train, tested = every.take(order[:n]), every.take(order[n:])
+        for c, seed in todo[job]:
+            log = tuple(logged) if c.transform == "log" else ()
+            for r in evaluate_folds(c, replace(train, logged=log), replace(tested, logged=log), seed, cars, t_test):
+                yield _row(r, t_test, features, None if r["channel"] is None else names[ranked[r["channel"]]], kind)
 
     return run
 
 
+def _row(r: dict, t_test: float, features: list[str], channel, kind: pa.DataType) -> pa.RecordBatch:
+    """One result; its predictions go over as arrays."""
+    kept = [features[i] for i in r["kept"]]
+    points = [pa.array(np.asarray(v, float), pa.float64(), from_pandas=True) for v in r["predictions"]]
+    found = pa.ListArray.from_arrays(pa.array([0, r["n_test"]], pa.int32()), pa.StructArray.from_arrays(points, ["concentration", "y", "pred"]))
+    double = lambda v: pa.array([v], pa.float64(), from_pandas=True)
+    columns = {
+        "condition": pa.array([r["condition"]]),
+        "track": pa.array([r["track"]]),
+        "seed": pa.array([r["seed"]], pa.int32()),
+        "channel": pa.array([channel], kind),
+        "t_test": double(t_test),
+        "k": pa.array([r["k"]], pa.int32()),
+        "threshold": double(r["threshold"]),
+        "n_features": pa.array([len(kept)], pa.int32()),
+        "selected": pa.array([kept], pa.list_(pa.string())),
+        "sse": double(r["sse"]),
+        "n_test": pa.array([r["n_test"]], pa.int64()),
+        "tss": double(r["tss"]),
+        "coef": pa.array([r["coef"]], pa.list_(pa.float64())),
+        "intercept": double(r["intercept"]),
+        "predictions": found,
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def summarize(results: DataFrame) -> DataFrame:
     """condition, track and pooled metrics, averaged over seeds, best first."""
     keys = ["condition", "track"]

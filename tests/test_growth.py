@@ -1,13 +1,16 @@
 """Steps that must not hold a fold's rows in one task or take a loop per row, against plain versions of their rules."""
 
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkolyte.functions import numerics as N
+from sparkolyte.operators import blocks as B
 from sparkolyte.operators import discovery as R
 from sparkolyte.operators import dose as D
 from sparkolyte.operators import fits as T
@@ -137,3 +140,49 @@ def test_means_are_summed_in_the_order_of_the_events(spark, tmp_path):
     assert {r.channel: r.response for r in found if r.response is not None} == want
     found = D.repeatability(A.replicates(spark, str(tmp_path)), [*K3, "concentration"], order="event_id").collect()
     assert {r.channel: r["mean"] for r in found if r["mean"] is not None} == want
+
+
+def gappy(n=900, p=12, seed=11):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, p)) * rng.uniform(0.5, 4, p) + rng.normal(size=p)
+    x[:, 3] = 2.5
+    x[rng.random((n, p)) < 0.05] = np.nan
+    y = 9 + np.nan_to_num(x[:, 0]) - 0.5 * np.nan_to_num(x[:, 1]) + 0.3 * rng.normal(size=n)
+    return x, np.exp(y / 8), np.sort(rng.permutation(n)[: n - 50])
+
+
+def test_models_and_selectors_of_blocks_are_those_of_rows(monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 64)
+    x, y, at = gappy()
+    s = B.Scaled(x, at).fitted()
+    z, y = R._prepare(x[at])[0], y[at]
+    assert np.allclose(s.apply(lambda v: v), z, atol=1e-12)
+    for name in M.ARCHITECTURES:
+        for k in (1, 3):
+            w = np.linspace(1, 3, len(y)) if name == "weighted" else None
+            a, b = M.build(name, k).fit(z, y, w), B.fit(name, k, s, y, w)
+            assert np.allclose(a.predict(z), s.apply(b.predict), rtol=1e-8), name
+    for name in ("vip", "sr", "smc", "mi"):
+        assert np.array_equal(M.select(name, z, y), B.select(name, s, y, None, 2, 0)), name
+    for seed in (0, 1):
+        assert np.array_equal(M.cars(z, y, seed=seed), B.cars(s, y, seed=seed))
+    sensor, time_ = at % 5, at % 4
+    assert np.array_equal(M.temporal_select(z, sensor, time_, 0.01), B.temporal_select(s, sensor, time_, 0.01))
+
+
+def test_a_fold_is_held_once(spark):
+    n, p = 20_000, 64
+    names = [f"f{i}" for i in range(p)]
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, p))
+    y = x[:, 0] + rng.normal(size=n)
+    rows = {"_job": ["plain"] * n, "t_test": np.full(n, 3.0), "_sensor": np.arange(n) % 7, "_t": (np.arange(n) % 4).astype(float), "_y": y, "_conc": np.full(n, np.nan), "_snr": np.full(n, np.nan), "_test": np.arange(n) % 4 == 3}
+    table = pa.table({**rows, **dict(zip(names, x.T, strict=True))})
+    job = {"plain": [(R.Condition("a", k_grid=(1, 2)), 0), (R.Condition("b", selector="cars"), 0)]}
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in R._task(job, "global", names, {"generations": 4}, [])(iter(table.to_batches(1000))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == 14 and peak < 2 * x.nbytes
