@@ -62,8 +62,8 @@ class Scaled:
     def __len__(self) -> int:
         return len(self.at)
 
-    def fitted(self) -> Scaled:
-        """With medians, means and deviations of its own rows."""
+    def fitted(self, impute: bool = True) -> Scaled:
+        """With medians, means and deviations of its own rows; without imputing, missing values become the mean."""
         fill, mean, sd = np.zeros(self.x.shape[1]), np.zeros(self.x.shape[1]), np.ones(self.x.shape[1])
         for j in range(self.x.shape[1]):
             v = self.x[self.at, j]
@@ -71,10 +71,10 @@ class Scaled:
                 v = np.log(np.maximum(v, self.floor))
             there = np.isfinite(v)
             fill[j] = np.median(v[there]) if there.any() else 0.0
-            v = np.where(there, v, fill[j])
+            v = np.where(there, v, fill[j]) if impute else v[there]
             mean[j] = v.mean() if len(v) else 0.0
             sd[j] = v.std() if len(v) and v.std() > 0 else 1.0
-        return replace(self, fill=fill, mean=mean, sd=sd)
+        return replace(self, fill=fill if impute else mean, mean=mean, sd=sd)
 
     def like(self, train: Scaled) -> Scaled:
         return replace(self, fill=train.fill, mean=train.mean, sd=train.sd)
@@ -212,3 +212,42 @@ def _cv_error(s: Scaled, y: np.ndarray, k: int, folds: list[np.ndarray]) -> floa
         v = np.r_[-(m.y_mean[0] - m.x_mean @ b), -b, 1.0]
         error += max(0.0, v @ gram @ v)
     return float(np.sqrt(error / len(y)))
+
+
+def ridge_loo(s: Scaled, y: np.ndarray, alphas=M.ALPHAS) -> M.Ridge:
+    """models.ridge_loo on scaled values: directions from their sums of products, leave-one-out errors block by block."""
+    n, my = len(y), y.mean()
+    gram = s.products(y - my)
+    mx = gram[0, 1:-1] / n
+    values, vectors = np.linalg.eigh(gram[1:-1, 1:-1] - n * np.outer(mx, mx))
+    values = np.maximum(values, 0.0)
+    bearing = vectors.T @ gram[1:-1, -1]
+    coefs = [vectors @ (bearing / (values + a)) for a in alphas]
+    error = np.zeros(len(alphas))
+    for at in pieces(np.arange(n)):
+        z = s.block(at) - mx
+        along = (z @ vectors) ** 2
+        for i, a in enumerate(alphas):
+            leverage = along @ (1 / (values + a)) + 1 / n
+            error[i] += (((y[at] - my - z @ coefs[i]) / np.maximum(1 - leverage, 1e-12)) ** 2).sum()
+    best = int(np.argmin(error))
+    return M.Ridge(coefs[best], float(my - mx @ coefs[best]), float(alphas[best]))
+
+
+def logistic(s: Scaled, y: np.ndarray, c: float = 0.5, steps: int = 50) -> tuple[np.ndarray, float]:
+    """models.logistic on scaled values; gradients and curvatures are summed block by block."""
+    n, p = len(y), len(s.columns)
+    w = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, (1 - y).sum())))
+    penalty, beta = np.append(np.full(p, 1 / c), 1e-8), np.zeros(p + 1)
+    for _ in range(steps):
+        g, h = penalty * beta, np.diag(penalty)
+        for at in pieces(np.arange(n)):
+            a = np.column_stack([s.block(at), np.ones(len(at))])
+            q = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
+            g = g + a.T @ (w[at] * (q - y[at]))
+            h = h + (a.T * (w[at] * q * (1 - q))) @ a
+        move = np.linalg.solve(h, g)
+        beta -= move
+        if np.abs(move).max() < 1e-9:
+            break
+    return beta[:-1], float(beta[-1])

@@ -552,36 +552,52 @@ def grouped_cv(
             out[k] = own.mean() * n / (n + k_intercept), slope, t[here].mean()
         return out
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", *levels, "_y"], kind="stable")
-        t, target, old = pdf._t.to_numpy(), pdf._y.to_numpy(float), pdf._age.to_numpy(float)
-        test = t == pdf.t_test.iloc[0]
-        train = ~test
-        columns = ["group", "time", "y", "pred", "base_pred", "train_mean"]
-        if train.sum() < min_train or not test.any() or (kind == "logistic" and len(set(target[train])) < 2):
-            return pd.DataFrame(columns=columns)
-        x = np.array(pdf[[*predictors, "_age"]], float)
-        x[~np.isfinite(x)] = np.nan
-        a, b = M.zscore(x[train], x[test])
-        mean = target[train].mean()
+    # A row's groups of all levels as one value, of which there are as many as groups of the last level.
+    names, mark = [*predictors, "_age"], ""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, found, coded, first = B.read(batches, names, ["_t", "_y"], "_groups")
+        if not first:
+            return
+        t, target = found
+        test = t == first["t_test"]
+        if (~test).sum() < min_train or not test.any() or (kind == "logistic" and len(set(target[~test])) < 2):
+            return
+        labels = [tuple(v.split(mark)) for v in coded.dictionary.to_pylist()]
+        codes = np.asarray(coded.indices)
+        place = np.empty(len(labels), int)
+        place[sorted(range(len(labels)), key=labels.__getitem__)] = np.arange(len(labels))
+        order = np.lexsort((target, place[codes], t, test))
+        n = int((~test).sum())
+        train, tested = order[:n], order[n:]
+        old, y = x[:, -1], target[train]
+        a = B.Scaled(x, train).fitted(impute=False)
+        b = B.Scaled(x, tested).like(a)
+        mean = y.mean()
         if kind == "logistic":
-            w, c = M.logistic(a, target[train])
-            pred = 1 / (1 + np.exp(-(b @ w + c)))
-            base = np.full(test.sum(), mean)
+            w, c = B.logistic(a, y)
+            pred = b.apply(lambda z: 1 / (1 + np.exp(-(z @ w + c))))
+            base = np.full(len(tested), mean)
         else:
-            m = M.ridge_loo(a, target[train])
-            base = m.predict(b)
-            pred, left = base.copy(), target[train] - m.predict(a)
-            for level in levels:
-                g = pdf[level].to_numpy()
-                found = effects(g[train], old[train], left)
-                own = np.array([found[k] for k in g[train]])
+            m = B.ridge_loo(a, y)
+            base = b.apply(m.predict)
+            pred, left = base.copy(), y - a.apply(m.predict)
+            for i in range(len(levels)):
+                number = np.unique([v[i] for v in labels], return_inverse=True)[1]
+                g = number[codes]
+                # Offset, slope and mean age by the group's number, 0 for those without training rows.
+                known = np.zeros((number.max() + 1, 3))
+                for key, effect in effects(g[train], old[train], left).items():
+                    known[key] = effect
+                own, extra = known[g[train]], known[g[tested]]
                 left = left - own[:, 0] - own[:, 1] * (old[train] - own[:, 2])
-                extra = np.array([found.get(k, (0.0, 0.0, 0.0)) for k in g[test]])
-                pred += extra[:, 0] + extra[:, 1] * (old[test] - extra[:, 2])
-        return pd.DataFrame({"group": pdf[levels[-1]].to_numpy()[test], "time": t[test], "y": target[test], "pred": pred, "base_pred": base, "train_mean": mean})
+                pred += extra[:, 0] + extra[:, 1] * (old[tested] - extra[:, 2])
+        last = pa.array([v[-1] for v in labels], pa.string()).take(pa.array(codes[tested]))
+        columns = [last, *(pa.array(v, pa.float64(), from_pandas=True) for v in (t[tested], target[tested], pred, base, np.full(len(tested), mean)))]
+        yield pa.RecordBatch.from_arrays(columns, ["group", "time", "y", "pred", "base_pred", "train_mean"])
 
-    return dealt(joined, ["t_test"]).groupBy("t_test").applyInPandas(one, "group string, time double, y double, pred double, base_pred double, train_mean double")
+    rows = joined.select("t_test", "_t", "_y", *names, F.concat_ws(mark, *levels).alias("_groups"))
+    return dealt(rows, ["t_test"]).groupBy("t_test").applyInArrow(one, "group string, time double, y double, pred double, base_pred double, train_mean double")
 
 
 def condition_config(c: Condition) -> dict:

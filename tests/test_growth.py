@@ -186,3 +186,16 @@ def test_a_fold_is_held_once(spark):
     finally:
         tracemalloc.stop()
     assert found == 14 and peak < 2 * x.nbytes
+
+
+def test_ridge_and_logistic_of_blocks_are_those_of_rows(monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 64)
+    x, y, at = gappy()
+    s = B.Scaled(x, at).fitted(impute=False)
+    z, y = M.zscore(x[at])[0], y[at]
+    assert np.allclose(s.apply(lambda v: v), z, atol=1e-12)
+    a, b = M.ridge_loo(z, y), B.ridge_loo(s, y)
+    assert a.alpha == b.alpha and np.allclose(a.predict(z), s.apply(b.predict), rtol=1e-9)
+    label = (y > np.median(y)).astype(float)
+    (u, c), (v, d) = M.logistic(z, label), B.logistic(s, label)
+    assert np.allclose(u, v, atol=1e-8) and c == pytest.approx(d, abs=1e-8)
